@@ -28,42 +28,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def running_sum(steps: Column) -> Column:
-    """Inclusive running sum of an integer array.
+    """Inclusive running sum of an integer array, inside the row.
 
-    Sums blocks of about sqrt(n) entries first, so an array of n entries costs n * sqrt(n)
-    additions and no shuffle.
+    Doubling: round k adds to each entry the one 2^k places before it, so n entries take
+    n * log2(n) additions. A sum over a slice for each entry would take n * n.
     """
-    zero = F.lit(0).cast("bigint")
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, zero, lambda acc, x: acc + x)
-
-    def in_blocks(xs: Column, width: Column) -> Column:
-        def with_starts(starts: Column) -> Column:
-            def at(x: Column, i: Column) -> Column:
-                block = F.floor(i / width).cast("int")
-                return F.get(starts, block) + total(F.slice(xs, block * width + 1, i - block * width + 1))
-
-            return F.transform(xs, at)
-
-        last = F.floor((F.size(xs) - 1) / width).cast("int")
-        sums = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(xs, b * width + 1, width)))
-        starts = let(
-            sums, lambda s: F.transform(s, lambda x, b: total(F.slice(s, F.lit(1), b)))
+    def add_back(sums: Column, k: Column) -> Column:
+        return F.transform(
+            sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))
         )
-        return let(starts, with_starts)
-
-    return let(
-        steps,
-        lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<bigint>")).otherwise(
-            let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda width: in_blocks(xs, width))
-        ),
-    )
 
+    def rounds(xs: Column) -> Column:
+        count = F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)))).cast("int")
+        return F.transform(F.array_repeat(F.lit(0), count), lambda _, k: k)
 
-def split_words(text: Column) -> Column:
-    """Whitespace-separated words, empty ones dropped."""
-    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return let(steps.cast("array<bigint>"), lambda xs: F.aggregate(rounds(xs), xs, add_back))
 
 
 def _feature_tokens(text: Column) -> Column:

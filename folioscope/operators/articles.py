@@ -65,6 +65,11 @@ def classify_page(pages: DataFrame) -> DataFrame:
     return pages.withColumn("type", page_kind())
 
 
+def text_length(pages: DataFrame) -> Column:
+    """Length of the undecoded text; a stored ``length`` is used so that the text is not read."""
+    return F.col("length") if "length" in pages.columns else F.length(F.coalesce("text", F.lit("")))
+
+
 def page_rows(pages: DataFrame) -> DataFrame:
     """``page`` rows of articles and redirects; the length is of the text before decoding."""
     return in_main_namespace(pages).select(
@@ -72,7 +77,7 @@ def page_rows(pages: DataFrame) -> DataFrame:
         F.col("rid").alias("rev"),
         "date",
         page_kind().alias("type"),
-        F.length(F.coalesce("text", F.lit(""))).alias("length"),
+        text_length(pages).alias("length"),
         "title",
     )
 
@@ -99,24 +104,29 @@ def stored_rows(pages: DataFrame) -> DataFrame:
 
 
 def document_rows(pages: DataFrame) -> DataFrame:
-    """Documents with their title and body tokens; the body is decoded a second time."""
+    """Documents ``id, title, body``; the body is decoded a second time."""
     kept = with_article_title(without_redirect_text(with_body(pages)))
-    decoded = kept.select("id", "title", unescape(F.col("text")).alias("body"))
-    return decoded.select(
-        "id", "title", "body",
+    return kept.select("id", "title", unescape(F.col("text")).alias("body"))
+
+
+def document_tags(documents: DataFrame) -> DataFrame:
+    """Title and body tokens of documents."""
+    return documents.select(
+        "id",
         tx.title_tokens(F.col("title")).alias("title_tags"),
         tx.body_tokens(F.col("body")).alias("body_tags"),
     )
 
 
 def feature_rows(documents: DataFrame) -> DataFrame:
-    """One bag of ``(id, type, value)`` rows from title and body tokens.
+    """One bag of ``(id, type, value)`` rows from title and body tokens of documents.
 
     Both lists of a document are unfolded in the one scan, so the text is tokenised once.
     """
+    tags = document_tags(documents)
     title = F.transform("title_tags", lambda v: F.struct(F.lit("title").alias("type"), v.alias("value")))
     body = F.transform("body_tags", lambda v: F.struct(F.lit("body").alias("type"), v.alias("value")))
-    return documents.select("id", F.inline(F.concat(title, body)))
+    return tags.select("id", F.inline(F.concat(title, body)))
 
 
 def union_tags(title_tags: DataFrame, body_tags: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.entities import unescape
 from ..functions.text import capitalize, let, running_sum
 from ..session import stage
-from .articles import in_main_namespace, without_redirect_element
-from .joins import ROWS_PER_SLOT, broadcast_if_small, salted_join
+from .articles import in_main_namespace, text_length, without_redirect_element
+from .joins import ROWS_PER_SLOT, salted_join
 
 # Fixed value: a link is all from "[[" to the next "]", when that is followed by another.
 LINK = r"\[\[([^\]]*)\]\]"
@@ -46,7 +46,7 @@ def extract_links(pages: DataFrame, decode: bool = True) -> DataFrame:
     articles = without_redirect_element(in_main_namespace(pages))
     body = F.coalesce("text", F.lit(""))
     plain = unescape(body) if decode else body
-    texts = articles.select("title", F.length(body).alias("length"), plain.alias("wiki"))
+    texts = articles.select("title", text_length(articles).alias("length"), plain.alias("wiki"))
     links = texts.select("title", "length", F.inline(link_spans(F.col("wiki"))).alias("inner", "pos"))
     target = F.substring_index(F.substring_index("inner", "|", 1), "#", 1)
     return (
@@ -172,11 +172,11 @@ def page_rank(
     spread = nodes.filter("slots > 1").select(F.col("id").alias("src"), F.col("slots").alias("__slots"))
     slot = F.when(F.col("__slots") > 1, F.pmod(F.xxhash64("dst"), F.col("__slots")).cast("int")).otherwise(0)
     # At most rows / edges_per_slot pages have more than one slot.
-    # The edges keep one layout over all rounds; a lost part is rebuilt from the staged pairs.
+    # The edges keep one layout and order over all rounds; a lost part is rebuilt from the staged pairs.
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = (
         pairs.join(F.broadcast(spread), "src", "left").select("src", slot.alias("slot"), "dst", "w")
-        .repartition(parts, "src", "slot")
+        .repartition(parts, "src", "slot").sortWithinPartitions("src", "slot")
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     ranks = nodes.withColumn("rank", F.lit(1.0 / count))

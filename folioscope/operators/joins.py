@@ -14,10 +14,8 @@ ROWS_PER_SLOT = 5_000_000
 PRUNED_RANK = 1_000
 
 
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Mark ``df`` for broadcast if a count shows it within both bounds, else leave it as it is."""
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a count shows ``df`` within both bounds; it stops counting past the first."""
     width = sum(
         (F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in df.columns),
         F.lit(0),
@@ -28,8 +26,12 @@ def broadcast_if_small(
         .agg(F.count("*").alias("n"), F.sum("w").alias("b"))
         .first()
     )
-    small = row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
-    return F.broadcast(df) if small else df
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Mark ``df`` for broadcast if it is small, else leave the join to Spark."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def salted_join(
@@ -38,22 +40,22 @@ def salted_join(
     key: str,
     how: str = "inner",
     rows_per_slot: int = ROWS_PER_SLOT,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join on ``key`` (present on both sides) with very frequent keys of ``big`` split.
 
     A key with more than ``rows_per_slot`` rows in ``big`` is spread over as many slots as it
     needs; the matching rows of ``small`` are repeated once per slot. The list of such keys has
-    at most ``rows(big) / rows_per_slot`` entries. ``how`` may be inner, left, left_semi or
+    at most ``rows(big) / rows_per_slot`` entries; ``counts`` (key, ``rows``) gives it without a
+    pass over ``big`` where the counts are known already. ``how`` may be inner, left, left_semi or
     left_anti: each row of ``big`` meets all its matches in its one slot.
     """
-    heavy = (
-        big.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count("*").alias("__rows"))
-        .filter(F.col("__rows") > rows_per_slot)
-        .select(key, F.ceil(F.col("__rows") / rows_per_slot).cast("int").alias("__slots"))
+    if counts is None:
+        counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
+    heavy = F.broadcast(
+        counts.filter(F.col("rows") > rows_per_slot)
+        .select(key, F.ceil(F.col("rows") / rows_per_slot).cast("int").alias("__slots"))
     )
-    heavy = F.broadcast(heavy)
     rest = [F.col(f"`{c}`") for c in big.columns]
     left = big.join(heavy, key, "left").withColumn(
         "__slot",

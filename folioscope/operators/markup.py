@@ -26,7 +26,7 @@ MEDIA_LINK = r"\[\[(?:" + MEDIA_LINKS + ")" + INNER + r"\]\]"
 LINK = r"\[\[([^\[\]|]*+)(?:\|" + INNER + r")?\]\]"
 HEADING = r"(?md)^(={1,6})(.+?)\1[ \t]*$"
 EXTERNAL = r"\[((?:" + SCHEMES + r")[^\s\[\]]*+)[ \t]*([^\[\]]*+)\]"
-BARE_URL = r"(?:" + SCHEMES + r")[^\s\[\]<>{}|\x{E000}-\x{E003}]++"
+BARE_URL = r"\b(?:" + SCHEMES + r")[^\s\[\]<>{}|\x{E000}-\x{E003}]++"
 TAG = r"</?[a-zA-Z][^<>]*+>"
 TABLE = r"(?md)^[ \t]*(?:\{\|.*|\|\}|\|-.*|[|!](?:[^|\n\[{]*+\|(?!\|))?)"
 QUOTES = "'{2,}"
@@ -38,11 +38,11 @@ NOTE, LINK_OPEN, LINK_CLOSE = "\ue001", "\ue002", "\ue003"
 
 def _depth(text: Column, opening: str, closing: str) -> Column:
     """Deepest nesting of a pair of brackets, counted over the brackets of the text."""
-    marks = F.regexp_extract_all(text, F.lit(f"{opening}|{closing}"), 0)
+    marks = F.regexp_extract_all(text, F.lit(f"\\Q{opening}\\E|\\Q{closing}\\E"), 0)
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc: Column, mark: Column) -> Column:
-        now = F.when(F.rlike(mark, F.lit(opening)), acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, F.lit(0)))
+        now = F.when(mark == opening, acc["now"] + 1).otherwise(F.greatest(acc["now"] - 1, F.lit(0)))
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
     return F.aggregate(marks, start, step, lambda acc: acc["most"])
@@ -56,11 +56,11 @@ def _repeat(text: Column, rounds: Callable[[Column], Column], change: Callable[[
 
 
 def _braces(text: Column) -> Column:
-    return _depth(text, r"\{\{", r"\}\}")
+    return _depth(text, "{{", "}}")
 
 
 def _brackets(text: Column) -> Column:
-    return _depth(text, r"\[\[", r"\]\]")
+    return _depth(text, "[[", "]]")
 
 
 def _drop_tags(text: Column, tags: str, mark: str) -> Column:
@@ -107,6 +107,16 @@ def _once(text: Column) -> Column:
     return F.explode(F.array(text))
 
 
+def _segment(pos: Column, kind: str, target: Column | None = None, label: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(
+        pos.alias("pos"),
+        F.lit(kind).alias("kind"),
+        (none if target is None else target).alias("target"),
+        (none if label is None else label).alias("label"),
+    )
+
+
 def segments_of(wiki: Column) -> Column:
     """Array of ``(pos, kind, target, label)`` for decoded wikitext, in text order.
 
@@ -131,20 +141,15 @@ def segments_of(wiki: Column) -> Column:
 
     def describe(s: Column, pos: Column) -> Column:
         first = F.left(s, F.lit(1))
-        title = F.translate(s, LINK_OPEN + LINK_CLOSE + NOTE, "")
+        inside = F.translate(s, LINK_OPEN + LINK_CLOSE + NOTE, "")
         url = F.when(first == "[", F.regexp_extract(s, EXTERNAL, 1)).otherwise(s)
-        words = F.regexp_extract(s, EXTERNAL, 2)
-        kind = (
-            F.when(first == NOTE, "note").when(first == LINK_OPEN, "link")
-            .when(first == "=", "heading").otherwise("external")
-        )
-        target = F.when(kind == "link", escape_link(title)).when(kind == "external", url)
-        label = (
-            F.when(kind == "link", title)
-            .when(kind == "heading", F.trim(F.regexp_extract(title, HEADING, 2)))
-            .when(kind == "external", F.when(words != "", words).otherwise(url))
+        words = F.when(first == "[", F.regexp_extract(s, EXTERNAL, 2)).otherwise("")
+        return (
+            F.when(first == LINK_OPEN, _segment(pos, "link", escape_link(inside), inside))
+            .when(first == NOTE, _segment(pos, "note"))
+            .when(first == "=", _segment(pos, "heading", label=F.trim(F.regexp_extract(inside, HEADING, 2))))
+            .otherwise(_segment(pos, "external", url, F.when(words != "", words).otherwise(url)))
         )
-        return F.struct(pos.alias("pos"), kind.alias("kind"), target.alias("target"), label.alias("label"))
 
     return F.transform(found, describe)
 

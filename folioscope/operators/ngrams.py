@@ -117,19 +117,3 @@ def per_million(series: DataFrame) -> DataFrame:
 def vocab_lookup(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Counts with the token spelled out."""
     return counts.join(broadcast_if_small(vocab.select("idx", "token")), "idx")
-
-
-def vocabulary_of(texts: DataFrame, column: str, min_share: float) -> DataFrame:
-    """Tokens found in at least ``min_share`` of the rows, numbered in token order.
-
-    At most ``tokens per row / min_share`` tokens qualify on average, so the numbering runs over a
-    short list however many rows there are.
-    """
-    rows = texts.agg(F.count("*").alias("__rows"))
-    used = texts.select(F.explode(F.array_distinct(count_tokens(F.col(column)))).alias("token"))
-    common = (
-        used.groupBy("token").agg(F.count("*").alias("__n"))
-        .filter(F.col("__n") >= rows.scalar() * min_share)
-        .select("token")
-    )
-    return common.withColumn("idx", F.row_number().over(W.orderBy("token")) - 1)

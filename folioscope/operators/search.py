@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import match_tokens, unescape_link
-from .joins import broadcast_if_small, salted_join, top_per_group
+from .joins import broadcast_if_small, is_small, salted_join, top_per_group
 
 # The scoring constants of the usual ranked match, page sizes, decimals kept.
 K1, B = 1.2, 0.75
@@ -47,8 +47,10 @@ def search_like(features: DataFrame, queries: list[tuple[int, str]]) -> DataFram
             tests.append(F.when(hit, F.struct(F.lit(qid).alias("qid"), F.lit(n).alias("met"))))
     if not tests:
         return features.filter("false").select(F.lit(0).alias("qid"), "id")
+    kinds = sorted({kind for _, query in queries for kind, _ in _conditions(query)})
     met = (
-        features.select("id", F.explode(F.array_compact(F.array(*tests))).alias("t"))
+        features.filter(F.col("type").isin(*kinds))
+        .select("id", F.explode(F.array_compact(F.array(*tests))).alias("t"))
         .select("id", "t.qid", "t.met")
         .groupBy("qid", "id")
         .agg(F.size(F.collect_set("met")).alias("met"))
@@ -137,19 +139,23 @@ def score(index: FieldIndex, queries: DataFrame) -> DataFrame:
     kept to six decimals so that equal scores are equal.
     """
     asked = _query_terms(queries)
-    found = index.postings.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    few = is_small(asked)
+    terms = asked.select("term").distinct()
+    found = index.postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     spelled = found.groupBy("term").agg(F.count("*").alias("df"))
     size = index.size.select(F.struct("docs", "avg")).scalar()
     idf = F.ln(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.join(spelled, "term").select("qid", "term", (idf * F.col("times")).alias("weight"))
+    if few:
+        # ``weighted`` has no more rows than ``asked``. With all postings of a document in one task
+        # the scores need no further shuffle, and only the best of each task go on.
+        matched = found.repartition("id").join(F.broadcast(weighted), "term")
+    else:
+        matched = salted_join(found, weighted, "term", counts=spelled.withColumnRenamed("df", "rows"))
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (
         F.col("tf") + K1 * (1 - B + B * F.col("len") / size["avg"])
     )
-    return (
-        salted_join(found, weighted, "term")
-        .groupBy("qid", "id")
-        .agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
-    )
+    return matched.groupBy("qid", "id").agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
 
 
 def _page(scored: DataFrame, articles: DataFrame, size: int, base: int, key: str) -> DataFrame:

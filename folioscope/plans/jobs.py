@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import articles as art
 from ..operators import graph as gr
 from ..operators import ngrams as ng
+from ..session import stage
 from ..sources import sinks
 from ..sources.dump import scan_dump, scan_dump_raw
 from ..sources.tables import scan_diffs, scan_table, scan_vocab
@@ -34,10 +35,11 @@ def load_documents(spark: SparkSession, dump: str, out: str, limit: int | None =
 def build_graph(spark: SparkSession, dump: str, out: str, limit: int | None = None) -> dict[str, DataFrame]:
     """Dump to the seven graph tables. ``limit`` counts pages of every kind.
 
-    Tables are written in the order they depend on each other, and each step reads what the step
-    before it stored.
+    The dump is parsed once. Tables are written in the order they depend on each other, and each
+    step reads what the step before it stored.
     """
     pages = art.limit_rows(scan_dump(spark, dump), limit)
+    pages = stage(pages.withColumn("length", art.text_length(pages)), "dump-pages")
 
     def put(name: str, table: DataFrame) -> DataFrame:
         sinks.write_graph({name: table}, out)
@@ -58,5 +60,5 @@ def build_graph(spark: SparkSession, dump: str, out: str, limit: int | None = No
 def tabulate_words(spark: SparkSession, diffs: str, vocab: str, out: str, csv: bool = False) -> None:
     """Diff files and a vocabulary file to counts per month."""
     words = scan_vocab(spark, vocab)
-    counts = ng.month_token_count(scan_diffs(spark, diffs), words)
+    counts = stage(ng.month_token_count(scan_diffs(spark, diffs), words), "month-counts")
     sinks.write_month_counts(ng.dense_calendar(counts, words), words, out, csv)

@@ -172,7 +172,7 @@ def _(i: Inputs):
 
 @query("union_tags", "select id, type, count(*) as n from feature group by all")
 def _(i: Inputs):
-    tags = i.documents
+    tags = art.document_tags(i.documents)
     both = art.union_tags(
         tags.select("id", F.explode("title_tags").alias("value")), tags.select("id", F.explode("body_tags").alias("value"))
     )

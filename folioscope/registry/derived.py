@@ -21,7 +21,7 @@ from ..operators import graph as gr
 from ..operators import history as hist
 from ..operators import ngrams as ng
 from ..operators import search as se
-from ..session import fresh_path, stage
+from ..session import fresh_path, spread, stage
 from ..sources.dump import page_xml
 
 # Ids: a document's article has doc_id * ID_STEP, its redirects follow, a web page ends the block.
@@ -60,7 +60,7 @@ class Inputs:
     @cached_property
     def words(self) -> DataFrame:
         """``word, n, owner``: uses, and the first document with the word."""
-        used = self.given("documents").select("doc_id", F.explode(tx.count_tokens(F.col("text"))).alias("word"))
+        used = spread(self.given("documents")).select("doc_id", F.explode(tx.count_tokens(F.col("text"))).alias("word"))
         words = used.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"))
         return self._stage(words, "words")
 
@@ -80,7 +80,7 @@ class Inputs:
     @cached_property
     def article(self) -> DataFrame:
         """Articles as dump pages, with the plain text they came from."""
-        docs = self.given("documents")
+        docs = spread(self.given("documents"))
         heads = self.owned.filter("r = 0").select(F.col("owner").alias("doc_id"), "word")
         title = F.coalesce(tx.capitalize(F.col("word")), F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
         rows = docs.join(heads, "doc_id", "left").select(
@@ -116,7 +116,7 @@ class Inputs:
         for n, (space, prefix) in enumerate(kinds):
             ns = F.when(page % 6 == n, space).otherwise(ns)
             start = F.when(page % 6 == n, prefix).otherwise(start)
-        others = self.given("pages").select(
+        others = spread(self.given("pages")).select(
             (page * ID_STEP + ID_STEP - 1).alias("id"),
             ns.cast("int").alias("ns"),
             F.concat(start, F.col("url")).alias("title"),
@@ -209,7 +209,17 @@ class Inputs:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        return self._stage(ng.vocabulary_of(self.given("documents"), "text", VOCABULARY_SHARE), "vocab")
+        """``token, idx``: tokens found in a tenth of the documents, numbered in token order.
+
+        There are at most ten times as many as an average document has, so the numbering runs over
+        a short list however many documents there are.
+        """
+        docs = self.given("documents")
+        used = docs.select(F.explode(F.array_distinct(tx.count_tokens(F.col("text")))).alias("token"))
+        least = docs.agg(F.count("*") * VOCABULARY_SHARE).scalar()
+        common = used.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        numbered = common.select("token", (F.row_number().over(W.orderBy("token")) - 1).alias("idx"))
+        return self._stage(numbered, "vocab")
 
     @cached_property
     def counts(self) -> DataFrame:

@@ -12,9 +12,19 @@ from ..operators.ngrams import series_pivot, token_total
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """``document`` and ``feature`` tables; features are laid out by type, as searches ask for it."""
+    """``document`` and ``feature`` tables; features are laid out by type, as searches ask for it.
+
+    Features are made from the stored documents, so the dump is read and decoded once.
+    """
     documents.select("id", "title", "body").write.mode(mode).parquet(f"{path}/document")
-    feature_rows(documents).write.mode(mode).partitionBy("type").parquet(f"{path}/feature")
+    stored = documents.sparkSession.read.parquet(f"{path}/document")
+    feature_rows(stored).write.mode(mode).partitionBy("type").parquet(f"{path}/feature")
+
+
+def insert_documents(documents: DataFrame, path: str) -> None:
+    """Add a batch of documents and their features to stored ones."""
+    append_rows(documents.select("id", "title", "body"), f"{path}/document")
+    feature_rows(documents).write.mode("append").partitionBy("type").parquet(f"{path}/feature")
 
 
 def write_articles(articles: DataFrame, path: str, reset: bool = False) -> None:
