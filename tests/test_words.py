@@ -1,0 +1,137 @@
+import math
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from folioscope.functions import calendar as cal
+from folioscope.operators import ngrams as ng
+from folioscope.plans import jobs
+from folioscope.sources import sinks
+from folioscope.sources import tables as tb
+
+DIFFS = [
+    ("2001-01-05 10:00:00", "the cat the"), ("2001-01-31", "nan null cat"), ("2001-03-01T00:00:00Z", "The the dog"),
+    ("2016-12-31 23:59:59", "cat"), ("2017-01-01 00:00:00", "cat cat"), ("2000-12-31", "cat"), ("never", "cat"),
+]
+VOCAB = ["the", "cat", "nan", "null", "absent", 'quo"ted, x']
+
+
+@pytest.fixture
+def vocab(spark):
+    return spark.createDataFrame([(t, n) for n, t in enumerate(VOCAB)], "token STRING, idx INT")
+
+
+@pytest.fixture
+def counts(spark, vocab):
+    return ng.month_token_count(spark.createDataFrame(DIFFS, "time STRING, words STRING"), vocab)
+
+
+def table(df, *cols):
+    return sorted(tuple(str(x) if hasattr(x, "year") else x for x in r) for r in df.select(*cols).collect())
+
+
+def test_counts_by_month(counts):
+    assert table(counts, "month", "idx", "count") == [
+        ("2001-01-01", 0, 2), ("2001-01-01", 1, 2), ("2001-01-01", 2, 1), ("2001-01-01", 3, 1),
+        ("2001-03-01", 0, 2), ("2016-12-01", 1, 1),
+    ]
+    assert table(ng.token_total(counts), "idx", "count") == [(0, 4), (1, 3), (2, 1), (3, 1)]
+
+
+def test_dense_table_has_every_month_and_token(counts, vocab):
+    dense = ng.dense_calendar(counts, vocab)
+    assert dense.count() == 192 * len(VOCAB)
+    assert dense.agg(F.sum("count")).first()[0] == 9
+    assert ng.dense_calendar(counts, vocab, last=cal.LAST_SERIES_MONTH).count() == 189 * len(VOCAB)
+
+
+def test_share_of_an_empty_month_is_nan(counts, vocab):
+    shares = {(str(r["month"]), r["idx"]): r["freq"] for r in ng.month_norm(ng.dense_calendar(counts, vocab)).collect()}
+    assert shares["2001-01-01", 0] == 2 / 6 and shares["2001-03-01", 0] == 1.0 and math.isnan(shares["2001-02-01", 0])
+
+
+def test_series(spark, counts, vocab):
+    freqs = ng.cumulative_freq(counts, vocab)
+    by_month = freqs.groupBy("month").agg(F.sum("freq").alias("s"))
+    assert all(abs(r["s"] - 1) < 1e-12 for r in by_month.collect()) and by_month.count() == 189
+    request = spark.createDataFrame([("The,cat,zzz",), ("cat",)], "tokens STRING")
+    series = ng.series_lookup(freqs, vocab, request)
+    values = {(r["token"], r["date"]): r["freq"] for r in series.collect()}
+    assert len(values) == 3 * 189
+    assert values["The", "2001-01-01"] == 2 / 6 and values["The", "2016-09-01"] == 4 / 8
+    assert values["cat", "2001-02-01"] == 2 / 6 and values["zzz", "2010-05-01"] == 0.0
+    extent = ng.series_extent(series).first()
+    assert tuple(extent) == ("2001-01-01", "2016-09-01", 0.0, 0.5)
+    assert ng.per_million(series).agg(F.max("freq")).first()[0] == 500_000
+    wide = ng.series_pivot(series, ["The", "cat", "zzz"])
+    assert wide.columns == ["date", "The", "cat", "zzz"] and wide.count() == 189
+
+
+def test_unknown_months_stay_nan_for_known_tokens(spark, vocab):
+    late = spark.createDataFrame([("2002-05-01", "cat")], "time STRING, words STRING")
+    freqs = ng.cumulative_freq(ng.month_token_count(late, vocab), vocab)
+    request = spark.createDataFrame([("cat,zzz",)], "tokens STRING")
+    values = {(r["token"], r["date"]): r["freq"] for r in ng.series_lookup(freqs, vocab, request).collect()}
+    assert math.isnan(values["cat", "2002-04-01"]) and values["cat", "2002-05-01"] == 1.0 and values["zzz", "2002-04-01"] == 0.0
+
+
+def test_csv_export_is_formatted_like_c(spark, tmp_path):
+    numbers = [0.1173086866597725, 1 / 3, 0.0, 1.0, 5e-16, 0.0005, float("nan")]
+    series = spark.createDataFrame(
+        [(f"2001-{n + 1:02d}-01", "t", x) for n, x in enumerate(numbers)], "date STRING, token STRING, freq DOUBLE"
+    )
+    sinks.export_series_csv(series, ["t"], str(tmp_path / "csv"))
+    lines = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv")).split()
+    expected = ["" if math.isnan(x) else "%.15f" % x for x in numbers]
+    assert lines == ["date,t"] + [f"2001-{n + 1:02d}-01,{x}" for n, x in enumerate(expected)]
+
+
+def test_files_in_and_out(spark, tmp_path):
+    (tmp_path / "diffs").mkdir()
+    for part in (0, 1):
+        rows = [["a", "b", time, "x, y", "e", words] for time, words in DIFFS[part::2]]
+        rows.append(["a", "b", "2001-04-01", "", "", None])
+        rows.append(["a", "b", "2001-04-01", "", "", "null"])
+        pd.DataFrame(rows).to_csv(tmp_path / "diffs" / f"{part}.csv", header=False, index=False)
+    pd.DataFrame({"n": range(len(VOCAB)), "index": VOCAB}).to_csv(tmp_path / "vocab.csv", index=False)
+    words = tb.scan_vocab(spark, str(tmp_path / "vocab.csv"))
+    assert [r["token"] for r in words.orderBy("idx").collect()] == VOCAB
+    scanned = tb.scan_diffs(spark, str(tmp_path / "diffs"))
+    assert sorted(map(tuple, scanned.collect())) == sorted(DIFFS + [("2001-04-01", "")] * 4)
+    for csv in (False, True):
+        out = str(tmp_path / f"out{csv}")
+        jobs.tabulate_words(spark, str(tmp_path / "diffs"), str(tmp_path / "vocab.csv"), out, csv)
+        if csv:
+            stored = tb.scan_month_counts(spark, f"{out}/freq")
+            assert sorted(map(tuple, tb.scan_stored_vocab(spark, f"{out}/vocabulary").collect())) == sorted(
+                (t, n) for n, t in enumerate(VOCAB)
+            )
+        else:
+            stored = spark.read.parquet(f"{out}/freq")
+        assert stored.count() == 192 * len(VOCAB)
+        assert table(stored.filter("count > 0 and idx = 1"), "month", "count") == [("2001-01-01", 2), ("2016-12-01", 1)]
+
+
+def test_month_files_of_the_old_layout(spark, tmp_path):
+    for label, n in (("2001_1", 3), ("2010_12", 5)):
+        (tmp_path / f"freq_{label}.csv").write_text(f"token,count\n0,{n}\n1,0\n")
+    (tmp_path / "freq_total.csv").write_text("token,count\n0,8\n1,0\n")
+    (tmp_path / "vocabulary.csv").write_text("token,index\nthe,0\nnull,1\n")
+    got = table(tb.scan_month_counts(spark, str(tmp_path)), "month", "idx", "count")
+    assert got == [("2001-01-01", 0, 3), ("2001-01-01", 1, 0), ("2010-12-01", 0, 5), ("2010-12-01", 1, 0)]
+    assert table(tb.scan_stored_vocab(spark, str(tmp_path / "vocabulary.csv")), "token", "idx") == [("null", 1), ("the", 0)]
+
+
+def test_rows_are_numbered_across_blocks(spark, tmp_path):
+    tokens = [f"token{n}" for n in range(3000)]
+    (tmp_path / "vocab.csv").write_text("index\n" + "\n".join(tokens) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        words = tb.scan_vocab(spark, str(tmp_path / "vocab.csv"))
+        assert [r["token"] for r in words.orderBy("idx").collect()] == tokens
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
