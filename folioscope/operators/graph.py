@@ -66,10 +66,13 @@ def _title_ids(page: DataFrame, side: str) -> DataFrame:
 
 
 def _to_ids(edges: DataFrame, page: DataFrame, rows_per_slot: int) -> DataFrame:
+    found = edges
     for side in ("dst", "src"):
-        edges = salted_join(edges, _title_ids(page, side), side, rows_per_slot=rows_per_slot)
-        edges = edges.withColumn(side, F.col(f"__{side}")).drop(f"__{side}")
-    return edges
+        # Counted before the first join, which then need not run once more for the second.
+        counts = edges.groupBy(side).agg(F.count("*").alias("rows"))
+        found = salted_join(found, _title_ids(page, side), side, rows_per_slot=rows_per_slot, counts=counts)
+        found = found.withColumn(side, F.col(f"__{side}")).drop(f"__{side}")
+    return found
 
 
 def join_link_ids(title_link: DataFrame, page: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
@@ -181,7 +184,7 @@ def page_rank(
     )
     ranks = nodes.withColumn("rank", F.lit(1.0 / count))
     for _ in range(rounds):
-        loose = ranks.filter("total is null").agg(F.sum("rank")).first()[0] or 0.0
+        loose = ranks.filter("total is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         giving = ranks.filter("total is not null").select(
             F.col("id").alias("src"),
             F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
@@ -192,10 +195,10 @@ def page_rank(
             .groupBy(F.col("dst").alias("id"))
             .agg(F.sum(F.col("w") * F.col("unit")).alias("got"))
         )
-        base = (1.0 - damping) / count + damping * loose / count
+        base = F.lit((1.0 - damping) / count) + loose * (damping / count)
         ranks = stage(
             nodes.join(given, "id", "left").withColumn(
-                "rank", F.lit(base) + F.lit(damping) * F.coalesce("got", F.lit(0.0))
+                "rank", base + F.lit(damping) * F.coalesce("got", F.lit(0.0))
             ).drop("got"),
             "ranks",
         )

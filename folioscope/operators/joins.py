@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 ROWS_PER_SLOT = 5_000_000
@@ -45,17 +47,21 @@ def salted_join(
     """Equi-join on ``key`` (present on both sides) with very frequent keys of ``big`` split.
 
     A key with more than ``rows_per_slot`` rows in ``big`` is spread over as many slots as it
-    needs; the matching rows of ``small`` are repeated once per slot. The list of such keys has
-    at most ``rows(big) / rows_per_slot`` entries; ``counts`` (key, ``rows``) gives it without a
-    pass over ``big`` where the counts are known already. ``how`` may be inner, left, left_semi or
-    left_anti: each row of ``big`` meets all its matches in its one slot.
+    needs; the matching rows of ``small`` are repeated once per slot. ``how`` may be inner, left,
+    left_semi or left_anti: each row of ``big`` meets all its matches in its one slot.
+
+    The list of such keys has at most ``rows(big) / rows_per_slot`` entries. It is found and staged
+    when the join is set up, so both sides and every retry use the same list, and without such keys
+    the join is a plain one. ``big`` is read for it, so it should be a stored table; ``counts``
+    (key, ``rows``) is for callers that have, or can get more cheaply, how often keys occur.
     """
     if counts is None:
         counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("rows"))
-    heavy = F.broadcast(
-        counts.filter(F.col("rows") > rows_per_slot)
-        .select(key, F.ceil(F.col("rows") / rows_per_slot).cast("int").alias("__slots"))
-    )
+    slots = F.ceil(F.col("rows") / rows_per_slot).cast("int").alias("__slots")
+    heavy = stage(counts.filter(F.col("rows") > rows_per_slot).select(key, slots), "heavy-keys")
+    if heavy.isEmpty():
+        return big.join(small, key, how)
+    heavy = F.broadcast(heavy)
     rest = [F.col(f"`{c}`") for c in big.columns]
     left = big.join(heavy, key, "left").withColumn(
         "__slot",

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import match_tokens, unescape_link
-from .joins import broadcast_if_small, is_small, salted_join, top_per_group
+from .joins import BROADCAST_ROWS, broadcast_if_small, is_small, salted_join, top_per_group
 
 # The scoring constants of the usual ranked match, page sizes, decimals kept.
 K1, B = 1.2, 0.75
 PAGE = 10
 SCORE_DECIMALS = 6
+# Up to this many distinct query terms are named in the filter of the index scan.
+PUSHED_TERMS = 100
 
 
 # Substring search
@@ -103,25 +105,14 @@ def postings(articles: DataFrame, field: str, key: str = "aid") -> DataFrame:
     return field_index(articles, field, key).postings
 
 
-def write_index(index: FieldIndex, path: str, buckets: int = 64) -> None:
-    """Store an index with postings ordered by term inside buckets of terms.
-
-    Postings are spread by (term, id) range, so a very frequent term fills several files.
-    """
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    (
-        index.postings.withColumn("bucket", bucket)
-        .repartitionByRange("bucket", "term", "id")
-        .sortWithinPartitions("bucket", "term", "id")
-        .write.partitionBy("bucket").parquet(f"{path}/postings")
-    )
+def write_index(index: FieldIndex, path: str) -> None:
+    """Store an index. Files are ordered by term, so a search for few terms skips most of them."""
+    index.postings.sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
     index.size.write.parquet(f"{path}/size")
 
 
 def read_index(spark: SparkSession, path: str) -> FieldIndex:
-    return FieldIndex(
-        spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/size")
-    )
+    return FieldIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size"))
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -141,7 +132,11 @@ def score(index: FieldIndex, queries: DataFrame) -> DataFrame:
     asked = _query_terms(queries)
     few = is_small(asked)
     terms = asked.select("term").distinct()
-    found = index.postings.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    rows = index.postings
+    named = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()] if few else []
+    if 0 < len(named) <= PUSHED_TERMS:
+        rows = rows.filter(F.col("term").isin(*named))  # reaches the scan
+    found = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
     spelled = found.groupBy("term").agg(F.count("*").alias("df"))
     size = index.size.select(F.struct("docs", "avg")).scalar()
     idf = F.ln(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -158,11 +153,14 @@ def score(index: FieldIndex, queries: DataFrame) -> DataFrame:
     return matched.groupBy("qid", "id").agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
 
 
-def _page(scored: DataFrame, articles: DataFrame, size: int, base: int, key: str) -> DataFrame:
+def _page(
+    scored: DataFrame, articles: DataFrame, queries: DataFrame, size: int, base: int, key: str
+) -> DataFrame:
     best = top_per_group(scored, ["qid"], [F.desc("score"), F.col("id")], size, base)
     titles = articles.select(F.col(key).alias("id"), "title")
-    hits = broadcast_if_small(best)
-    return titles.join(hits, "id").select("qid", "rank", F.col("id").alias(key), "title", "score")
+    # Each query has at most ``size`` hits, so counting queries bounds them without a search.
+    few = is_small(queries.select("qid"), max_rows=BROADCAST_ROWS // max(size, 1))
+    return titles.join(F.broadcast(best) if few else best, "id").select("qid", "rank", F.col("id").alias(key), "title", "score")
 
 
 def search_field(
@@ -183,7 +181,7 @@ def search_field(
         hits = articles.select(key, "title").join(broadcast_if_small(asked), key)
         return hits.select("qid", F.lit(1).alias("rank"), key, "title", F.lit(1.0).alias("score"))
     scored = score(index or field_index(articles, field, key), queries)
-    return _page(scored, articles, size, base, key)
+    return _page(scored, articles, queries, size, base, key)
 
 
 def search_title(
@@ -207,7 +205,7 @@ def search_dismax(
         part = score((indexes or {}).get(field) or field_index(articles, field, key), queries)
         scored = part if scored is None else scored.unionByName(part)
     best = scored.groupBy("qid", "id").agg(F.max("score").alias("score"))
-    return _page(best, articles, size, base, key)
+    return _page(best, articles, queries, size, base, key)
 
 
 def next_page(base: int, size: int, n: int = PAGE) -> tuple[int, int]:

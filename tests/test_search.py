@@ -58,7 +58,7 @@ def hits(df):
 
 @pytest.mark.parametrize("few", [True, False])
 def test_ranked_search_equals_formula(spark, monkeypatch, few):
-    monkeypatch.setattr(se, "is_small", lambda df: few)
+    monkeypatch.setattr(se, "is_small", lambda df, **bounds: few)
     data, articles = make(spark)
     queries = spark.createDataFrame(QUERIES, "qid INT, query STRING")
     assert hits(se.search_field(articles, queries, "text", size=7)) == top(ranked(data, 2, QUERIES), 7)
@@ -69,7 +69,7 @@ def test_stored_index_and_pages(spark, tmp_path):
     data, articles = make(spark)
     queries = spark.createDataFrame(QUERIES, "qid INT, query STRING")
     path = str(tmp_path / "index")
-    se.write_index(se.field_index(articles, "text"), path, buckets=4)
+    se.write_index(se.field_index(articles, "text"), path)
     index = se.read_index(spark, path)
     scores = ranked(data, 2, QUERIES)
     base, size = se.next_page(0, 25)
