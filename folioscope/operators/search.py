@@ -233,7 +233,7 @@ def link_by_term(articles: DataFrame, terms: DataFrame, index: FieldIndex | None
     The token is matched as given, not analysed, so one in upper case finds nothing.
     """
     asked = terms.select("term").distinct()
-    known = asked.filter(F.col("term") == F.array_join(match_tokens(F.col("term")), " "))
+    known = asked.filter(match_tokens(F.col("term")) == F.array("term"))
     queries = known.select(F.col("term").alias("qid"), F.col("term").alias("query"))
     hits = first_hit(search_title(articles, queries, size=1, index=index))
     return asked.join(hits.select(F.col("qid").alias("term"), "aid"), "term", "left")
