@@ -11,7 +11,7 @@ from folioscope.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
+        "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__default__parallelism="4", spark__ui__enabled="false",
         spark__driver__memory="8g",
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -1,4 +1,6 @@
+import bz2
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -83,6 +85,26 @@ def test_one_file_is_read_by_many_tasks(spark, dump):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_packed_file_is_split_at_its_blocks(spark, dump, tmp_path):
+    body = "".join(
+        PAGE.format(id=n, ns=0, title=f"T{n}", rid=n, day=1, redirect="", text=f">{hashlib.sha512(b'%d' % n).hexdigest() * 2}é</text>")
+        for n in range(3000)
+    )
+    path = tmp_path / "dump.xml.bz2"
+    path.write_bytes(bz2.compress((HEAD + body + "</mediawiki>\n").encode(), 1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        split = scan_dump(spark, str(path))
+        assert split.rdd.getNumPartitions() > 3
+        got = {r["id"]: r["text"] for r in split.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {n: hashlib.sha512(b"%d" % n).hexdigest() * 2 + "é" for n in range(3000)}
+
+
 def test_namespace_is_dropped_before_parsing(spark, dump):
     for many in (False, True):
         assert {r["ns"] for r in scan_dump(spark, dump, many_files=many, namespace=0).select("ns").collect()} == {0}
