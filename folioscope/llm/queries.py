@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, tokens
+from . import chat, decontaminate, line_dedup, packing, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -26,6 +26,68 @@ def register(key: str, sql: str | None = None):
 
     return keep
 
+OP2_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
+  from documents
+), solid as (
+  select *, row_number() over (partition by doc_id order by place) as n from lines where regexp_matches(line, '[^ \t\r\f\v]')
+), windows as (
+  select a.doc_id, a.n, a.line || chr(10) || b.line || chr(10) || c.line as content
+  from solid a join solid b on b.doc_id = a.doc_id and b.n = a.n + 1 join solid c on c.doc_id = a.doc_id and c.n = a.n + 2
+), later as (
+  select doc_id, n from (select *, row_number() over (partition by content order by doc_id, n) as k from windows) where k > 1
+), covered as (
+  select distinct doc_id, n + k as n from later, (values (0), (1), (2)) s(k)
+)
+select l.doc_id, count(s.n)::bigint as n_lines, count(c.n)::bigint as n_removed,
+  sha256(coalesce(string_agg(l.line, chr(10) order by l.place) filter (c.n is null), '')) as kept_sha256
+from lines l left join solid s on s.doc_id = l.doc_id and s.place = l.place left join covered c on c.doc_id = s.doc_id and c.n = s.n
+group by l.doc_id
+"""
+
+
+@register("op2_line_dedup", OP2_SQL)
+def op2(spark, folder):
+    left = line_dedup.drop_repeated_lines(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), spans as (
+  select distinct item_id, least(len(w), 10) as size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as span
+  from (select *, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0)
+), sizes as (select distinct size from spans),
+found as (
+  select doc_id, i, item_id, spans.size
+  from (select doc_id, size, w, unnest(range(1, len(w) - size + 2)) as i from words, sizes where len(w) >= size) d
+  join spans on spans.size = d.size and spans.span = array_to_string(d.w[d.i : d.i + d.size - 1], ' ')
+), hit as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from found) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct doc_id, item_id::varchar as item from found) group by doc_id
+)
+select words.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit on hit.doc_id = words.doc_id left join named on named.doc_id = words.doc_id
+"""
+
+
+@register("op4_benchmark_decontamination", OP4_SQL)
+def op4(spark, folder):
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
 
 @register("op7_packing")
 def op7(spark, folder):
