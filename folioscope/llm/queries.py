@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, packing, tokens
+from . import chat, decontaminate, line_dedup, near_join, packing, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -53,6 +53,11 @@ def op2(spark, folder):
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@register("op3_ngram_jaccard_join")
+def op3(spark, folder):
+    return near_join.near_join(table(spark, folder, "documents"))
+
+
 OP4_SQL = r"""
 with words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
