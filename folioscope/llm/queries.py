@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, near_join, packing, tokens
+from . import chat, decontaminate, line_dedup, near_join, packing, quality_classifier, quality_rules, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def register(key: str, sql: str | None = None):
 
     return keep
 
+@register("op1_quality_rules")
+def op1(spark, folder):
+    return quality_rules.quality(table(spark, folder, "documents"))
+
+
 OP2_SQL = r"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place
@@ -144,3 +149,8 @@ def op8(spark, folder):
 @register("op9_token_counts")
 def op9(spark, folder):
     return tokens.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op10_quality_classifier")
+def op10(spark, folder):
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
