@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, near_join, packing, quality_classifier, quality_rules, tokens
+from . import chat, decontaminate, language_id, line_dedup, near_join, packing, quality_classifier, quality_rules, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -99,6 +99,11 @@ def op4(spark, folder):
     )
 
 
+@register("op6_language_id")
+def op6(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @register("op7_packing")
 def op7(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
