@@ -21,21 +21,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import consecutive, mixed, slices
+from .blocks import ASKED, BODY, LONG, blocks_of, check_seals, meeting, opened, packed, sealed, shards_for, unpacked
+from .common import consecutive, mixed
 
 ORDER = 4
 START, END = 2, 3
-#: Characters of a block, about.
-BLOCK = 16_000_000
-ASKED = "shard int, lang string, block long, seal long, keys binary, counts binary"
-BODY = "block long, kind int, seal long, lang string, keys binary, body binary"
-LONG = np.uint64
 
 
 def units(text: str) -> bytes:
@@ -54,45 +49,6 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], sizes
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted keys as compressed differences, byte by byte."""
-    steps = np.diff(values, prepend=values[:1] * 0).view(np.uint8).reshape(-1, 8)
-    return pa.compress(np.ascontiguousarray(steps.T).tobytes(), "zstd", asbytes=True)
-
-
-def unpacked(blob: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(blob, 8 * n, "zstd", asbytes=True), dtype=np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(LONG).ravel(), dtype=LONG)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]):
-    """Slices of a task's rows with the block they belong to: ``block, last, rows``; a block ends with its last slice."""
-    task, number, size, held = TaskContext.get().partitionId(), 0, 0, None
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for a, b in slices(texts):
-            if held is not None:
-                last = size >= BLOCK
-                yield (task << 32) + number, last, held
-                if last:
-                    number, size = number + 1, 0
-            held = batch.slice(a, b - a)
-            size += sum(map(len, texts[a:b])) + (b - a)
-    if held is not None:
-        yield (task << 32) + number, True, held
-
-
-def _seal(seal: int, rows: pa.RecordBatch) -> int:
-    """A checksum of the ids and text sizes that a block has seen."""
-    ids = rows.column(0).to_numpy(zero_copy_only=False)
-    ids = np.nan_to_num(ids.astype(np.float64)).astype(np.int64).view(LONG)
-    sizes = np.array([len(t) for t in rows.column(1).to_pylist()], dtype=LONG)
-    with np.errstate(over="ignore"):
-        order = np.arange(1, len(ids) + 1, dtype=LONG)
-        new = int(mixed(mixed(ids) + sizes * LONG(31) + order).sum())
-    return (seal * 31 + new) % 2**63
-
-
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
     return keys, np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
@@ -101,8 +57,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def _ask(shards: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seal = {}, 0
-        for block, last, rows in _blocks(batches):
-            seal = _seal(seal, rows)
+        for block, last, rows in blocks_of(batches):
+            seal = sealed(seal, rows)
             texts, langs = rows.column(1).to_pylist(), np.array(rows.column(2).to_pylist(), dtype=object)
             train = rows.column(3).to_numpy(zero_copy_only=False)
             for lang in sorted(set(langs.tolist())):
@@ -172,33 +128,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seal = 0
-    for block, last, rows in _blocks(batches):
-        seal = _seal(seal, rows)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_batch(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block]), pa.array([1], pa.int32()), pa.array([seal if last else 0]), pa.array([""]), pa.array([b""], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
-            names=["block", "kind", "seal", "lang", "keys", "body"],
-        )
-        seal = 0 if last else seal
-
-
 def _score(features: Callable[[list[str]], list[pa.Array]] | None, names: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, part in consecutive(batches, 1):
             model: dict[str, list] = {}
-            seals = [set(), set()]
             kinds, langs, keys, bodies, marks = (part.column(c).to_pylist() for c in ("kind", "lang", "keys", "body", "seal"))
-            for kind, lang, asked, body, mark in zip(kinds, langs, keys, bodies, marks, strict=True):
-                seals[kind].add(mark)
+            for kind, lang, asked, body in zip(kinds, langs, keys, bodies, strict=True):
                 if kind == 0:
                     logs = np.frombuffer(body, dtype="<f4")
                     model.setdefault(lang, []).append((unpacked(asked, len(logs)), logs))
-            if seals[0] != seals[1] - {0}:
-                raise ValueError("the documents came in another order when read again: stage them first")
+            check_seals(kinds, marks)
             for lang, own in model.items():
                 known, logs = (np.concatenate(x) for x in zip(*own, strict=True))
                 order = np.argsort(known)
@@ -206,8 +145,7 @@ def _score(features: Callable[[list[str]], list[pa.Array]] | None, names: list[s
             for kind, body in zip(kinds, bodies, strict=True):
                 if kind == 0:
                     continue
-                with pa.ipc.open_stream(body) as reader:
-                    rows = reader.read_all().combine_chunks().to_batches()[0]
+                rows = opened(body)
                 texts, own = rows.column(1).to_pylist(), np.array(rows.column(2).to_pylist(), dtype=object)
                 total, count = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
                 for lang in set(own.tolist()):
@@ -288,7 +226,7 @@ def surprise(
     else:
         chosen = taught.select(F.col(taught.columns[0]).alias("t"))
         asking = given.join(F.broadcast(chosen), F.col("doc_id") == F.col("t"), "left").select("doc_id", "text", "lang", F.col("t").isNotNull().alias("train"))
-    shards = max(8, given.rdd.getNumPartitions() // 2)
+    shards = shards_for(given)
     asked = stage(asking.mapInArrow(_ask(shards), ASKED), "asked")
     by = ["shard", "lang"]
     grams = asked.select("shard", "lang", "keys", "counts").repartition("shard").sortWithinPartitions(*by)
@@ -298,11 +236,10 @@ def surprise(
     sides = asked.unionByName(model).repartition("shard").sortWithinPartitions(*by, "block")
     answers = sides.mapInArrow(_answer, BODY)
     again = given.withColumn("train", F.lit(False))  # the same columns, so that the batches are cut alike
-    # the documents first: tasks of a union are numbered through, and blocks carry the task's number
-    meeting = again.mapInArrow(_send, BODY).unionByName(answers).repartition("block").sortWithinPartitions("block", "kind")
+    both = meeting(again, answers)
     out = "doc_id long, lang string, n_units long, surprise double" + (f", {schema}" if schema else "")
     names = [c.split()[0] for c in schema.split(", ")] if schema else []
-    return meeting.mapInArrow(_score(features, names), out)
+    return both.mapInArrow(_score(features, names), out)
 
 
 def fences(scored: DataFrame, reach: float, step: float = 0.002) -> DataFrame:
