@@ -59,7 +59,7 @@ class Hasher:
     def __init__(self, seed: int = 7):
         random = np.random.default_rng(seed)
         self.values = random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = int(random.integers(2**40, 2**62)) * 8 + 5
+        self.base = (int(random.integers(2**40, 2**62)) * 8 + 5) % 2**64
         self.inverse = pow(self.base, -1, 2**64)
         self.power = self.back = np.ones(1, dtype=np.uint64)
 

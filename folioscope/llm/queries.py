@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, near_join, packing, quality_classifier, quality_rules, tokens
+from . import chat, decontaminate, language_id, line_dedup, near_join, packing, quality_classifier, quality_rules, suffix_dedup, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -99,6 +99,12 @@ def op4(spark, folder):
     )
 
 
+@register("op5_suffix_array_dedup")
+def op5(spark, folder):
+    left = suffix_dedup.drop_repeated(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @register("op6_language_id")
 def op6(spark, folder):
     return language_id.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
