@@ -10,19 +10,44 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import packing
+from folioscope.llm import decontaminate, line_dedup, near_join, packing, quality_rules
 from folioscope.session import stage
 
 
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the quality rules keep."""
+    return quality_rules.good_documents(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out later occurrences of three-line windows; a document that loses all its lines goes."""
+    return line_dedup.documents_left(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each class of near copies."""
+    return near_join.one_of_each(docs)
+
+
+def drop_benchmark_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that share no span with an item of ``benchmark``."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut the kept documents into sequences of 2048 ids."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
+    ("quality rules", apply_quality_rules),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_texts),
     ("packing", pack_documents),
 ]
 
+#: The perplexity model and the tokenizer's ids are beyond SQL; tests hold `run` against brute force.
 ORACLE_SQL = None
 
 
