@@ -53,7 +53,8 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     of its conversation makes a root. ``path`` is the leaf's node, ``rank`` orders the paths of a
     conversation by falling mean score (null counts as 0), then by leaf, and ``best`` keeps that
     many of them. Rows that repeat a node count once, with their highest score and smallest
-    parent. Rows whose parents lead round in a circle have no leaf and no path.
+    parent. Rows whose parents lead round in a circle have no leaf and no path; a leaf that hangs on
+    a circle is an error.
 
     Each round of self-joins doubles the distance covered: the rows that hold a leaf's ancestors up
     to 2^k steps are joined with the pointers 2^k steps up, so a tree of depth n takes log2(n)
@@ -64,14 +65,14 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     inner = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
     up = nodes.alias("n").join(nodes.select("conv", F.col("node").alias("parent")), ["conv", "parent"]).select("conv", "node", F.col("parent").alias("above"))
     reached = nodes.join(inner, ["conv", "node"], "left_anti").select("conv", F.col("node").alias("path"), "node", F.lit(0).cast("long").alias("up"))
-    step, up = 1, stage(up, "up")
+    step, up, most = 1, stage(up, "up"), nodes.count()
     while not up.isEmpty():
+        if step > most:
+            raise ValueError("a parent chain leads round in a circle")
         further = reached.join(up, ["conv", "node"]).select("conv", "path", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
         reached = stage(reached.unionByName(further), "reached")
         next_up = up.join(up.select("conv", F.col("node").alias("above"), F.col("above").alias("next")), ["conv", "above"])
         up = stage(next_up.where("node <> next").select("conv", "node", F.col("next").alias("above")), "up")
-        if step > 2**40:
-            raise ValueError("a parent chain leads round in a circle")
         step *= 2
     scored = reached.join(nodes.select("conv", "node", "score"), ["conv", "node"])
     total = scored.groupBy("conv", "path").agg(F.avg("score").alias("mean"), F.max("up").alias("depth"))
