@@ -174,7 +174,7 @@ def kind_counts(pages: DataFrame) -> DataFrame:
 
 
 def load_counts(pages: DataFrame) -> DataFrame:
-    """Pages read, and records that did not parse (see ``scan_dump(keep_corrupt=True)``)."""
+    """Pages read, and records that did not parse (see ``scan_dump(bad="keep")``)."""
     return pages.agg(
         F.count_if(F.col("_corrupt").isNull()).alias("stored"),
         F.count_if(F.col("_corrupt").isNotNull()).alias("failed"),

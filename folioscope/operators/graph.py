@@ -103,28 +103,30 @@ def redirect_closure(edges: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Da
     Doubling: after round k each node holds the nodes exactly 2^k steps ahead (``open``) and the
     sinks at most 2^k steps ahead. A redirect has one target, so a node holds one row and the
     table never grows. A sink d steps away is found in round ceil(log2 d), so a round that finds
-    nothing ends the loop; nodes that only reach a cycle have found nothing by then.
+    nothing ends the loop; nodes that only reach a cycle have found nothing by then. A round
+    carries on and stages only what is still open; what it has found is kept as it is.
     """
     edges = with_target(edges).select("src", "dst").distinct()
     sources = edges.select(F.col("src").alias("dst")).distinct()
     is_source = F.col("__step").isNotNull()
-    state = stage(
+    first = stage(
         edges.join(sources.withColumn("__step", F.lit(1)), "dst", "left").select(
             "src", "dst", is_source.alias("open")
         ),
         "redirect-step",
     )
-    found = state.filter("not open").count()
+    done, pending = first.filter("not open"), first.filter("open")
     while True:
-        ahead = state.select(F.col("src").alias("via"), F.col("dst").alias("end"), F.col("open").alias("end_open"))
+        ahead = done.unionByName(pending).select(F.col("src").alias("via"), F.col("dst").alias("end"), F.col("open").alias("end_open"))
         moved = salted_join(
-            state.filter("open").select("src", F.col("dst").alias("via")), ahead, "via", rows_per_slot=rows_per_slot
+            pending.select("src", F.col("dst").alias("via")), ahead, "via", rows_per_slot=rows_per_slot
         ).select("src", F.col("end").alias("dst"), F.col("end_open").alias("open"))
-        state = stage(state.filter("not open").unionByName(moved).distinct(), "redirect-step")
-        now = state.filter("not open").count()
-        if now == found:
-            return state.filter("not open").select("src", "dst")
-        found = now
+        moved = stage(moved.distinct(), "redirect-step")
+        # a node of several targets can come to the same sink again
+        new = stage(moved.filter("not open").join(done.select("src", "dst"), ["src", "dst"], "left_anti"), "redirect-found")
+        if new.isEmpty():
+            return done.select("src", "dst").distinct()
+        done, pending = done.unionByName(new), moved.filter("open")
 
 
 def join_final_links(id_link: DataFrame, final_redirect: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
@@ -153,9 +155,13 @@ def link_weight(frac: Column) -> Column:
 
 
 def page_rank(
-    final_link: DataFrame, rounds: int = 10, damping: float = 0.85, edges_per_slot: int = ROWS_PER_SLOT
+    final_link: DataFrame, rounds: int | None = None, damping: float = 0.85, edges_per_slot: int = ROWS_PER_SLOT,
+    tolerance: float = 1e-6, most_rounds: int = 1_000,
 ) -> DataFrame:
-    """``(id, rank)`` after a fixed number of rounds over weighted links.
+    """``(id, rank)`` over weighted links, converged or after ``rounds`` rounds.
+
+    Without ``rounds`` it goes on until the ranks of a round differ from those before by less than
+    ``tolerance`` times the number of pages, all differences added; ``most_rounds`` without that is an error.
 
     Parallel links are summed to one edge first. The out-edges of a page with very many are
     spread over slots, and its rank is repeated once per slot. Each round stages only the ranks.
@@ -183,7 +189,11 @@ def page_rank(
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     ranks = nodes.withColumn("rank", F.lit(1.0 / count))
-    for _ in range(rounds):
+    done = 0
+    while done != rounds:
+        if rounds is None and done == most_rounds:
+            raise RuntimeError(f"ranks have not settled in {most_rounds} rounds")
+        done += 1
         loose = ranks.filter("total is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         giving = ranks.filter("total is not null").select(
             F.col("id").alias("src"),
@@ -197,11 +207,13 @@ def page_rank(
         )
         base = F.lit((1.0 - damping) / count) + loose * (damping / count)
         ranks = stage(
-            nodes.join(given, "id", "left").withColumn(
-                "rank", base + F.lit(damping) * F.coalesce("got", F.lit(0.0))
-            ).drop("got"),
+            ranks.join(given, "id", "left").select(
+                *nodes.columns, F.col("rank").alias("before"), (base + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank")
+            ),
             "ranks",
         )
+        if rounds is None and ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < count * tolerance:
+            break
     edges.unpersist()
     return ranks.select("id", "rank")
 

@@ -179,7 +179,8 @@ def search_field(
     if field == key:
         asked = queries.select("qid", F.expr("try_cast(query AS BIGINT)").alias(key))
         hits = articles.select(key, "title").join(broadcast_if_small(asked), key)
-        return hits.select("qid", F.lit(1).alias("rank"), key, "title", F.lit(1.0).alias("score"))
+        # ids are unique, so a query has one hit: that of rank 1, on the first page
+        return hits.where(F.lit(base < 1 <= base + size)).select("qid", F.lit(1).alias("rank"), key, "title", F.lit(1.0).alias("score"))
     scored = score(index or field_index(articles, field, key), queries)
     return _page(scored, articles, queries, size, base, key)
 

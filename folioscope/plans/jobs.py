@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import articles as art
 from ..operators import graph as gr
 from ..operators import ngrams as ng
+from ..operators import search as se
 from ..session import stage
 from ..sources import sinks
 from ..sources.dump import scan_dump, scan_dump_raw
-from ..sources.tables import scan_diffs, scan_table, scan_vocab
+from ..sources.tables import scan_diffs, scan_month_counts, scan_stored_vocab, scan_table, scan_vocab
 
 
 def load_articles(
-    spark: SparkSession, dump: str, out: str, reset: bool = False, limit: int | None = None, raw: bool = False
+    spark: SparkSession, dump: str, out: str, reset: bool = False, limit: int | None = None, raw: bool = False,
+    rejects: str | None = None,
 ) -> DataFrame:
-    """Dump to ``article`` table. ``limit`` counts the articles that are kept."""
-    pages = scan_dump_raw(spark, dump) if raw else scan_dump(spark, dump, namespace=0)
+    """Dump to ``article`` table. ``limit`` counts the articles that are kept, by id.
+
+    A page that can't be read ends the job, or goes to the table ``rejects`` if that is named;
+    `load_result` then counts both.
+    """
+    bad = "fail" if rejects is None else "drop"
+    if rejects is not None:
+        write_rejects(spark, dump, rejects, reset)
+    pages = scan_dump_raw(spark, dump, bad=bad) if raw else scan_dump(spark, dump, namespace=0, bad=bad)
     if raw:
         rows = art.stored_rows(pages)
     else:
@@ -26,6 +36,18 @@ def load_articles(
     return scan_table(spark, out)
 
 
+def write_rejects(spark: SparkSession, dump: str, out: str, reset: bool = False) -> None:
+    """The pages of a dump that can't be read, as ``record``."""
+    rows = scan_dump(spark, dump, bad="keep").filter("_corrupt is not null").select(F.col("_corrupt").alias("record"))
+    rows.write.mode("overwrite" if reset else "errorifexists").parquet(out)
+
+
+def load_result(spark: SparkSession, stored: str, rejects: str) -> DataFrame:
+    """One row ``stored, failed``: rows of a stored table and pages that could not be read."""
+    failed = scan_table(spark, rejects).agg(F.count("*").alias("failed"))
+    return scan_table(spark, stored).agg(F.count("*").alias("stored")).crossJoin(F.broadcast(failed))
+
+
 def load_documents(spark: SparkSession, dump: str, out: str, limit: int | None = None) -> None:
     """Dump to ``document`` and ``feature`` tables."""
     documents = art.document_rows(scan_dump(spark, dump))
@@ -57,6 +79,40 @@ def build_graph(spark: SparkSession, dump: str, out: str, limit: int | None = No
     return tables
 
 
+def rank_pages(spark: SparkSession, graph: str, out: str) -> DataFrame:
+    """The stored ``final_link`` of a graph to converged ranks ``id, rank``."""
+    gr.page_rank(scan_table(spark, f"{graph}/final_link")).write.parquet(out)
+    return scan_table(spark, out)
+
+
+def index_articles(spark: SparkSession, articles: str, out: str, fields: tuple[str, ...] = ("title", "text")) -> dict[str, se.FieldIndex]:
+    """Stored articles to a stored search index for each field."""
+    rows = scan_table(spark, articles)
+    for field in fields:
+        se.write_index(se.field_index(rows, field), f"{out}/{field}")
+    return {field: se.read_index(spark, f"{out}/{field}") for field in fields}
+
+
+def insert_batch(spark: SparkSession, dump: str, out: str) -> None:
+    """Add the documents of a further dump, with their features, to stored ones."""
+    sinks.insert_documents(stage(art.document_rows(scan_dump(spark, dump)), "batch"), out)
+
+
+def delete_documents(spark: SparkSession, stored: str, ids: DataFrame, out: str) -> None:
+    """``document`` and ``feature`` tables without the given ids, as new tables."""
+    for name, layout in (("document", []), ("feature", ["type"])):
+        art.delete_by_id(scan_table(spark, f"{stored}/{name}"), ids).write.partitionBy(*layout).parquet(f"{out}/{name}")
+
+
+def export_series(spark: SparkSession, counts: str, tokens: list[str], out: str) -> DataFrame:
+    """Counts that `tabulate_words` stored as CSV to the wide CSV series of ``tokens``; returns the long series."""
+    vocab = scan_stored_vocab(spark, f"{counts}/vocabulary")
+    freqs = ng.cumulative_freq(scan_month_counts(spark, f"{counts}/freq"), vocab)
+    series = ng.series_lookup(freqs, vocab, spark.createDataFrame([(",".join(tokens),)], "tokens STRING"))
+    sinks.export_series_csv(series, tokens, out)
+    return series
+
+
 def tabulate_words(spark: SparkSession, diffs: str, vocab: str, out: str, csv: bool = False) -> None:
     """Diff files and a vocabulary file to counts per month."""
     words = scan_vocab(spark, vocab)

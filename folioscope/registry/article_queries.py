@@ -28,11 +28,11 @@ def dated(df: DataFrame) -> DataFrame:
 
 
 def brief(df: DataFrame) -> DataFrame:
-    return df.select("id", "ns", "title", F.length("text").alias("chars"))
+    return df.select("id", "ns", "title", F.md5("text").alias("text"))
 
 
 def sql_brief(where: str) -> str:
-    return f"select id, ns, title, length(text) as chars from dump_page where {where}"
+    return f"select id, ns, title, md5(text) as text from dump_page where {where}"
 
 
 # Scans and tables
@@ -48,16 +48,20 @@ def _(i: Inputs):
     return dated(dump.scan_dump_raw(i.spark, i.dump_file))
 
 
-@query("load_counts", "select count(*) as stored, 0 as failed from dump_page")
+@query("load_counts", "select count(*) filter (id % 7 <> 0) as stored, count(*) filter (id % 7 = 0) as failed from dump_page")
 def _(i: Inputs):
-    return art.load_counts(dump.scan_dump(i.spark, i.dump_file, keep_corrupt=True))
+    path = fresh_path(i.spark, "flawed-xml")
+    flaw = F.when(F.col("id") % 7 == 0, F.lit("<id>x")).otherwise(F.lit("<id>"))
+    pages = dump.page_xml(i.dump_page, flaw)
+    pages.write.text(path)
+    return art.load_counts(dump.scan_dump(i.spark, path, bad="keep"))
 
 
-@query("scan_tables", "select id, title, length(body) as chars from document")
+@query("scan_tables", "select id, title, md5(body) as body from document")
 def _(i: Inputs):
     path = fresh_path(i.spark, "document")
     i.documents.select("id", "title", "body").write.parquet(path)
-    return scan_table(i.spark, path).select("id", "title", F.length("body").alias("chars"))
+    return scan_table(i.spark, path).select("id", "title", F.md5("body").alias("body"))
 
 
 @query("write_documents", "select id, type, value from feature")
@@ -123,9 +127,9 @@ def _(i: Inputs):
     return brief(art.with_body(i.dump_page))
 
 
-@query("fill_default", "select id, coalesce(redirect, '') as redirect, length(coalesce(text, '')) as chars from dump_page")
+@query("fill_default", "select id, coalesce(redirect, '') as redirect, md5(coalesce(text, '')) as text from dump_page")
 def _(i: Inputs):
-    return art.fill_default(i.dump_page, "redirect", "text").select("id", "redirect", F.length("text").alias("chars"))
+    return art.fill_default(i.dump_page, "redirect", "text").select("id", "redirect", F.md5("text").alias("text"))
 
 
 @query(
@@ -151,10 +155,10 @@ def _(i: Inputs):
     return dated(art.article_rows(i.dump_page))
 
 
-@query("fetch_docs", "select id, title, length(body) as chars from (select id from dump_page) left join document using (id)")
+@query("fetch_docs", "select id, title, md5(body) as body from (select id from dump_page) left join document using (id)")
 def _(i: Inputs):
     found = art.fetch(i.dump_page.select("id"), i.documents, "title", "body")
-    return found.select("id", "title", F.length("body").alias("chars"))
+    return found.select("id", "title", F.md5("body").alias("body"))
 
 
 @query("fetch_titles", "select id, title from (select id from dump_page) left join document using (id)")

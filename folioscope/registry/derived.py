@@ -198,7 +198,7 @@ class Inputs:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return gr.page_rank(self.final_link)
+        return gr.page_rank(self.final_link, rounds=10)
 
     @cached_property
     def diffs(self) -> DataFrame:

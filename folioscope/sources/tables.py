@@ -24,10 +24,14 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def scan_diffs(spark: SparkSession, path: str) -> DataFrame:
-    """``time, words`` of headerless diff files; missing words are empty."""
+def scan_diffs(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """``time, words`` of headerless diff files; missing words are empty.
+
+    Quoted words may hold line breaks; a file is then read by one task. Files known to have none
+    are split if ``line_breaks`` is false.
+    """
     schema = ", ".join(f"{c} STRING" for c in DIFF_COLUMNS)
-    rows = spark.read.schema(schema).option("escape", '"').csv(path)
+    rows = spark.read.schema(schema).options(escape='"', multiLine=line_breaks).csv(path)
     words = F.when(F.col("words").isin(*MISSING_WORDS), "").otherwise(F.coalesce("words", F.lit("")))
     return rows.select("time", words.alias("words"))
 

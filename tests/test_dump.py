@@ -113,9 +113,9 @@ def test_namespace_is_dropped_before_parsing(spark, dump):
 def test_bad_records_are_counted(spark, dump, tmp_path):
     bad = tmp_path / "bad.xml"
     bad.write_text(open(dump, encoding="utf-8").read().replace("<id>4</id>", "<id>four</id>"), encoding="utf-8")
-    counts = art.load_counts(scan_dump(spark, str(bad), keep_corrupt=True)).first()
+    counts = art.load_counts(scan_dump(spark, str(bad), bad="keep")).first()
     assert (counts["stored"], counts["failed"]) == (len(PAGES) - 1, 1)
-    assert scan_dump(spark, str(bad)).count() == len(PAGES) - 1
+    assert scan_dump(spark, str(bad), bad="drop").count() == len(PAGES) - 1
 
 
 def test_raw_scan_keeps_articles_with_blanks(spark, dump, tmp_path):
@@ -214,3 +214,34 @@ def test_page_rows_use_a_stored_length(spark, dump):
     with_length = pages.withColumn("length", art.text_length(pages))
     plan = art.page_rows(with_length.drop("text"))
     assert plan.agg(F.sum("length")).first()[0] == art.page_rows(pages).agg(F.sum("length")).first()[0]
+
+
+def flawed(spark, folder):
+    from folioscope.sources.dump import page_xml
+
+    rows = [(1, 0, "One", None, 11, None, "a [[Two]]"), (2, 0, "Two", None, 12, None, "b"), (3, 0, "Three", None, 13, None, "c")]
+    pages = spark.createDataFrame(rows, "id long, ns int, title string, redirect string, rid long, date timestamp, text string")
+    pages = pages.withColumn("date", F.lit("2020-01-01").cast("timestamp"))
+    lines = page_xml(pages, F.when(F.col("id") == 2, F.lit("<id>x")).otherwise(F.lit("<id>")))
+    lines.select(F.regexp_replace("value", "^<page>(<title>Three)", '<page v="1">$1')).write.text(folder)
+    return folder
+
+
+def test_unreadable_pages_are_not_lost(spark, tmp_path):
+    dump = flawed(spark, str(tmp_path / "dump"))
+    assert sorted(r.id for r in scan_dump(spark, dump, bad="drop").collect()) == [1, 3]
+    with pytest.raises(Exception, match="could not be read"):
+        scan_dump(spark, dump).collect()
+    jobs.load_articles(spark, dump, str(tmp_path / "article"), rejects=str(tmp_path / "rejects"))
+    assert tuple(jobs.load_result(spark, str(tmp_path / "article"), str(tmp_path / "rejects")).first()) == (2, 1)
+    assert "<title>Two" in spark.read.parquet(str(tmp_path / "rejects")).first()["record"]
+
+
+def test_delete_takes_features_along(spark, tmp_path):
+    from folioscope.sources import sinks
+
+    docs = spark.createDataFrame([(1, "Alpha", "words here"), (2, "Beta", "other words")], "id long, title string, body string")
+    sinks.write_documents(docs, str(tmp_path / "stored"))
+    jobs.delete_documents(spark, str(tmp_path / "stored"), spark.createDataFrame([(1,)], "id long"), str(tmp_path / "left"))
+    for name in ("document", "feature"):
+        assert {r.id for r in spark.read.parquet(str(tmp_path / "left" / name)).collect()} == {2}

@@ -97,3 +97,10 @@ def test_links_of_undecoded_text(spark):
         links = gr.extract_links(pages, decode=decode)
         assert pairs(links.select("src", "dst", "pos")) == expected
         assert all(r["frac"] == r["pos"] / len(text) for r in links.collect())
+
+
+def test_ranks_settle(spark):
+    links = spark.createDataFrame([(1, 2, 0.0), (2, 3, 0.5), (3, 1, 0.2), (3, 4, 0.9), (5, 1, 0.1)], "src long, dst long, frac double")
+    settled = {r["id"]: r["rank"] for r in gr.page_rank(links, tolerance=1e-4).collect()}
+    long = {r["id"]: r["rank"] for r in gr.page_rank(links, rounds=25).collect()}
+    assert all(abs(settled[k] - long[k]) < 0.01 for k in long) and abs(sum(settled.values()) - 1) < 1e-6
