@@ -179,7 +179,7 @@ def _probabilities(grams: DataFrame) -> DataFrame:
         of = {k: F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)}
         seen = F.sum(F.when(F.col("n") > 0, 1).otherwise(0))
         d = level.groupBy("lang").agg(*of.values(), seen.alias("types"))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         cuts = [
             F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), F.coalesce(k - (k + 1) * y * F.col(f"n{k + 1}") / F.when(F.col(f"n{k}") > 0, F.col(f"n{k}")), F.lit(k / 2))))
             for k in (1, 2, 3)
