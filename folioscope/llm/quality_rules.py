@@ -15,7 +15,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Quartile distances from the quartiles to either end of a language's band.
-REACH = 3.0
+REACH = 6.0
 
 
 def repeated_words(words: list[str]) -> int:
