@@ -19,6 +19,8 @@ from .common import mixed, slices
 
 #: Characters of a block, about.
 BLOCK = 16_000_000
+#: Characters that a task works on at a time, about.
+SLICE = 1_000_000
 ASKED = "shard int, lang string, block long, seal long, keys binary, counts binary"
 BODY = "block long, kind int, seal long, lang string, keys binary, body binary"
 LONG = np.uint64
@@ -40,7 +42,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch]):
     task, number, size, held = TaskContext.get().partitionId(), 0, 0, None
     for batch in batches:
         texts = batch.column(1).to_pylist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             if held is not None:
                 last = size >= BLOCK
                 yield (task << 32) + number, last, held

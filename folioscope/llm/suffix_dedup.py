@@ -220,7 +220,7 @@ def _phrases(length: int):
                     context = [whole[a:b] for a, b in zip(begin, end, strict=True)]
                     yield _rows(0, g[cold], g[cold], doc[cold], at[cold], low[cold], high[cold], context)
                 left = np.flatnonzero(~later & (hot == 1))
-                for some in np.array_split(left, max(1, len(left) // 20_000)):
+                for some in np.array_split(left, max(1, len(left) // 10_000)):
                     if not len(some):
                         continue
                     phrase, back = _expanded(low[some], high[some])
@@ -275,16 +275,16 @@ def _settle(length: int):
 
         held: list[pa.Table] = []
         size = 0
-        # whole keys together, about 20,000 rows at a time
+        # whole keys together, about 10,000 rows at a time
         for batch in batches:
             keys = batch.column(0).to_numpy()
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and keys[0] != keys[-1] else 0
             if held and held[-1].column("key")[-1].as_py() != keys[0]:
                 cut = max(cut, 0)
-                if size > 20_000:
+                if size > 10_000:
                     yield from settled(pa.concat_tables(held))
                     held, size = [], 0
-            if cut and size + cut > 20_000:
+            if cut and size + cut > 10_000:
                 held.append(pa.Table.from_batches([batch.slice(0, cut)]))
                 yield from settled(pa.concat_tables(held))
                 held, size = [], 0
