@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import narrowed
 
-#: Chunks whose ids a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+#: Chunks whose ids a worker remembers. What comes later is encoded each time, until so many times
+#: as many were not known that the memory starts anew.
+REMEMBERED, RENEWED = 450_000, 8
 #: A single space between two other characters: no piece reaches across it from the left.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
-UNEVEN = re.compile(r"\s\s|^\s|\s$")
+#: White space other than space, line break, tab and carriage return.
+UNUSUAL = re.compile(r"[^\S \n\t\r]")
+BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 PACKED = "doc_id long, task long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, sequence_id long, start long, length long, offset long, doc_tokens long, ids binary, ids_crc32 long"
 
@@ -44,22 +48,31 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.missed = 0
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = SPACE.split(text) if UNEVEN.search(text) else text.split(" ")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        chunks = [first, *map(" ".__add__, rest)]
+        even = not any(pair in text for pair in BESIDE) and not UNUSUAL.search(text)
+        first, *rest = text.split(" ") if even else SPACE.split(text)
+        if self.missed > RENEWED * REMEMBERED:
+            self.known.clear()
+            self.missed = 0
+        known = self.known  # by chunk, without the space before it
         try:
-            return b"".join(map(known.__getitem__, chunks))
+            ids = b"".join(map(known.__getitem__, rest))
         except KeyError:
-            new = list(set(chunks).difference(known))
-            for chunk, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[chunk] = np.array(made.ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, chunks))
+            new = list(set(rest).difference(known))
+            made = dict(zip(new, self._ids([" " + c for c in new]), strict=True))
+            if len(known) < REMEMBERED:
+                known.update(made)
+            else:
+                self.missed += len(made)
+            ids = b"".join([made[c] if c in made else known[c] for c in rest])
+        return self._ids([first])[0] + ids
 
 
 _encoders: dict[str, ByteEncoder] = {}
