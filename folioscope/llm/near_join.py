@@ -197,15 +197,16 @@ def near_join(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9999)
     members = placed.join(buckets, ["band", "hash"]).select("band", "hash", "parts", "class")
     members = stage(members.withColumn("chunk", F.expr("cast(pmod(xxhash64(class, 2), parts) as int)")), "members")
 
+    # sorted joins at every size: what is small here grows with the documents
     wanted = members.select(F.col("class").alias("doc_id")).distinct()
-    own = narrowed(docs).select(known("doc_id").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = _sets(own).join(classes.select("class", "d1", "copies", "bands"), ["class", "d1"])
+    own = narrowed(docs).select(known("doc_id").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    sets = _sets(own).join(classes.select("class", "d1", "copies", "bands").hint("merge"), ["class", "d1"])
     sets = sets.groupBy("class").agg(F.min(F.struct("d1", "copies", "bands", "grams")).alias("one")).select("class", "one.*")
     sets = stage(sets.drop("d1"), "sets")
 
     tiles = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tiles = tiles.select("hash", "class", "chunk", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "band")
-    tiles = tiles.join(sets, "class").withColumn("key", F.xxhash64("band", "hash", "left", "right"))
+    tiles = tiles.join(sets.hint("merge"), "class").withColumn("key", F.xxhash64("band", "hash", "left", "right"))
     tiles = tiles.select("key", "hash", "left", "right", "band", "class", "chunk", "copies", "bands", "grams").repartition("key")
     linked = tiles.sortWithinPartitions("key", "hash", "left", "right", "band", "class").mapInArrow(_verify(similarity), LINKED)
     linked = stage(linked, "linked")
