@@ -12,6 +12,10 @@ so the lower orders are its low bits and no dictionary of symbols is needed.
    shard answers its questions from its own arrays by binary search.
 4. The documents are read a second time, meet the answers for their block and get their scores.
 
+With ``teaches`` there are two models for each language. A text teaches one of them, by a hash of
+the text, and is scored by the other, so that neither its own counts nor those of a copy of it
+are in its score.
+
 No task or broadcast holds the whole model, and a hot language or text is split over blocks.
 """
 
@@ -31,6 +35,8 @@ from .common import consecutive, mixed
 
 ORDER = 4
 START, END = 2, 3
+#: Added to the count of a gram for each time it is asked for, while a block is merged.
+ASKED_FOR = 2**40
 
 
 def units(text: str) -> bytes:
@@ -54,24 +60,33 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
 
 
-def _ask(shards: int):
+def _model(lang: str, half: int) -> str:
+    """The name of the model taught by one half of a language's texts; -1: by all."""
+    return lang if half < 0 else f"{lang}\n{half}"
+
+
+def _ask(shards: int, teaches: Callable[[list[str]], np.ndarray] | None):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, seal = {}, 0
         for block, last, rows in blocks_of(batches):
             seal = sealed(seal, rows)
             texts, langs = rows.column(1).to_pylist(), np.array(rows.column(2).to_pylist(), dtype=object)
-            train = rows.column(3).to_numpy(zero_copy_only=False)
-            for lang in sorted(set(langs.tolist())):
-                for taught in (True, False):
-                    own = np.flatnonzero((langs == lang) & (train == taught)).tolist()
-                    if own:
-                        keys, counts = np.unique(grams_of([texts[i] for i in own])[0], return_counts=True)
-                        held.setdefault(lang, []).append((keys, counts * taught))
+            train, halves = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+            if teaches:
+                train = train & teaches(texts)
+            for lang, half, taught in sorted(set(zip(langs.tolist(), halves.tolist(), train.tolist(), strict=True))):
+                own = np.flatnonzero((langs == lang) & (halves == half) & (train == taught)).tolist()
+                keys, counts = np.unique(grams_of([texts[i] for i in own])[0], return_counts=True)
+                taught_to, asked_of = _model(lang, half), _model(lang, half if half < 0 else 1 - half)
+                held.setdefault(asked_of, []).append((keys, np.full(len(keys), ASKED_FOR)))
+                if taught:
+                    held.setdefault(taught_to, []).append((keys, counts))
             for lang in held:
                 if len(held[lang]) > 8 or last:
                     held[lang] = [_merge(held[lang])]
             if last:
                 for lang, [(keys, counts)] in held.items():
+                    counts = counts % ASKED_FOR * 2 + (counts >= ASKED_FOR)
                     place = (mixed(keys) % LONG(shards)).astype(np.int64)
                     for shard in np.unique(place).tolist():
                         pick = place == shard
@@ -89,7 +104,7 @@ def _ask(shards: int):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (shard, lang), part in consecutive(batches, 2):
-        counts = [np.frombuffer(c, dtype="<i4") for c in part.column("counts").to_pylist()]
+        counts = [np.frombuffer(c, dtype="<i4") // 2 for c in part.column("counts").to_pylist()]
         keys, total = _merge([(unpacked(k, len(c)), c) for k, c in zip(part.column("keys").to_pylist(), counts, strict=True)])
         n = len(keys)
         yield pa.RecordBatch.from_arrays(
@@ -120,10 +135,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 logs = np.frombuffer(values, dtype="<f4")
                 keys = unpacked(asked, len(logs))
                 continue
-            wanted = unpacked(asked, len(values) // 4)
+            wanted = unpacked(asked, len(values) // 4)[np.frombuffer(values, dtype="<i4") % 2 > 0]
             found = logs[np.searchsorted(keys, wanted)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([0], pa.int32()), pa.array([seal]), pa.array([lang], pa.string()), pa.array([asked], pa.binary()), pa.array([found.tobytes()], pa.binary())],
+                [pa.array([block]), pa.array([0], pa.int32()), pa.array([seal]), pa.array([lang], pa.string()), pa.array([packed(wanted)], pa.binary()), pa.array([found.tobytes()], pa.binary())],
                 names=["block", "kind", "seal", "lang", "keys", "body"],
             )
 
@@ -146,7 +161,8 @@ def _score(features: Callable[[list[str]], list[pa.Array]] | None, names: list[s
                 if kind == 0:
                     continue
                 rows = opened(body)
-                texts, own = rows.column(1).to_pylist(), np.array(rows.column(2).to_pylist(), dtype=object)
+                texts, halves = rows.column(1).to_pylist(), rows.column(4).to_pylist()
+                own = np.array([_model(x, h if h < 0 else 1 - h) for x, h in zip(rows.column(2).to_pylist(), halves, strict=True)], dtype=object)
                 total, count = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=np.int64)
                 for lang in set(own.tolist()):
                     at = np.flatnonzero(own == lang)
@@ -203,7 +219,8 @@ def _probabilities(grams: DataFrame) -> DataFrame:
 
 
 def surprise(
-    docs: DataFrame, features: Callable[[list[str]], list[pa.Array]] | None = None, schema: str = "", taught: DataFrame | None = None
+    docs: DataFrame, features: Callable[[list[str]], list[pa.Array]] | None = None, schema: str = "", taught: DataFrame | None = None,
+    teaches: Callable[[list[str]], np.ndarray] | None = None,
 ) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, lang, n_units, surprise`` and the columns of ``features``.
 
@@ -214,6 +231,9 @@ def surprise(
     in ``taught`` (one column of distinct ids, of a bounded number: it is broadcast). ``features``
     gives further columns, described by ``schema``, from a list of texts.
 
+    ``teaches`` tells which of a list of texts the model may learn from, and has each text scored
+    by a model that neither it nor an equal text has taught.
+
     ``docs`` is read twice and has to come in the same order both times, as a scan of files does;
     otherwise the job fails and says so, and the caller stages the documents first.
     """
@@ -221,13 +241,14 @@ def surprise(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
     )
+    half = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)).cast("int") if teaches else F.lit(-1)
     if taught is None:
-        asking = given.withColumn("train", F.lit(True))
+        asking = given.withColumn("train", F.lit(True)).withColumn("half", half)
     else:
         chosen = taught.select(F.col(taught.columns[0]).alias("t"))
-        asking = given.join(F.broadcast(chosen), F.col("doc_id") == F.col("t"), "left").select("doc_id", "text", "lang", F.col("t").isNotNull().alias("train"))
+        asking = given.join(F.broadcast(chosen), F.col("doc_id") == F.col("t"), "left").select("doc_id", "text", "lang", F.col("t").isNotNull().alias("train"), half.alias("half"))
     shards = shards_for(given)
-    asked = stage(asking.mapInArrow(_ask(shards), ASKED), "asked")
+    asked = stage(asking.mapInArrow(_ask(shards, teaches), ASKED), "asked")
     by = ["shard", "lang"]
     grams = asked.select("shard", "lang", "keys", "counts").repartition("shard").sortWithinPartitions(*by)
     grams = stage(grams.mapInArrow(_count, "shard int, lang string, key long, n long"), "grams")
@@ -235,43 +256,56 @@ def surprise(
     model = stage(logs.mapInArrow(_store, ASKED), "model")
     sides = asked.unionByName(model).repartition("shard").sortWithinPartitions(*by, "block")
     answers = sides.mapInArrow(_answer, BODY)
-    again = given.withColumn("train", F.lit(False))  # the same columns, so that the batches are cut alike
+    again = given.withColumn("train", F.lit(False)).withColumn("half", half)  # the same columns, so that the batches are cut alike
     both = meeting(again, answers)
     out = "doc_id long, lang string, n_units long, surprise double" + (f", {schema}" if schema else "")
     names = [c.split()[0] for c in schema.split(", ")] if schema else []
     return both.mapInArrow(_score(features, names), out)
 
 
+def _quantiles(scored: DataFrame, value: str, shares: dict[str, float], step: float = 0.002) -> DataFrame:
+    """``lang, n_texts`` and quantiles of ``value`` by language, named as in ``shares``.
+
+    Equal texts count once, so that copies cannot draw the quantiles together: rows of equal
+    ``lang, n_units, value`` are one. The quantiles are those of values rounded down to ``step``;
+    what is sorted is one row for each step in use, not for each document.
+    """
+    bins = scored.where(F.col(value).isNotNull()).groupBy("lang", "n_units", value).agg(F.lit(1).alias("one"))
+    bins = bins.groupBy("lang", F.floor(F.col(value) / step).alias("bin")).agg(F.count("*").alias("n"))
+    share = F.sum("n").over(W.partitionBy("lang").orderBy("bin")) / F.sum("n").over(W.partitionBy("lang"))
+    at = [(F.min(F.when(F.col("share") >= q, F.col("bin"))) * step).alias(name) for name, q in shares.items()]
+    return bins.withColumn("share", share).groupBy("lang").agg(F.sum("n").alias("n_texts"), *at)
+
+
 def fences(scored: DataFrame, reach: float, step: float = 0.002) -> DataFrame:
     """``lang, middle, low, high``: quartiles of ``level`` by language, carried outwards.
 
     ``low`` and ``high`` lie ``reach`` quartile distances (0.05 at least) outside the quartiles.
-    Equal texts count once, so that copies cannot draw the quartiles together: rows of equal
-    ``lang, n_units, level`` are one. The quartiles are those of levels rounded to ``step``; what
-    is sorted is one row for each step in use, not for each document.
     """
-    bins = scored.where("level is not null").groupBy("lang", "n_units", "level").agg(F.lit(1).alias("one"))
-    bins = bins.groupBy("lang", F.floor(F.col("level") / step).alias("bin")).agg(F.count("*").alias("n"))
-    share = F.sum("n").over(W.partitionBy("lang").orderBy("bin")) / F.sum("n").over(W.partitionBy("lang"))
-    at = [F.min(F.when(F.col("share") >= q, F.col("bin"))) * step for q in (0.25, 0.5, 0.75)]
-    three = bins.withColumn("share", share).groupBy("lang").agg(*(a.alias(n) for a, n in zip(at, ("q1", "middle", "q3"), strict=True)))
+    three = _quantiles(scored, "level", {"q1": 0.25, "middle": 0.5, "q3": 0.75}, step)
     wide = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(0.05))
     return three.select("lang", "middle", (F.col("q1") - wide).alias("low"), (F.col("q3") + step + wide).alias("high"))
 
 
-def judged(scored: DataFrame, counted, reach: float, short: int = 50) -> DataFrame:
-    """Adds ``perplexity``, ``low``, ``high`` (perplexities) and ``inside``.
+def judged(scored: DataFrame, counted, reach: float, band: tuple[float, float], short: int = 50, least: int = 0, step: float = 0.002) -> DataFrame:
+    """Adds ``perplexity``, ``low``, ``high`` (perplexities), ``inside`` and ``below``.
 
-    ``counted`` says which rows set the fences. A text of n units is drawn towards its language's
-    median as if it had ``short`` units more of that level: short texts scatter more, and so are
-    given more room. A row without a perplexity, or of a language without fences, is inside.
+    ``counted`` says which rows set the band of a language. It goes from one quantile to the
+    other of ``band``, and no farther than the `fences`; a language with fewer than ``least``
+    counted texts, too few to tell such quantiles, has the fences alone. A text of n units is drawn
+    towards its language's median as if it had ``short`` units more of that level, for the
+    quantiles as for the verdict: short texts scatter more, and so are given more room. A row
+    without a perplexity, or of a language without fences, is inside.
     """
     levelled = scored.withColumn("level", F.col("surprise") / F.col("n_units"))
     marks = fences(levelled.where(counted), reach)
-    joined = levelled.join(marks, "lang", "left")
     drawn = F.col("middle") + (F.col("level") - F.col("middle")) * F.col("n_units") / (F.col("n_units") + short)
+    joined = levelled.join(marks, "lang", "left").withColumn("drawn", drawn)
+    ends = _quantiles(joined.where(counted), "drawn", {"first": band[0], "last": band[1]}, step).where(F.col("n_texts") >= least)
+    joined = joined.join(ends.drop("n_texts"), "lang", "left")
+    low, high = F.greatest("low", "first"), F.least("high", F.col("last") + step)
     return joined.select(
-        *scored.columns, F.exp("level").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"),
-        F.coalesce(drawn.between(F.col("low"), F.col("high")), F.lit(True)).alias("inside"),
-        F.coalesce(drawn <= F.col("high"), F.lit(True)).alias("below"),
+        *scored.columns, F.exp("level").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"),
+        F.coalesce(F.col("drawn").between(low, high), F.lit(True)).alias("inside"),
+        F.coalesce(F.col("drawn") <= high, F.lit(True)).alias("below"),
     )

@@ -14,8 +14,12 @@ from .language_model import judged, surprise
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Quartile distances from the quartiles to either end of a language's band.
+#: Quantiles of a language's levels where its band begins and ends.
+BAND = (0.005, 0.99)
+#: Quartile distances from the quartiles beyond which the band never reaches.
 REACH = 6.0
+#: A text with more symbols a word does not teach the model.
+TAUGHT_SYMBOLS = 0.1
 
 
 def repeated_words(words: list[str]) -> int:
@@ -49,19 +53,27 @@ def features(texts: list[str]) -> list[pa.Array]:
     return [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
 
 
+def teaches(texts: list[str]) -> np.ndarray:
+    """Which texts pass the base rules and hold few symbols."""
+    n_words, _, n_symbols, _, n_repeat = (c.to_numpy() for c in features(texts))
+    return (n_words >= 10) & (100 * n_repeat <= 20 * n_words) & (n_symbols <= TAUGHT_SYMBOLS * n_words)
+
+
 def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id, text, lang``), with counts, perplexity and verdict.
 
     ``base_failed``: fewer than 10 words, or more than a fifth of the words in repeated 5-word
     windows. ``kept``: not base_failed, and the perplexity lies in the band ``low`` to ``high`` of
-    its language, ``reach`` quartile distances outside the quartiles of the texts that pass the
-    base rules. The model learns from all rows. A null text is empty and so fails; null languages
+    its language: the quantiles ``BAND`` of the texts that may teach, but no farther than ``reach``
+    quartile distances outside their quartiles. Texts that pass the base rules and hold few symbols
+    teach the model; none is scored by a model that it or an equal text has taught. A null text is empty and so fails; null languages
     are one language; repeated rows give a row each and set the band once.
     """
-    scored = surprise(docs, features, ", ".join(f"{name} long" for name in FEATURES))
+    scored = surprise(docs, features, ", ".join(f"{name} long" for name in FEATURES), teaches=teaches)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = stage(scored.withColumn("base_failed", failed), "scored")
-    rows = judged(scored, ~F.col("base_failed"), reach)
+    clean = ~F.col("base_failed") & (F.col("n_symbols") <= TAUGHT_SYMBOLS * F.col("n_words"))
+    rows = judged(scored, clean, reach, BAND)
     return rows.select(
         "doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & F.col("inside")).alias("kept"), "lang", "perplexity", "low", "high"
     )

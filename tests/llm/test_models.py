@@ -125,6 +125,39 @@ def test_bands_reject_what_stands_out(spark, as_docs, make_prose):
     assert good.columns == docs.columns and {x.doc_id for x in good.collect()} == set(texts) - {200}
 
 
+def plain_crossed(texts, half):
+    """Each text's surprise under the model taught by the other half of the texts."""
+    models = [plain_model([t for k, t in texts.items() if half[k] == h]) for h in (0, 1)]
+    return {k: models[1 - half[k]](t) for k, t in texts.items()}
+
+
+def test_no_text_teaches_its_own_model(as_docs, corpus):
+    docs = as_docs(corpus)
+    half = {x.doc_id: x.h for x in docs.select("doc_id", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(2)).alias("h")).collect()}
+    assert half[3] == half[33] and set(half.values()) == {0, 1}
+    wanted = plain_crossed(corpus, half)
+    rows = language_model.surprise(docs.repartitionByRange(3, "doc_id"), teaches=lambda texts: np.ones(len(texts), dtype=bool)).collect()
+    assert {x.doc_id for x in rows} == set(corpus)
+    for x in rows:
+        n, total = wanted[x.doc_id]
+        assert x.n_units == n and abs(x.surprise - total) < 1e-4 * max(1, total)
+
+
+def test_bands_reject_symbols_tables_and_the_too_predictable(as_docs, make_prose):
+    """Junk is a third of the rows, so neither the model nor the band may learn from it."""
+    r = random.Random(6)
+    drone = lambda n: ["an" * r.randrange(1, 10) for _ in range(n)]
+    texts = {k: " ".join(r.sample(words := make_prose(k, 70) + drone(20), len(words))) for k in range(150)}
+    junk = {1000 + k: " ".join(w + r.choice("%$&*#") * 3 for w in make_prose(500 + k, 80)) for k in range(40)}
+    junk |= {2000 + k: " | ".join(make_prose(600 + k, 80)) for k in range(40)}
+    junk |= {3000 + k: " ".join(drone(120)) for k in range(3)}
+    rows = {x.doc_id: x for x in quality_rules.quality(as_docs(texts | junk)).collect()}
+    assert not any(x.base_failed for x in rows.values())
+    assert not [k for k in junk if rows[k].kept]
+    assert all(rows[k].perplexity < rows[k].low for k in junk if k >= 3000)
+    assert sum(not rows[k].kept for k in texts) <= 3
+
+
 def test_classifier_keeps_what_trusted_text_predicts(spark, as_docs, make_prose):
     texts = {k: " ".join(make_prose(k, 80)) for k in range(100)}
     r = random.Random(1)
