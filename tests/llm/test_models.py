@@ -171,6 +171,17 @@ def test_classifier_keeps_what_trusted_text_predicts(spark, as_docs, make_prose)
     assert all(x.kept and x.perplexity is None for x in none)
 
 
+def test_limit_bears_bad_text_at_two_fifths(spark, as_docs, make_prose):
+    r = random.Random(2)
+    texts = {k: " ".join(make_prose(k, 80)) for k in range(120)}
+    bad = {1000 + k: " ".join(w + r.choice("%$&*#") * 3 for w in make_prose(500 + k, 80)) for k in range(80)}
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(80)], "doc_id long, quality int, toxic int")
+    rows = {x.doc_id: x for x in quality_classifier.classify(as_docs(texts | bad), labels).collect()}
+    assert not [k for k in bad if rows[k].kept] and all(rows[k].kept for k in texts)
+    alone = quality_classifier.classify(as_docs(texts), labels).first()
+    assert abs(math.log(alone.high / rows[0].high)) < 0.1
+
+
 def test_awkward_models(spark, awkward, nothing):
     rows = quality_rules.quality(awkward).collect()
     assert len(rows) == awkward.count() and sum(x.doc_id == 5 for x in rows) == 2
