@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, line_dedup, near_join, packing, quality_classifier, quality_rules, suffix_dedup, tokens
+from . import (
+    chat, decontaminate, fill_middle, language_id, line_dedup, near_join, packing, quality_classifier, quality_rules, suffix_dedup, tokens,
+    turn_repair, url_filter,
+)
 from .common import table
 
 QUERIES: dict = {}
@@ -165,3 +168,76 @@ def op9(spark, folder):
 @register("op10_quality_classifier")
 def op10(spark, folder):
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP11_SQL = r"""
+with keyed as (
+  select doc_id, coalesce(text, '') as t, length(coalesce(text, ''))::bigint as n, sha256('1:' || coalesce(doc_id::varchar, '')) as k from documents
+), numbers as (
+  select *, ('0x' || substr(k, 1, 8))::bigint as h1, ('0x' || substr(k, 9, 8))::bigint as h2,
+    ('0x' || substr(k, 17, 8))::bigint as h3, ('0x' || substr(k, 25, 8))::bigint as h4 from keyed
+), planned as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from numbers
+), parts as (select *, substr(t, 1, a) as prefix, substr(t, a + 1, b - a) as middle, substr(t, b + 1) as suffix from planned)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256
+from parts
+"""
+
+
+@register("op11_fill_middle", OP11_SQL)
+def op11(spark, folder):
+    return fill_middle.transform(table(spark, folder, "documents"), outputs=False)
+
+
+@register("op12_conversation_repair")
+def op12(spark, folder):
+    repaired = turn_repair.repair(turn_repair.damage(table(spark, folder, "conversations")))
+    return turn_repair.digest(repaired)
+
+
+#: Verdict, host and path, as the contract of op13 gives them.
+RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+#: The addresses of ``pages`` on hosts with one of these labels stand for the list of blocked addresses.
+SPAM_LABELS = ("ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+OP13_SQL = rf"""
+with cut as (
+  select page_id, url, coalesce(case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end, '') as rest from pages
+), parts as (
+  select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as query from cut
+), spelled as (
+  select page_id, host, path, regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)?$', '') as bare,
+    regexp_replace(path, '/+$', '') as short,
+    array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' and not regexp_full_match(p, '{url_filter.TRACKING}')), '&') as kept
+  from parts
+), named as (
+  select page_id, host, path, case when bare <> '' then bare || short || case when kept <> '' then '?' || kept else '' end end as address from spelled
+), rules (verdict, rule_host, rule_path) as (
+  values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), listed as (
+  select distinct address as listed_address from named
+  where address is not null and len(list_filter(string_split(host, '.'), lambda p: p in ({", ".join(f"'{x}'" for x in SPAM_LABELS)}))) > 0
+), best as (
+  select page_id, host, path, address, verdict, rule_host || rule_path as rule,
+    row_number() over (partition by page_id, host, path, address order by length(rule_host || rule_path) desc) as k
+  from named left join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select page_id, host, path, rule, coalesce(verdict, case when listed_address is not null then 'block' else 'allow' end) as verdict,
+  address, listed_address is not null as listed
+from best left join listed on listed_address = address where k = 1
+"""
+
+
+@register("op13_url_filters", OP13_SQL)
+def op13(spark, folder):
+    pages = table(spark, folder, "pages")
+    labels = F.split(url_filter.host_of(F.col("url")), r"\.")
+    return url_filter.judge(pages, pages.where(F.arrays_overlap(labels, F.array(*(F.lit(x) for x in SPAM_LABELS)))), RULES)
