@@ -107,8 +107,8 @@ def delete_documents(spark: SparkSession, stored: str, ids: DataFrame, out: str)
 def export_series(spark: SparkSession, counts: str, tokens: list[str], out: str) -> DataFrame:
     """Counts that `tabulate_words` stored as CSV to the wide CSV series of ``tokens``; returns the long series."""
     vocab = scan_stored_vocab(spark, f"{counts}/vocabulary")
-    freqs = ng.cumulative_freq(scan_month_counts(spark, f"{counts}/freq"), vocab)
-    series = ng.series_lookup(freqs, vocab, spark.createDataFrame([(",".join(tokens),)], "tokens STRING"))
+    request = spark.createDataFrame([(",".join(tokens),)], "tokens STRING")
+    series = ng.token_series(scan_month_counts(spark, f"{counts}/freq"), vocab, request)
     sinks.export_series_csv(series, tokens, out)
     return series
 

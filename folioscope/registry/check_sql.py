@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .derived import ID_STEP, LIKE_QUERIES, VOCABULARY_SHARE, WIKI_STEPS
+from .derived import ID_STEP, LIKE_QUERIES, WIKI_STEPS
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -135,10 +135,7 @@ PARTS: dict[str, str] = {
         select l.src, l.dst as dst0, coalesce(f.dst, l.dst) as dst, l.frac
         from id_link l left join final_redirect f on l.dst = f.src""",
     "diffs": "select strftime(date, '%Y-%m-%d %H:%M:%S') as time, plain as words from article",
-    "vocab": rf"""
-        select token, cast(row_number() over (order by token) - 1 as int) as idx
-        from (select unnest(list_distinct(regexp_extract_all(lower(text), '{TOKEN}'))) as token from documents)
-        group by token having count(*) >= (select count(*) from documents) * {VOCABULARY_SHARE}""",
+    "vocab": "select word as token, row_number() over (order by word) - 1 as idx from words",
     "spoken": rf"""
         select cast(date_trunc('month', cast(time as timestamp)) as date) as month,
                unnest(regexp_extract_all(lower(words), '{TOKEN}')) as token
@@ -152,18 +149,26 @@ PARTS: dict[str, str] = {
     "dense": """
         select m.month, v.idx, coalesce(c.count, 0) as count
         from all_months m cross join vocab v left join counts c on c.month = m.month and c.idx = v.idx""",
-    "cumul": """
-        select month, idx, count, cast(sum(count) over (partition by idx order by month) as bigint) as cumul
-        from dense where month <= date '2016-09-01'""",
-    "freqs": "select month, idx, cumul / sum(cumul) over (partition by month) as freq from cumul",
-    "requests": f"select {cap('token')} || ',' || token || '_x' as tokens from vocab",
-    "labels_asked": "select distinct unnest(string_split(tokens, ',')) as label from requests",
+    "used": "select month, idx, count from counts where month <= date '2016-09-01'",
+    "cumul": "select month, idx, count, cast(sum(count) over (partition by idx order by month) as bigint) as cumul from used",
+    "month_sums": """
+        select m.month, sum(coalesce(s.count, 0)) over (order by m.month) as total
+        from all_months m left join (select month, sum(count) as count from used group by month) s on s.month = m.month
+        where m.month <= date '2016-09-01'""",
+    "freqs": "select c.month, c.idx, c.cumul / nullif(t.total, 0) as freq from cumul c join month_sums t on t.month = c.month",
+    "asked_tokens": rf"select distinct unnest(regexp_extract_all(lower(query), '{TOKEN}')) as token from questions",
+    "labels_asked": f"select {cap('token')} as label from asked_tokens union select token || '_x' from asked_tokens",
+    "known": "select a.label, v.idx from labels_asked a join vocab v on v.token = lower(a.label)",
+    "known_months": """
+        select k.label, m.month, cast(sum(coalesce(u.count, 0)) over (partition by k.label order by m.month) as bigint) as cumul
+        from known k cross join (select * from all_months where month <= date '2016-09-01') m
+        left join used u on u.idx = k.idx and u.month = m.month""",
     "series": """
-        select a.label as token, strftime(m.month, '%Y-%m-%d') as date,
-               case when v.idx is null then 0.0 else f.freq end as freq
-        from labels_asked a cross join (select * from all_months where month <= date '2016-09-01') m
-        left join vocab v on v.token = lower(a.label)
-        left join freqs f on f.idx = v.idx and f.month = m.month""",
+        select k.label as token, strftime(k.month, '%Y-%m-%d') as date, k.cumul / nullif(t.total, 0) as freq
+        from known_months k join month_sums t on t.month = k.month
+        union all
+        select label, strftime(month, '%Y-%m-%d'), 0.0 from (select label from labels_asked except select label from known)
+        cross join (select * from all_months where month <= date '2016-09-01')""",
     "messages": """
         select concat(case when event_type = 'error' then 'https://www.example.org/wiki/'
                       else concat('https://', case when user_id % 2 = 0 then 'en' else 'de' end, '.wikipedia.org/wiki/') end,

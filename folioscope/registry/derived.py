@@ -27,7 +27,6 @@ from ..sources.dump import page_xml
 # Ids: a document's article has doc_id * ID_STEP, its redirects follow, a web page ends the block.
 # No document has as many words as a block has ids.
 ID_STEP = 1_000_000
-VOCABULARY_SHARE = 0.1
 SERIES_TOKENS = ["the", "le", "die", "que", "notaword"]
 LIKE_QUERIES = [(1, "tion"), (2, "@ment"), (3, "the ou"), (4, "t_e %on"), (5, "@notaword"), (6, "E @ch")]
 
@@ -209,32 +208,18 @@ class Inputs:
 
     @cached_property
     def vocab(self) -> DataFrame:
-        """``token, idx``: tokens found in a tenth of the documents, numbered in token order.
-
-        There are at most ten times as many as an average document has, so the numbering runs over
-        a short list however many documents there are.
-        """
-        docs = self.given("documents")
-        used = docs.select(F.explode(F.array_distinct(tx.count_tokens(F.col("text")))).alias("token"))
-        least = docs.agg(F.count("*") * VOCABULARY_SHARE).scalar()
-        common = used.groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-        numbered = common.select("token", (F.row_number().over(W.orderBy("token")) - 1).alias("idx"))
-        return self._stage(numbered, "vocab")
+        """``token, idx``: every token of the documents, numbered in token order."""
+        return self._stage(ng.vocabulary(self.words.select(F.col("word").alias("token"))), "vocab")
 
     @cached_property
     def counts(self) -> DataFrame:
         return self._stage(ng.month_token_count(self.diffs, self.vocab), "counts")
 
-    @cached_property
-    def freqs(self) -> DataFrame:
-        return self._stage(ng.cumulative_freq(self.counts, self.vocab), "freqs")
-
     @cached_property
     def requests(self) -> DataFrame:
-        """One request per vocabulary token, for it with a capital and for an unknown token."""
-        return self.vocab.select(
-            F.concat(tx.capitalize(F.col("token")), F.lit(","), F.col("token"), F.lit("_x")).alias("tokens")
-        )
+        """Requests for each token of the questions, with a capital, and for an unknown token."""
+        tokens = self.questions.select(F.explode(tx.count_tokens(F.col("query"))).alias("token")).distinct()
+        return tokens.select(F.concat(tx.capitalize(F.col("token")), F.lit(","), F.col("token"), F.lit("_x")).alias("tokens"))
 
     @cached_property
     def messages(self) -> DataFrame:

@@ -14,20 +14,12 @@ from .catalog import query
 from .derived import SERIES_TOKENS, Inputs
 
 WIDE = ", ".join(f"max(case when token = '{t}' then freq end) as {{}}".replace("{}", f'"{t}"') for t in SERIES_TOKENS)
-SERIES_PARTS = {
-    "picked": "select unnest([{}]) as label".format(", ".join(f"'{t}'" for t in SERIES_TOKENS)),
-    "picked_series": """
-        select a.label as token, strftime(m.month, '%Y-%m-%d') as date,
-               case when v.idx is null then 0.0 else f.freq end as freq
-        from picked a cross join (select * from all_months where month <= date '2016-09-01') m
-        left join vocab v on v.token = lower(a.label)
-        left join freqs f on f.idx = v.idx and f.month = m.month""",
-}
+SERIES_PARTS = {"labels_asked": "select unnest([{}]) as label".format(", ".join(f"'{t}'" for t in SERIES_TOKENS))}
 
 
 def picked_series(i: Inputs):
     request = i.spark.createDataFrame([(",".join(SERIES_TOKENS),)], "tokens STRING")
-    return ng.series_lookup(i.freqs, i.vocab, request)
+    return ng.token_series(i.counts, i.vocab, request)
 
 
 def day(df):
@@ -48,23 +40,31 @@ def _(i: Inputs):
 @query("scan_vocab", "select token, idx from vocab")
 def _(i: Inputs):
     path = fresh_path(i.spark, "vocab")
-    lines = i.vocab.orderBy("idx").coalesce(1)
-    lines.select(F.col("token").alias("index"), F.lit(1).alias("n")).write.csv(path, header=True, escape='"')
+    # Files in order of their names, rows in order in each.
+    i.vocab.orderBy("idx").select(F.col("token").alias("index"), F.lit(1).alias("n")).write.csv(path, header=True, escape='"')
     return tb.scan_vocab(i.spark, path)
 
 
-@query("scan_month_counts", "select strftime(month, '%Y-%m-%d') as month, idx, count from dense")
+@query("scan_month_counts", "select strftime(month, '%Y-%m-%d') as month, idx, count from counts")
 def _(i: Inputs):
     path = fresh_path(i.spark, "month-csv")
-    sinks.write_month_counts(ng.dense_calendar(i.counts, i.vocab), i.vocab, path, csv=True)
+    sinks.write_month_counts(i.counts, i.vocab, path, csv=True)
     return day(tb.scan_month_counts(i.spark, f"{path}/freq"))
 
 
-@query("write_month_counts", "select strftime(month, '%Y-%m-%d') as month, idx, count from dense")
+@query(
+    "write_month_counts",
+    """select strftime(month, '%Y-%m-%d') as month, count(*) as tokens, count(*) filter (count > 0) as used,
+              cast(sum(count) as bigint) as total, cast(sum(idx * count) as bigint) as weighted from dense group by month""",
+)
 def _(i: Inputs):
     path = fresh_path(i.spark, "month-counts")
     sinks.write_month_counts(ng.dense_calendar(i.counts, i.vocab), i.vocab, path)
-    return day(tb.scan_table(i.spark, f"{path}/freq")).select("month", "idx", "count")
+    stored = day(tb.scan_table(i.spark, f"{path}/freq"))
+    return stored.groupBy("month").agg(
+        F.count("*").alias("tokens"), F.count_if(F.col("count") > 0).alias("used"), F.sum("count").alias("total"),
+        F.sum(F.col("idx") * F.col("count")).alias("weighted"),
+    )
 
 
 @query(
@@ -79,7 +79,7 @@ def _(i: Inputs):
 @query("f_vocab", "select token, idx, count(*) as n from spoken join vocab using (token) group by all")
 def _(i: Inputs):
     tokens = i.diffs.select(F.explode(tx.count_tokens(F.col("words"))).alias("token"))
-    return ng.keep_vocabulary(tokens, i.vocab).groupBy("token", "idx").agg(F.count("*").alias("n"))
+    return ng.keep_vocabulary(tokens.groupBy("token").agg(F.count("*").alias("n")), i.vocab).select("token", "idx", "n")
 
 
 @query("month_token_count", "select strftime(month, '%Y-%m-%d') as month, idx, count from counts")
@@ -92,9 +92,13 @@ def _(i: Inputs):
     return day(ng.vocab_lookup(i.counts, i.vocab)).select("month", "token", "count")
 
 
-@query("dense_calendar", "select strftime(month, '%Y-%m-%d') as month, idx, count from dense")
+@query(
+    "dense_calendar",
+    "select idx, count(*) as months, md5(string_agg(cast(count as varchar), ',' order by month)) as counts from dense group by idx",
+)
 def _(i: Inputs):
-    return day(ng.dense_calendar(i.counts, i.vocab))
+    matrix = ng.dense_matrix(i.counts, i.vocab)
+    return matrix.select("idx", F.size("counts").cast("long").alias("months"), F.md5(F.array_join("counts", ",")).alias("counts"))
 
 
 @query("token_total", "select idx, cast(sum(count) as bigint) as count from counts group by idx")
@@ -102,39 +106,34 @@ def _(i: Inputs):
     return ng.token_total(i.counts)
 
 
-@query(
-    "month_norm",
-    """select strftime(month, '%Y-%m-%d') as month, idx, count / nullif(sum(count) over (partition by month), 0) as freq
-       from dense""",
-)
+@query("month_norm", "select strftime(month, '%Y-%m-%d') as month, idx, count / sum(count) over (partition by month) as freq from counts")
 def _(i: Inputs):
-    shares = ng.month_norm(ng.dense_calendar(i.counts, i.vocab))
-    return day(shares).withColumn("freq", F.when(~F.isnan("freq"), F.col("freq")))
+    return day(ng.month_norm(i.counts))
 
 
 @query("cumulative_counts", "select strftime(month, '%Y-%m-%d') as month, idx, count, cumul from cumul")
 def _(i: Inputs):
-    return day(ng.cumulative_counts(ng.dense_calendar(i.counts, i.vocab, last=cal.LAST_SERIES_MONTH)))
+    return day(ng.cumulative_counts(i.counts.filter(cal.in_months(F.col("month"), last=cal.LAST_SERIES_MONTH))))
 
 
 @query("cumulative_freq", "select strftime(month, '%Y-%m-%d') as month, idx, freq from freqs")
 def _(i: Inputs):
-    return day(ng.cumulative_freq(i.counts, i.vocab))
+    return day(ng.frequency_steps(i.counts))
 
 
 @query("series_lookup", "select token, date, freq from series")
 def _(i: Inputs):
-    return ng.series_lookup(i.freqs, i.vocab, i.requests)
+    return ng.token_series(i.counts, i.vocab, i.requests)
 
 
-@query("series_pivot", f"select date, {WIDE} from picked_series group by date", **SERIES_PARTS)
+@query("series_pivot", f"select date, {WIDE} from series group by date", **SERIES_PARTS)
 def _(i: Inputs):
     return ng.series_pivot(picked_series(i), SERIES_TOKENS)
 
 
 @query(
     "export_series_csv",
-    "select date, {} from picked_series group by date".format(
+    "select date, {} from series group by date".format(
         ", ".join(f"printf('%.15f', max(case when token = '{t}' then freq end)) as \"{t}\"" for t in SERIES_TOKENS)
     ),
     **SERIES_PARTS,
@@ -151,12 +150,12 @@ def _(i: Inputs):
     "select min(date) as min_date, max(date) as max_date, min(freq) as min_freq, max(freq) as max_freq from series",
 )
 def _(i: Inputs):
-    return ng.series_extent(ng.series_lookup(i.freqs, i.vocab, i.requests))
+    return ng.series_extent(ng.token_series(i.counts, i.vocab, i.requests))
 
 
 @query("per_million", "select token, date, freq * 1000000 as freq from series")
 def _(i: Inputs):
-    return ng.per_million(ng.series_lookup(i.freqs, i.vocab, i.requests))
+    return ng.per_million(ng.token_series(i.counts, i.vocab, i.requests))
 
 
 @query(
@@ -171,7 +170,11 @@ def _(i: Inputs):
 
 @query(
     "month_sequence",
-    """select idx, strftime(month, '%Y-%m-%d') as month from vocab cross join all_months where month <= date '2016-09-01'""",
+    """select strftime(m.month, '%Y-%m-%d') as month, count(d.time) as edits
+       from (select * from all_months where month <= date '2016-09-01') m
+       left join diffs d on cast(date_trunc('month', cast(d.time as timestamp)) as date) = m.month group by m.month""",
 )
 def _(i: Inputs):
-    return day(i.vocab.select("idx", F.explode(cal.month_sequence()).alias("month")))
+    months = i.spark.range(1).select(F.explode(cal.month_sequence()).alias("month"))
+    edits = i.diffs.groupBy(cal.month_key(F.to_timestamp("time")).alias("month")).agg(F.count("*").alias("edits"))
+    return day(months.join(edits, "month", "left")).select("month", F.coalesce("edits", F.lit(0)).alias("edits"))

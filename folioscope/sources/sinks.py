@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import month_label
 from ..operators.articles import delete_by_id, feature_rows
 from ..operators.ngrams import series_pivot, token_total
+from .tables import scan_month_counts
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -47,20 +48,22 @@ def write_graph(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def write_month_counts(dense: DataFrame, vocab: DataFrame, path: str, csv: bool = False) -> None:
-    """``vocabulary``, ``freq_total`` and the counts by month, zeros included.
+    """``vocabulary``, ``freq_total`` and the counts by month, with zeros if the rows have them.
 
-    As Parquet the counts are partitioned by month; as CSV each month is a folder ``freq_Y_M``.
+    As Parquet the counts are partitioned by month; as CSV each month is a folder ``freq_Y_M``. The
+    totals are those of what was stored, so the counts are made once.
     """
-    total = token_total(dense)
+    spark = vocab.sparkSession
     if not csv:
         vocab.write.parquet(f"{path}/vocabulary")
-        total.write.parquet(f"{path}/freq_total")
         dense.repartitionByRange("month", "idx").write.partitionBy("month").parquet(f"{path}/freq")
+        token_total(spark.read.parquet(f"{path}/freq")).write.parquet(f"{path}/freq_total")
         return
     vocab.select("token", F.col("idx").alias("index")).write.csv(f"{path}/vocabulary", header=True, escape='"')
-    total.select(F.col("idx").alias("token"), "count").write.csv(f"{path}/freq_total", header=True)
     labelled = dense.select(F.concat(F.lit("freq_"), month_label(F.col("month"))).alias("m"), F.col("idx").alias("token"), "count")
     labelled.repartitionByRange("m", "token").write.partitionBy("m").csv(f"{path}/freq", header=True)
+    stored = scan_month_counts(spark, f"{path}/freq")
+    token_total(stored).select(F.col("idx").alias("token"), "count").write.csv(f"{path}/freq_total", header=True)
 
 
 def _decimals():

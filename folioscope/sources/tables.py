@@ -66,17 +66,17 @@ def scan_vocab(spark: SparkSession, path: str) -> DataFrame:
     header = spark.read.options(header=True, escape='"').csv(path).columns
     schema = ", ".join(f"`{c}` STRING" for c in header)
     rows = numbered_rows(_plain_csv(spark, path, schema))
-    return rows.select(F.col("index").alias("token"), F.col("idx").cast("int").alias("idx"))
+    return rows.select(F.col("index").alias("token"), "idx")
 
 
 def scan_stored_vocab(spark: SparkSession, path: str) -> DataFrame:
     """``token, idx`` of a vocabulary as `sinks.write_month_counts` stores it."""
-    return _plain_csv(spark, path, "token STRING, index INT").select("token", F.col("index").alias("idx"))
+    return _plain_csv(spark, path, "token STRING, index BIGINT").select("token", F.col("index").alias("idx"))
 
 
 def scan_month_counts(spark: SparkSession, path: str) -> DataFrame:
     """``month, idx, count`` of per-month CSV files, the month taken from the file name."""
-    files = spark.read.schema("token INT, count BIGINT").options(header=True, pathGlobFilter="*.csv", recursiveFileLookup=True)
+    files = spark.read.schema("token BIGINT, count BIGINT").options(header=True, pathGlobFilter="*.csv", recursiveFileLookup=True)
     label = F.regexp_extract("_metadata.file_path", r"freq_(\d+_\d+)(?:\.csv|/)", 1)
     rows = files.csv(path).select(label.alias("label"), F.col("token").alias("idx"), "count")
     return rows.filter("label != ''").select(label_month(F.col("label")).alias("month"), "idx", "count")

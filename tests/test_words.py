@@ -1,4 +1,5 @@
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import calendar as cal
 from folioscope.operators import ngrams as ng
+from folioscope.operators.numbering import numbered
 from folioscope.plans import jobs
 from folioscope.sources import sinks
 from folioscope.sources import tables as tb
@@ -135,3 +137,72 @@ def test_rows_are_numbered_across_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def random_words(seed, n=60):
+    """Diffs over some years, with months in which nothing is said, and a vocabulary that misses some tokens."""
+    r = random.Random(seed)
+    tokens = [f"w{k:02d}" for k in range(25)]
+    diffs = [
+        (f"{r.choice([2001, 2001, 2005, 2016, 2017])}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", " ".join(r.choices(tokens, k=r.randrange(12))))
+        for _ in range(n)
+    ]
+    return diffs, tokens[:20] + ["absent"]
+
+
+def plain_series(diffs, vocab):
+    """Counts and published measure of every token and month."""
+    months = [f"{y}-{m:02d}-01" for y in range(2001, 2017) for m in range(1, 13)]
+    held = {t: [sum(w.split().count(t) for d, w in diffs if d[:7] == m[:7]) for m in months] for t in vocab}
+    freqs, running, total = {t: [] for t in vocab}, dict.fromkeys(vocab, 0), 0
+    for n in range(189):
+        for t in vocab:
+            running[t] += held[t][n]
+        total = sum(running.values())
+        for t in vocab:
+            freqs[t].append(running[t] / total if total else math.nan)
+    return months, held, freqs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_series_by_brute_force(spark, seed):
+    diffs, tokens = random_words(seed)
+    months, held, freqs = plain_series(diffs, tokens)
+    vocab = ng.vocabulary(spark.createDataFrame([(t,) for t in tokens * 2], "token STRING"))
+    number = {r["token"]: r["idx"] for r in vocab.collect()}
+    assert number == {t: n for n, t in enumerate(sorted(tokens))}
+    counts = ng.month_token_count(spark.createDataFrame(diffs, "time STRING, words STRING"), vocab)
+    matrix = {r["idx"]: r["counts"] for r in ng.dense_matrix(counts, vocab).collect()}
+    assert matrix == {number[t]: held[t] for t in tokens}
+    dense = {(r["idx"], str(r["month"])): r["count"] for r in ng.dense_calendar(counts, vocab).collect()}
+    assert dense == {(number[t], m): c for t in tokens for m, c in zip(months, held[t])}
+
+    def same(a, b):
+        return a == b or math.isnan(a) and math.isnan(b)
+
+    got = {(r["idx"], str(r["month"])): r["freq"] for r in ng.cumulative_freq(counts, vocab).collect()}
+    assert len(got) == 189 * len(tokens) and all(same(got[number[t], m], f) for t in tokens for m, f in zip(months, freqs[t]))
+    steps = {(r["idx"], str(r["month"])): r["freq"] for r in ng.frequency_steps(counts).collect()}
+    assert steps == {(number[t], m): f for t in tokens for m, c, f in zip(months, held[t], freqs[t]) if c}
+    request = spark.createDataFrame([("W03,w03,absent,none",), ("w24",), ("w07,w03",)], "tokens STRING")
+    series = {(r["token"], r["date"]): r["freq"] for r in ng.token_series(counts, vocab, request).collect()}
+    assert len(series) == 189 * 6
+    for label in ("W03", "w03", "w07", "absent"):
+        assert all(same(series[label, m], f) for m, f in zip(months, freqs[label.lower()]))
+    assert {series[label, m] for label in ("none", "w24") for m in months[:189]} == {0.0}
+    lookup = ng.series_lookup(ng.cumulative_freq(counts, vocab), vocab, request).collect()
+    assert all(same(series[r["token"], r["date"]], r["freq"]) for r in lookup) and len(lookup) == len(series)
+
+
+def test_numbering_over_many_ranges(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("v"))
+        got = numbered(rows, ["v", "k"], "n").collect()
+        empty = numbered(rows.limit(0), ["k"]).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["n"] for r in sorted(got, key=lambda r: (r["v"], r["k"]))] == list(range(5000)) and empty == 0
