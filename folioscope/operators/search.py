@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import match_tokens, unescape_link
+from ..session import stage
+from . import block_index as blocks
+from .block_index import SCORE_DECIMALS, BlockIndex, inverse_df, part_score
 from .joins import BROADCAST_ROWS, broadcast_if_small, is_small, salted_join, top_per_group
 
-# The scoring constants of the usual ranked match, page sizes, decimals kept.
-K1, B = 1.2, 0.75
+# Fixed value: hits of a page.
 PAGE = 10
-SCORE_DECIMALS = 6
-# Up to this many distinct query terms are named in the filter of the index scan.
-PUSHED_TERMS = 100
 
 
 # Substring search
@@ -83,21 +82,23 @@ def take_hits(hits: DataFrame, n: int) -> DataFrame:
 
 
 class FieldIndex(NamedTuple):
-    """What ranked search needs to know of a text field."""
+    """What ranked search needs to know of a text field, computed when it is used."""
 
     postings: DataFrame  # id, term, len, tf; len is the number of terms in the document
     size: DataFrame  # one row: docs, avg; documents without terms do not count
+    lengths: DataFrame  # id, len
 
 
 def field_index(articles: DataFrame, field: str, key: str = "aid") -> FieldIndex:
-    """Index of a field, computed when it is used; `write_index` stores it."""
+    """Index of a field; `write_index` stores it."""
     texts = articles.select(F.col(key).alias("id"), match_tokens(F.col(field)).alias("terms"))
     spread = texts.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    lengths = texts.select(F.size("terms").alias("len"))
+    lengths = texts.select("id", F.size("terms").alias("len"))
     docs = F.count_if(F.col("len") > 0)
     return FieldIndex(
         spread.groupBy("id", "term", "len").agg(F.count("*").alias("tf")),
         lengths.agg(docs.alias("docs"), (F.sum("len") / F.nullif(docs, F.lit(0))).alias("avg")),
+        lengths,
     )
 
 
@@ -106,13 +107,22 @@ def postings(articles: DataFrame, field: str, key: str = "aid") -> DataFrame:
 
 
 def write_index(index: FieldIndex, path: str) -> None:
-    """Store an index. Files are ordered by term, so a search for few terms skips most of them."""
-    index.postings.sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
-    index.size.write.parquet(f"{path}/size")
+    """Store an index in blocks, ordered by term, so a search for few terms skips most of them."""
+    blocks.create(index.postings, index.lengths, path)
 
 
-def read_index(spark: SparkSession, path: str) -> FieldIndex:
-    return FieldIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size"))
+def read_index(spark: SparkSession, path: str) -> BlockIndex:
+    return blocks.read(spark, path)
+
+
+def insert_into_index(index: FieldIndex, path: str) -> None:
+    """Add further documents to a stored index; what is stored stays as it is."""
+    blocks.insert(index.postings, index.lengths, path)
+
+
+def delete_from_index(ids: DataFrame, path: str, key: str = "aid") -> None:
+    """Take documents out of a stored index; what is stored stays as it is."""
+    blocks.delete(ids.select(F.col(key).alias("id")), path)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -121,38 +131,40 @@ def _query_terms(queries: DataFrame) -> DataFrame:
 
 
 def score(index: FieldIndex, queries: DataFrame) -> DataFrame:
-    """``(qid, id, score)`` of every document that shares a term with a query.
+    """``(qid, id, score)`` of every document that shares a term with a query, without a stored index.
 
-    ``queries`` is ``(qid, query)``. Postings of terms no query asks for are dropped first; on an
-    index that is not stored that happens in the tasks that read the text, before any shuffle.
-    The score is the sum over query terms of
-    ``ln(1 + (N - df + .5) / (df + .5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len / avg))``,
-    kept to six decimals so that equal scores are equal.
+    ``queries`` is ``(qid, query)``. Postings of terms no query asks for are dropped in the tasks that
+    read the text, before any shuffle. The score is that of `block_index.best_hits`.
     """
     asked = _query_terms(queries)
     few = is_small(asked)
     terms = asked.select("term").distinct()
-    rows = index.postings
-    named = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()] if few else []
-    if 0 < len(named) <= PUSHED_TERMS:
-        rows = rows.filter(F.col("term").isin(*named))  # reaches the scan
-    found = rows.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    found = stage(index.postings.join(F.broadcast(terms) if few else terms, "term", "left_semi"), "found")
     spelled = found.groupBy("term").agg(F.count("*").alias("df"))
     size = index.size.select(F.struct("docs", "avg")).scalar()
-    idf = F.ln(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(spelled, "term").select("qid", "term", (idf * F.col("times")).alias("weight"))
+    weighted = asked.join(spelled, "term").select("qid", "term", (inverse_df(size["docs"], F.col("df")) * F.col("times")).alias("weight"))
     if few:
         # ``weighted`` has no more rows than ``asked``. With all postings of a document in one task
         # the scores need no further shuffle, and only the best of each task go on.
         matched = found.repartition("id").join(F.broadcast(weighted), "term")
     else:
         matched = salted_join(found, weighted, "term", counts=spelled.withColumnRenamed("df", "rows"))
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (
-        F.col("tf") + K1 * (1 - B + B * F.col("len") / size["avg"])
-    )
+    part = F.col("weight") * part_score(F.col("tf"), F.col("len"), size["avg"])
     return matched.groupBy("qid", "id").agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
 
 
+def _hits(articles: DataFrame, queries: DataFrame, field: str, last: int, key: str, index: BlockIndex | None) -> DataFrame:
+    """``qid, id, score`` of at least the best ``last`` hits of each query."""
+    if index is not None:
+        return blocks.best_hits(index, _query_terms(queries), last)
+    return score(field_index(articles, field, key), queries)
+
+
+def search_effort(queries: DataFrame, index: BlockIndex, size: int = PAGE) -> DataFrame:
+    """Per query, the postings of its terms and how many of them a search of a stored index scores."""
+    return blocks.effort(index, _query_terms(queries), size)
+
+
 def _page(
     scored: DataFrame, articles: DataFrame, queries: DataFrame, size: int, base: int, key: str
 ) -> DataFrame:
@@ -170,7 +182,7 @@ def search_field(
     size: int = PAGE,
     base: int = 0,
     key: str = "aid",
-    index: FieldIndex | None = None,
+    index: BlockIndex | None = None,
 ) -> DataFrame:
     """Ranked hits on a field: any term counts, best first, ties by id.
 
@@ -181,12 +193,11 @@ def search_field(
         hits = articles.select(key, "title").join(broadcast_if_small(asked), key)
         # ids are unique, so a query has one hit: that of rank 1, on the first page
         return hits.where(F.lit(base < 1 <= base + size)).select("qid", F.lit(1).alias("rank"), key, "title", F.lit(1.0).alias("score"))
-    scored = score(index or field_index(articles, field, key), queries)
-    return _page(scored, articles, queries, size, base, key)
+    return _page(_hits(articles, queries, field, base + size, key, index), articles, queries, size, base, key)
 
 
 def search_title(
-    articles: DataFrame, queries: DataFrame, size: int = PAGE, base: int = 0, index: FieldIndex | None = None
+    articles: DataFrame, queries: DataFrame, size: int = PAGE, base: int = 0, index: BlockIndex | None = None
 ) -> DataFrame:
     return search_field(articles, queries, "title", size, base, index=index)
 
@@ -198,12 +209,15 @@ def search_dismax(
     size: int = PAGE,
     base: int = 0,
     key: str = "aid",
-    indexes: dict[str, FieldIndex] | None = None,
+    indexes: dict[str, BlockIndex] | None = None,
 ) -> DataFrame:
-    """Ranked hits where a document counts by its best field."""
+    """Ranked hits where a document counts by its best field.
+
+    A document among the best is so in its best field too, so the best of each field are enough.
+    """
     scored = None
     for field in fields:
-        part = score((indexes or {}).get(field) or field_index(articles, field, key), queries)
+        part = _hits(articles, queries, field, base + size, key, (indexes or {}).get(field))
         scored = part if scored is None else scored.unionByName(part)
     best = scored.groupBy("qid", "id").agg(F.max("score").alias("score"))
     return _page(best, articles, queries, size, base, key)
@@ -228,7 +242,7 @@ def result_rows(hits: DataFrame, key: str = "aid") -> DataFrame:
     return hits.select(key, "title")
 
 
-def link_by_term(articles: DataFrame, terms: DataFrame, index: FieldIndex | None = None) -> DataFrame:
+def link_by_term(articles: DataFrame, terms: DataFrame, index: BlockIndex | None = None) -> DataFrame:
     """Best article whose title holds the given token; null where no title does.
 
     The token is matched as given, not analysed, so one in upper case finds nothing.
@@ -240,7 +254,7 @@ def link_by_term(articles: DataFrame, terms: DataFrame, index: FieldIndex | None
     return asked.join(hits.select(F.col("qid").alias("term"), "aid"), "term", "left")
 
 
-def resolve_href(articles: DataFrame, hrefs: DataFrame, index: FieldIndex | None = None) -> DataFrame:
+def resolve_href(articles: DataFrame, hrefs: DataFrame, index: BlockIndex | None = None) -> DataFrame:
     """Article a link address leads to: underscores as blanks, best title match."""
     asked = hrefs.select(F.col("href").alias("qid"), unescape_link(F.col("href")).alias("query")).distinct()
     return first_hit(search_title(articles, asked, size=1, index=index)).select(F.col("qid").alias("href"), "aid", "title")

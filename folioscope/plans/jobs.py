@@ -9,6 +9,7 @@ from ..operators import articles as art
 from ..operators import graph as gr
 from ..operators import ngrams as ng
 from ..operators import search as se
+from ..operators.block_index import BlockIndex, compact
 from ..session import stage
 from ..sources import sinks
 from ..sources.dump import scan_dump, scan_dump_raw
@@ -85,7 +86,7 @@ def rank_pages(spark: SparkSession, graph: str, out: str) -> DataFrame:
     return scan_table(spark, out)
 
 
-def index_articles(spark: SparkSession, articles: str, out: str, fields: tuple[str, ...] = ("title", "text")) -> dict[str, se.FieldIndex]:
+def index_articles(spark: SparkSession, articles: str, out: str, fields: tuple[str, ...] = ("title", "text")) -> dict[str, BlockIndex]:
     """Stored articles to a stored search index for each field."""
     rows = scan_table(spark, articles)
     for field in fields:
@@ -93,6 +94,28 @@ def index_articles(spark: SparkSession, articles: str, out: str, fields: tuple[s
     return {field: se.read_index(spark, f"{out}/{field}") for field in fields}
 
 
+def insert_articles(spark: SparkSession, dump: str, articles: str, index: str, fields: tuple[str, ...] = ("title", "text")) -> None:
+    """Add the articles of a further dump to stored articles and to the indexes of their fields."""
+    rows = stage(art.article_rows(scan_dump(spark, dump, namespace=0)), "batch")
+    sinks.append_rows(rows, articles)
+    for field in fields:
+        se.insert_into_index(se.field_index(rows, field), f"{index}/{field}")
+
+
+def delete_articles(spark: SparkSession, articles: str, ids: DataFrame, index: str, out: str, fields: tuple[str, ...] = ("title", "text")) -> DataFrame:
+    """Stored articles without the ids ``aid``, as a new table; in the indexes of their fields they are marked."""
+    for field in fields:
+        se.delete_from_index(ids, f"{index}/{field}")
+    sinks.rewrite_without(scan_table(spark, articles), ids, out, "aid")
+    return scan_table(spark, out)
+
+
+def compact_indexes(spark: SparkSession, index: str, fields: tuple[str, ...] = ("title", "text")) -> None:
+    """Put the segments that inserts and deletes have left into one, for each field."""
+    for field in fields:
+        compact(spark, f"{index}/{field}")
+
+
 def insert_batch(spark: SparkSession, dump: str, out: str) -> None:
     """Add the documents of a further dump, with their features, to stored ones."""
     sinks.insert_documents(stage(art.document_rows(scan_dump(spark, dump)), "batch"), out)

@@ -21,6 +21,7 @@ from ..operators import graph as gr
 from ..operators import history as hist
 from ..operators import ngrams as ng
 from ..operators import search as se
+from ..operators.block_index import BlockIndex
 from ..session import fresh_path, spread, stage
 from ..sources.dump import page_xml
 
@@ -145,21 +146,21 @@ class Inputs:
     def search_article(self) -> DataFrame:
         return self._stage(art.article_rows(self.dump_page), "search-article")
 
-    def _index(self, field: str) -> se.FieldIndex:
+    def _index(self, field: str) -> BlockIndex:
         path = fresh_path(self.spark, f"{field}-index")
         se.write_index(se.field_index(self.search_article, field), path)
         return se.read_index(self.spark, path)
 
     @cached_property
-    def title_index(self) -> se.FieldIndex:
+    def title_index(self) -> BlockIndex:
         return self._index("title")
 
     @cached_property
-    def text_index(self) -> se.FieldIndex:
+    def text_index(self) -> BlockIndex:
         return self._index("text")
 
     @property
-    def indexes(self) -> dict[str, se.FieldIndex]:
+    def indexes(self) -> dict[str, BlockIndex]:
         return {"title": self.title_index, "text": self.text_index}
 
     @cached_property

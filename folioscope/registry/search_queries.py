@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import escape_link
 from ..operators import search as se
+from ..operators.block_index import BlockIndex, compact
+from ..session import fresh_path
 from .catalog import query
-from .check_sql import like_sql
+from .check_sql import PARTS, like_sql
 from .derived import LIKE_QUERIES, Inputs
 
 
@@ -72,6 +74,38 @@ def _(i: Inputs):
     return se.search_field(i.search_article, i.questions, "text", index=i.text_index)
 
 
+# The articles of an index that later ones were added to and some were taken out of.
+UPDATED = {
+    "every_article": PARTS["search_article"],
+    "search_article": "select * from every_article where not starts_with(title, 'D')",
+}
+
+
+def updated_index(i: Inputs, compacted: bool) -> BlockIndex:
+    path, late = fresh_path(i.spark, "updated-index"), F.col("date") >= F.lit("2010-01-01").cast("timestamp")
+    se.write_index(se.field_index(i.search_article.filter(~late), "title"), path)
+    se.insert_into_index(se.field_index(i.search_article.filter(late), "title"), path)
+    se.delete_from_index(i.search_article.filter(F.startswith("title", F.lit("D"))).select("aid"), path)
+    if compacted:
+        compact(i.spark, path)
+    return se.read_index(i.spark, path)
+
+
+@query("search_updated", hits_sql("title", 1, 10), **UPDATED)
+def _(i: Inputs):
+    return se.search_title(i.search_article, i.questions, index=updated_index(i, compacted=False))
+
+
+@query("search_compacted", hits_sql("title", 1, 10), **UPDATED)
+def _(i: Inputs):
+    return se.search_title(i.search_article, i.questions, index=updated_index(i, compacted=True))
+
+
+@query("search_effort")
+def _(i: Inputs):
+    return se.search_effort(i.questions, i.text_index)
+
+
 @query("search_by_id", "select cast(aid as varchar) as qid, 1 as rank, aid, title, 1.0 as score from search_article")
 def _(i: Inputs):
     ids = i.search_article.select(F.col("aid").cast("string").alias("qid"), F.col("aid").cast("string").alias("query"))

@@ -59,6 +59,7 @@ def hits(df):
 @pytest.mark.parametrize("few", [True, False])
 def test_ranked_search_equals_formula(spark, monkeypatch, few):
     monkeypatch.setattr(se, "is_small", lambda df, **bounds: few)
+    monkeypatch.setattr(se.blocks, "is_small", lambda df, **bounds: few)
     data, articles = make(spark)
     queries = spark.createDataFrame(QUERIES, "qid INT, query STRING")
     assert hits(se.search_field(articles, queries, "text", size=7)) == top(ranked(data, 2, QUERIES), 7)
@@ -125,3 +126,85 @@ def test_unranked_results(spark):
     assert [r["id"] for r in se.take_hits(se.distinct_ids(features), 2).collect()] == [1, 2]
     titles, bodies = features.filter("type = 'title'"), features.filter(F.col("value").contains("shoes"))
     assert sorted(r["id"] for r in se.intersect_terms(titles, bodies).collect()) == [1, 2]
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(se.blocks, "BLOCK_BITS", 2)
+
+
+def stored(spark, articles, path, field="text"):
+    se.write_index(se.field_index(articles, field), path)
+    return se.read_index(spark, path)
+
+
+def skewed(spark, count, seed):
+    """Rows with words from very common to rare."""
+    rng = random.Random(seed)
+    words = [f"w{int(40 * rng.random() ** 3)}" for _ in range(400)]
+    data = [(n, "", " ".join(rng.choices(words, k=rng.randrange(0, 25)))) for n in range(count)]
+    return data, spark.createDataFrame(data, "aid BIGINT, title STRING, text STRING")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_early_stop_equals_full_scoring(spark, small_blocks, tmp_path, seed):
+    data, articles = skewed(spark, 400, seed)
+    rng = random.Random(seed + 50)
+    asked = [(n, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 5)))) for n in range(40)]
+    queries = spark.createDataFrame(asked, "qid INT, query STRING")
+    index, scores = stored(spark, articles, str(tmp_path / "index")), ranked(data, 2, asked)
+    for size, base in ((3, 0), (10, 5)):
+        assert hits(se.search_field(articles, queries, "text", size, base, index=index)) == top(scores, size, base)
+
+
+def test_few_documents_are_scored_for_a_rare_and_a_common_term(spark, small_blocks, tmp_path):
+    rows = [(n, "", "common " + ("rare " if n % 500 == 7 else "") + " ".join(f"f{k}" for k in range(n % 9))) for n in range(3000)]
+    articles = spark.createDataFrame(rows, "aid BIGINT, title STRING, text STRING")
+    index = stored(spark, articles, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "rare common"), (2, "rare"), (3, "nothing")], "qid INT, query STRING")
+    assert hits(se.search_field(articles, queries, "text", 5, index=index)) == top(ranked(rows, 2, [(1, "rare common"), (2, "rare")]), 5)
+    effort = {r["qid"]: (r["postings"], r["scored"]) for r in se.search_effort(queries, index, 5).collect()}
+    assert effort[1][0] == 3006 and effort[1][1] < 100 and effort[2][0] == 6 and 3 not in effort
+
+
+def test_index_after_inserts_and_deletes_equals_a_new_one(spark, small_blocks, tmp_path):
+    data, articles = skewed(spark, 300, 9)
+    asked = [(n, f"w{n} w{39 - n} w0") for n in range(20)]
+    queries = spark.createDataFrame(asked, "qid INT, query STRING")
+    path = str(tmp_path / "index")
+    ids = lambda *n: spark.createDataFrame([(k,) for k in n], "aid BIGINT")
+    se.write_index(se.field_index(articles.filter("aid < 150"), "text"), path)
+    base = sorted(p for p in (tmp_path / "index").rglob("*.parquet"))
+
+    def check(alive, size=4):
+        index = se.read_index(spark, path)
+        scores = ranked([r for r in data if r[0] in alive], 2, asked)
+        assert hits(se.search_field(articles, queries, "text", size, index=index)) == top(scores, size)
+
+    se.insert_into_index(se.field_index(articles.filter("aid >= 200"), "text"), path)
+    check({*range(150), *range(200, 300)})
+    se.delete_from_index(ids(*range(20, 60), 250, 250, 9999, None), path)
+    alive = {*range(20), *range(60, 150), *range(200, 250), *range(251, 300)}
+    check(alive)
+    se.insert_into_index(se.field_index(articles.filter("aid between 30 and 40 or aid between 150 and 199"), "text"), path)
+    alive |= {*range(30, 41), *range(150, 200)}
+    se.delete_from_index(ids(35), path)
+    check(alive - {35}, size=400)
+    assert all(p.exists() for p in base)
+    se.blocks.compact(spark, path)
+    check(alive - {35})
+    assert se.read_index(spark, path).deleted is None
+    se.delete_from_index(ids(), path)
+    se.insert_into_index(se.field_index(articles.filter("aid = 35"), "text"), path)
+    check(alive)
+
+
+def test_index_of_nothing(spark, tmp_path):
+    _, articles = make(spark)
+    index = stored(spark, articles.limit(0), str(tmp_path / "index"))
+    queries = spark.createDataFrame(QUERIES, "qid INT, query STRING")
+    assert hits(se.search_field(articles, queries, "text", index=index)) == []
+    se.insert_into_index(se.field_index(articles, "text"), str(tmp_path / "index"))
+    data, _ = make(spark)
+    index = se.read_index(spark, str(tmp_path / "index"))
+    assert hits(se.search_field(articles, queries, "text", index=index)) == top(ranked(data, 2, QUERIES), 10)
