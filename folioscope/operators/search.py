@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import match_tokens, unescape_link
 from ..session import stage
 from . import block_index as blocks
+from . import substrings
 from .block_index import SCORE_DECIMALS, BlockIndex, inverse_df, part_score
 from .joins import BROADCAST_ROWS, broadcast_if_small, is_small, salted_join, top_per_group
+from .substrings import SubstringIndex, search_substrings, substring_index
 
 # Fixed value: hits of a page.
 PAGE = 10
@@ -20,44 +22,17 @@ PAGE = 10
 # Substring search
 
 
-def _conditions(query: str) -> list[tuple[str, str]]:
-    wanted = []
-    for term in query.split():
-        if term.startswith("@"):
-            wanted.append(("title", term[1:]))
-        else:
-            wanted += [("title", term), ("body", term)]
-    return wanted
-
-
-def search_like(features: DataFrame, queries: list[tuple[int, str]]) -> DataFrame:
+def search_like(features: DataFrame, queries: DataFrame | list[tuple[int, str]], index: SubstringIndex | None = None) -> DataFrame:
     """``(qid, id)`` of the documents whose features match all terms of a query.
 
-    A term must be part of a title token and of a body token, ``@term`` only of a title token;
-    ``%`` and ``_`` are wildcards and case does not matter. One scan tests each feature against
-    all conditions and one aggregation keeps the ids that met all of them. Queries of blanks give
-    no rows; for the empty query use `search_all`.
+    ``queries`` is a table ``qid, query``, or a short list. A term must be part of a title token and of
+    a body token, ``@term`` only of a title token; ``%`` and ``_`` are wildcards and case does not
+    matter. ``index`` is the stored index of the features, if there is one. Queries of blanks give no
+    rows; for the empty query use `search_all`.
     """
-    tests, needed = [], []
-    for qid, query in queries:
-        wanted = _conditions(query)
-        needed.append(F.struct(F.lit(qid).alias("qid"), F.lit(len(set(wanted))).alias("needed")))
-        for n, (kind, term) in enumerate(dict.fromkeys(wanted)):
-            pattern = "%" + term.replace("\\", "\\\\") + "%"
-            hit = (F.col("type") == kind) & F.ilike("value", F.lit(pattern))
-            tests.append(F.when(hit, F.struct(F.lit(qid).alias("qid"), F.lit(n).alias("met"))))
-    if not tests:
-        return features.filter("false").select(F.lit(0).alias("qid"), "id")
-    kinds = sorted({kind for _, query in queries for kind, _ in _conditions(query)})
-    met = (
-        features.filter(F.col("type").isin(*kinds))
-        .select("id", F.explode(F.array_compact(F.array(*tests))).alias("t"))
-        .select("id", "t.qid", "t.met")
-        .groupBy("qid", "id")
-        .agg(F.size(F.collect_set("met")).alias("met"))
-    )
-    sizes = F.map_from_entries(F.array(*needed))
-    return met.filter(F.col("met") == F.element_at(sizes, F.col("qid"))).select("qid", "id")
+    if isinstance(queries, list):
+        queries = features.sparkSession.createDataFrame(queries, "qid INT, query STRING")
+    return search_substrings(index or substring_index(features), queries)
 
 
 def search_all(docs: DataFrame) -> DataFrame:

@@ -216,18 +216,28 @@ for _name in ("title", "text", "best"):
         from s_{_name} s join search_article a on a.aid = s.id"""
 
 
-def like_sql() -> str:
-    rows = []
-    for qid, query in LIKE_QUERIES:
-        tests = []
-        for term in query.split():
-            kinds = ["title"] if term.startswith("@") else ["title", "body"]
-            tests += [
-                f"select id from feature where type = '{k}' and value ilike {quoted('%' + term.lstrip('@') + '%')}"
-                for k in kinds
-            ]
-        rows.append(f"select {qid} as qid, id from (select distinct id from ({' intersect '.join(tests)}))")
-    return " union all ".join(rows)
+PARTS["long_words"] = rf"""
+    select qid, list_filter(regexp_extract_all(lower(query), '{TOKEN}'), lambda w: length(w) > 5) as w from questions"""
+PARTS["like_queries"] = f"""
+    select qid + 100 as qid, '@' || substr(w[1], 1, 3) || ' ' || substr(w[1], 1, 4) || ' @' || substr(w[2], 2, 4) as query
+    from long_words where len(w) > 1
+    union all values {", ".join(f"({qid}, {quoted(query)})" for qid, query in LIKE_QUERIES)}"""
+PARTS["like_terms"] = "select qid, unnest(string_split(query, ' ')) as term from like_queries"
+PARTS["like_conditions"] = """
+    select distinct qid, type, ltrim(term, '@') as term from like_terms cross join (values ('title'), ('body')) k(type)
+    where type = 'title' or not starts_with(term, '@')"""
+PARTS["feature_values"] = "select distinct type, value from feature"
+PARTS["like_values"] = """
+    select distinct c.type, c.term, v.value
+    from (select distinct type, term from like_conditions) c join feature_values v on v.type = c.type and v.value ilike '%' || c.term || '%'"""
+PARTS["like_met"] = """
+    select distinct c.qid, c.type, c.term, f.id
+    from like_conditions c join like_values v on v.type = c.type and v.term = c.term
+    join feature f on f.type = v.type and f.value = v.value"""
+PARTS["like_needed"] = "select qid, count(*) as needed from like_conditions group by qid"
+LIKE_SQL = """
+    select m.qid, m.id from (select qid, id, count(*) as met from like_met group by qid, id) m
+    join like_needed n on n.qid = m.qid and n.needed = m.met"""
 
 
 def check(final: str, **extra: str) -> str:

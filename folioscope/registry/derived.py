@@ -21,6 +21,7 @@ from ..operators import graph as gr
 from ..operators import history as hist
 from ..operators import ngrams as ng
 from ..operators import search as se
+from ..operators import substrings as sub
 from ..operators.block_index import BlockIndex
 from ..session import fresh_path, spread, stage
 from ..sources.dump import page_xml
@@ -29,7 +30,7 @@ from ..sources.dump import page_xml
 # No document has as many words as a block has ids.
 ID_STEP = 1_000_000
 SERIES_TOKENS = ["the", "le", "die", "que", "notaword"]
-LIKE_QUERIES = [(1, "tion"), (2, "@ment"), (3, "the ou"), (4, "t_e %on"), (5, "@notaword"), (6, "E @ch")]
+LIKE_QUERIES = [(1, "tion"), (2, "@ment"), (3, "the ou"), (4, "t_e %on"), (5, "@notaword"), (6, "E @ch"), (7, "%"), (8, "@_____________")]
 
 WIKI_STEPS = [
     (r"([\p{L}\p{N}_]{2,})( [\p{L}\p{N}_]{2,})", r"[[\1]]\2"),
@@ -159,6 +160,21 @@ class Inputs:
     def text_index(self) -> BlockIndex:
         return self._index("text")
 
+    @cached_property
+    def like_index(self) -> sub.SubstringIndex:
+        path = fresh_path(self.spark, "like-index")
+        sub.write_substring_index(sub.substring_index(self.features), path)
+        return sub.read_substring_index(self.spark, path)
+
+    @cached_property
+    def like_queries(self) -> DataFrame:
+        """``qid, query``: parts of two words of each question, and some odd queries."""
+        words = F.filter(tx.count_tokens(F.col("query")), lambda w: F.length(w) > 5)
+        part = [F.substr(words[k], F.lit(k + 1), F.lit(4)) for k in (0, 1)]
+        asked = F.concat(F.lit("@"), F.substr(words[0], F.lit(1), F.lit(3)), F.lit(" "), part[0], F.lit(" @"), part[1])
+        questions = self.questions.filter(F.size(words) > 1).select((F.col("qid") + 100).alias("qid"), asked.alias("query"))
+        return questions.unionByName(self.spark.createDataFrame(LIKE_QUERIES, "qid BIGINT, query STRING"))
+
     @property
     def indexes(self) -> dict[str, BlockIndex]:
         return {"title": self.title_index, "text": self.text_index}

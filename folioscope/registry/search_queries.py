@@ -9,8 +9,8 @@ from ..operators import search as se
 from ..operators.block_index import BlockIndex, compact
 from ..session import fresh_path
 from .catalog import query
-from .check_sql import PARTS, like_sql
-from .derived import LIKE_QUERIES, Inputs
+from .check_sql import LIKE_SQL, PARTS
+from .derived import Inputs
 
 
 def hits_sql(which: str, first: int, last: int) -> str:
@@ -25,9 +25,9 @@ def title_questions(i: Inputs):
     return i.search_article.select(F.col("title").alias("qid"), F.col("title").alias("query"))
 
 
-@query("search_like", like_sql())
+@query("search_like", LIKE_SQL)
 def _(i: Inputs):
-    return se.search_like(i.features, LIKE_QUERIES)
+    return se.search_like(i.features, i.like_queries, i.like_index)
 
 
 @query("search_all", "select id from document")

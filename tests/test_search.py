@@ -208,3 +208,30 @@ def test_index_of_nothing(spark, tmp_path):
     data, _ = make(spark)
     index = se.read_index(spark, str(tmp_path / "index"))
     assert hits(se.search_field(articles, queries, "text", index=index)) == top(ranked(data, 2, QUERIES), 10)
+
+
+def like(term, value):
+    """SQL LIKE of ``%term%`` as a pattern of Python."""
+    return re.search("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in term.lower()), value.lower(), re.S)
+
+
+@pytest.mark.parametrize("is_stored", [False, True])
+def test_substring_search_by_brute_force(spark, tmp_path, is_stored):
+    rng = random.Random(21)
+    values = ["".join(rng.choice("abcÄ%_\\") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    rows = [(n % 50, rng.choice(["title", "body"]), rng.choice(values)) for n in range(600)] + [(51, "title", None), (52, "body", "")]
+    features = spark.createDataFrame(rows, "id BIGINT, type STRING, value STRING")
+    asked = [(n, " ".join(rng.choice(["", "@"]) + "".join(rng.choice("abcä%_\\") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 3)))) for n in range(120)]
+    asked += [(200, "%"), (201, "@___"), (202, "@"), (203, "  \t"), (204, ""), (205, None), (206, "zzz"), (207, "a b"), (208, "@%_%_")]
+    index = None
+    if is_stored:
+        se.substrings.write_substring_index(se.substrings.substring_index(features), str(tmp_path / "index"))
+        index = se.substrings.read_substring_index(spark, str(tmp_path / "index"))
+    got = se.search_like(features, spark.createDataFrame(asked, "qid INT, query STRING"), index).collect()
+    want = set()
+    for qid, query in asked:
+        tests = [(t, w.lstrip("@") if w[0] == "@" else w) for w in (query or "").split() for t in (("title",) if w[0] == "@" else ("title", "body"))]
+        for doc in {r[0] for r in rows}:
+            if tests and all(any(r[0] == doc and r[1] == t and r[2] is not None and like(w, r[2]) for r in rows) for t, w in tests):
+                want.add((qid, doc))
+    assert sorted(map(tuple, got)) == sorted(want)
