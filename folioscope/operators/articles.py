@@ -90,6 +90,11 @@ def redirect_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def _place(pages: DataFrame) -> list[str]:
+    """Where a page stands in the dump, if the scan was asked for it."""
+    return [c for c in pages.columns if c == "place"]
+
+
 def article_rows(pages: DataFrame) -> DataFrame:
     """Search articles: main namespace, no redirect text."""
     return stored_rows(without_redirect_text(fill_default(in_main_namespace(pages), "text")))
@@ -99,14 +104,14 @@ def stored_rows(pages: DataFrame) -> DataFrame:
     """The columns of ``article``; empty text where the element was empty."""
     return fill_default(pages, "text").select(
         F.col("id").alias("aid"), "title", "rid", "date",
-        tx.reduce_text(F.col("text")).alias("text"), F.col("text").alias("wiki"),
+        tx.reduce_text(F.col("text")).alias("text"), F.col("text").alias("wiki"), *_place(pages),
     )
 
 
 def document_rows(pages: DataFrame) -> DataFrame:
     """Documents ``id, title, body``; the body is decoded a second time."""
     kept = with_article_title(without_redirect_text(with_body(pages)))
-    return kept.select("id", "title", unescape(F.col("text")).alias("body"))
+    return kept.select("id", "title", unescape(F.col("text")).alias("body"), *_place(pages))
 
 
 def document_tags(documents: DataFrame) -> DataFrame:
@@ -137,7 +142,10 @@ def union_tags(title_tags: DataFrame, body_tags: DataFrame) -> DataFrame:
 
 
 def limit_rows(df: DataFrame, n: int | None) -> DataFrame:
-    """The first ``n`` rows by id, or all."""
+    """The first ``n`` rows by id, or all. The rows meet in one task: for short limits.
+
+    `sources.blocks.first_rows` takes the first in dump order, any number of them.
+    """
     return df if n is None else df.orderBy(df.columns[0]).limit(n)
 
 

@@ -12,15 +12,16 @@ from ..operators import search as se
 from ..operators.block_index import BlockIndex, compact
 from ..session import stage
 from ..sources import sinks
+from ..sources.blocks import first_rows
 from ..sources.dump import scan_dump, scan_dump_raw
 from ..sources.tables import scan_diffs, scan_month_counts, scan_stored_vocab, scan_table, scan_vocab
 
 
 def load_articles(
     spark: SparkSession, dump: str, out: str, reset: bool = False, limit: int | None = None, raw: bool = False,
-    rejects: str | None = None,
+    rejects: str | None = None, by_id: bool = False,
 ) -> DataFrame:
-    """Dump to ``article`` table. ``limit`` counts the articles that are kept, by id.
+    """Dump to ``article`` table. ``limit`` counts the articles that are kept, in dump order or, with ``by_id``, by id.
 
     A page that can't be read ends the job, or goes to the table ``rejects`` if that is named;
     `load_result` then counts both.
@@ -28,15 +29,23 @@ def load_articles(
     bad = "fail" if rejects is None else "drop"
     if rejects is not None:
         write_rejects(spark, dump, rejects, reset)
-    pages = scan_dump_raw(spark, dump, bad=bad) if raw else scan_dump(spark, dump, namespace=0, bad=bad)
+    place = _in_order(limit, by_id)
     if raw:
-        rows = art.stored_rows(pages)
+        rows = art.stored_rows(scan_dump_raw(spark, dump, bad=bad, place=place))
     else:
-        rows = art.article_rows(pages)
-    sinks.write_articles(art.limit_rows(rows, limit), out, reset)
+        rows = art.article_rows(scan_dump(spark, dump, namespace=0, bad=bad, place=place))
+    sinks.write_articles(_limited(rows, limit, by_id), out, reset)
     return scan_table(spark, out)
 
 
+def _in_order(limit: int | None, by_id: bool) -> bool:
+    return limit is not None and not by_id
+
+
+def _limited(rows: DataFrame, limit: int | None, by_id: bool) -> DataFrame:
+    return first_rows(rows, limit) if _in_order(limit, by_id) else art.limit_rows(rows, limit)
+
+
 def write_rejects(spark: SparkSession, dump: str, out: str, reset: bool = False) -> None:
     """The pages of a dump that can't be read, as ``record``."""
     rows = scan_dump(spark, dump, bad="keep").filter("_corrupt is not null").select(F.col("_corrupt").alias("record"))
@@ -49,19 +58,19 @@ def load_result(spark: SparkSession, stored: str, rejects: str) -> DataFrame:
     return scan_table(spark, stored).agg(F.count("*").alias("stored")).crossJoin(F.broadcast(failed))
 
 
-def load_documents(spark: SparkSession, dump: str, out: str, limit: int | None = None) -> None:
-    """Dump to ``document`` and ``feature`` tables."""
-    documents = art.document_rows(scan_dump(spark, dump))
-    sinks.write_documents(art.limit_rows(documents, limit), out)
+def load_documents(spark: SparkSession, dump: str, out: str, limit: int | None = None, by_id: bool = False) -> None:
+    """Dump to ``document`` and ``feature`` tables; ``limit`` and ``by_id`` as for `load_articles`."""
+    documents = art.document_rows(scan_dump(spark, dump, place=_in_order(limit, by_id)))
+    sinks.write_documents(_limited(documents, limit, by_id), out)
 
 
-def build_graph(spark: SparkSession, dump: str, out: str, limit: int | None = None) -> dict[str, DataFrame]:
-    """Dump to the seven graph tables. ``limit`` counts pages of every kind.
+def build_graph(spark: SparkSession, dump: str, out: str, limit: int | None = None, by_id: bool = False) -> dict[str, DataFrame]:
+    """Dump to the seven graph tables. ``limit`` counts pages of every kind, in dump order or, with ``by_id``, by id.
 
     The dump is parsed once. Tables are written in the order they depend on each other, and each
     step reads what the step before it stored.
     """
-    pages = art.limit_rows(scan_dump(spark, dump), limit)
+    pages = _limited(scan_dump(spark, dump, place=_in_order(limit, by_id)), limit, by_id)
     pages = stage(pages.withColumn("length", art.text_length(pages)), "dump-pages")
 
     def put(name: str, table: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions.entities import unescape
 from ..operators import articles as art
 from ..session import fresh_path
 from ..sources import dump, sinks
+from ..sources.blocks import first_rows
 from ..sources.tables import scan_table
 from .catalog import query
 from .check_sql import (
@@ -193,7 +194,16 @@ def _(i: Inputs):
     return art.kind_counts(i.dump_page)
 
 
-@query("limit_articles", "select aid, title from search_article order by aid limit 100")
+@query("limit_articles", "select aid, title from search_article order by aid limit 1000")
+def _(i: Inputs):
+    # A dump with its pages in the order of their ids: files by name, pages in each.
+    path = fresh_path(i.spark, "ordered-dump")
+    dump.page_xml(i.dump_page.orderBy("id")).write.text(path)
+    pages = dump.scan_dump(i.spark, path, namespace=0, place=True)
+    return first_rows(art.article_rows(pages).select("aid", "title", "place"), 1000)
+
+
+@query("limit_by_id", "select aid, title from search_article order by aid limit 100")
 def _(i: Inputs):
     return art.limit_rows(i.search_article.select("aid", "title"), 100)
 

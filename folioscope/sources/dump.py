@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import blank_nbsp
 from ..operators.articles import in_main_namespace, without_redirect_element
+from .blocks import row_place
 
 PAGE_SCHEMA = (
     "id BIGINT, ns INT, title STRING, redirect STRUCT<_title: STRING>, "
@@ -32,6 +33,7 @@ def _flat(pages: DataFrame, bad: str) -> DataFrame:
         F.try_to_timestamp("revision.timestamp").alias("date"),
         text.alias("text"),
         "_corrupt",
+        *(c for c in pages.columns if c == "place"),
     )
     if bad == "keep":
         return flat
@@ -44,7 +46,7 @@ def _flat(pages: DataFrame, bad: str) -> DataFrame:
 
 def scan_dump(
     spark: SparkSession, path: str, many_files: bool = False, namespace: int | None = None,
-    bad: str = "fail",
+    bad: str = "fail", place: bool = False,
 ) -> DataFrame:
     """Dump pages ``id, ns, title, redirect, rid, date, text``; an empty text is null.
 
@@ -53,26 +55,32 @@ def scan_dump(
     takes one task per file. ``namespace`` drops other pages before they are parsed.
 
     ``bad`` says what a page that can't be read does: ``fail`` ends the job, ``keep`` returns it with
-    its text in ``_corrupt``, ``drop`` leaves it out.
+    its text in ``_corrupt``, ``drop`` leaves it out. ``place`` adds where in the dump a page stands, for
+    `limit_in_order`.
     """
     if many_files:
         pages = spark.read.format("xml").options(**XML_OPTIONS).schema(PAGE_SCHEMA).load(path)
+        if place:
+            pages = pages.withColumn("place", row_place())
         if namespace is not None:
             pages = pages.filter(F.col("ns") == namespace)
         return _flat(pages, bad)
     chunks = spark.read.option("lineSep", "</page>").text(path)
+    if place:
+        chunks = chunks.withColumn("place", row_place())
+    where = ["place"] if place else []
     start = F.regexp_instr("value", F.lit(r"<page[\s>]"))
     chunks = chunks.filter(start > 0)
     if namespace is not None:
         chunks = chunks.filter(F.contains("value", F.lit(f"<ns>{namespace}</ns>")))
     record = F.concat(F.substr("value", start), F.lit("</page>"))
-    parsed = chunks.select(F.from_xml(record, PAGE_SCHEMA, XML_OPTIONS).alias("page")).select("page.*")
+    parsed = chunks.select(F.from_xml(record, PAGE_SCHEMA, XML_OPTIONS).alias("page"), *where).select("page.*", *where)
     return _flat(parsed, bad)
 
 
-def scan_dump_raw(spark: SparkSession, path: str, many_files: bool = False, bad: str = "fail") -> DataFrame:
-    """Articles of a dump with one layer of entities decoded and no-break spaces as blanks; ``bad`` as for `scan_dump`."""
-    pages = without_redirect_element(in_main_namespace(scan_dump(spark, path, many_files, namespace=0, bad=bad)))
+def scan_dump_raw(spark: SparkSession, path: str, many_files: bool = False, bad: str = "fail", place: bool = False) -> DataFrame:
+    """Articles of a dump with one layer of entities decoded and no-break spaces as blanks; ``bad`` and ``place`` as for `scan_dump`."""
+    pages = without_redirect_element(in_main_namespace(scan_dump(spark, path, many_files, namespace=0, bad=bad, place=place)))
     return pages.withColumns({"title": blank_nbsp(F.col("title")), "text": blank_nbsp(F.col("text"))})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import label_month
+from .blocks import quoted_records
 
 VISIT_SCHEMA = "url STRING, timestamp DOUBLE"
 VIEW_SCHEMA = "lang STRING, timestamp DOUBLE, title STRING"
@@ -27,11 +28,15 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
 def scan_diffs(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """``time, words`` of headerless diff files; missing words are empty.
 
-    Quoted words may hold line breaks; a file is then read by one task. Files known to have none
-    are split if ``line_breaks`` is false.
+    Quoted words may hold line breaks. Large files are split in either case; files known to have no
+    line breaks in quotes are read in one pass if ``line_breaks`` is false.
     """
     schema = ", ".join(f"{c} STRING" for c in DIFF_COLUMNS)
-    rows = spark.read.schema(schema).options(escape='"', multiLine=line_breaks).csv(path)
+    if line_breaks:
+        cells = F.from_csv("record", F.lit(schema), {"escape": '"', "maxCharsPerColumn": "-1"})
+        rows = quoted_records(spark, path).select(cells.alias("row")).select("row.time", "row.words")
+    else:
+        rows = spark.read.schema(schema).options(escape='"').csv(path)
     words = F.when(F.col("words").isin(*MISSING_WORDS), "").otherwise(F.coalesce("words", F.lit("")))
     return rows.select("time", words.alias("words"))
 
