@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.entities import unescape
 from ..functions.text import capitalize, let, running_sum
-from ..session import stage
+from ..session import bucketed, stage
 from .articles import in_main_namespace, text_length, without_redirect_element
 from .joins import ROWS_PER_SLOT, salted_join
 
@@ -100,30 +99,80 @@ def redirect_sinks(edges: DataFrame) -> DataFrame:
 def redirect_closure(edges: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """``(src, dst)`` for every sink ``dst`` and every node ``src`` that leads to it.
 
-    Doubling: after round k each node holds the nodes exactly 2^k steps ahead (``open``) and the
-    sinks at most 2^k steps ahead. A redirect has one target, so a node holds one row and the
-    table never grows. A sink d steps away is found in round ceil(log2 d), so a round that finds
-    nothing ends the loop; nodes that only reach a cycle have found nothing by then. A round
-    carries on and stages only what is still open; what it has found is kept as it is.
+    A redirect has one target, so nearly all nodes have one edge; those are followed by doubling. The
+    few nodes with several targets stop the others on their way, are joined up among themselves, and
+    then stand for what they lead to.
+    """
+    edges = stage(with_target(edges).select("src", "dst").distinct(), "redirect-edges")
+    forks = stage(edges.groupBy("src").agg(F.count("*").alias("n")).filter("n > 1").select("src"), "redirect-forks")
+    if forks.isEmpty():
+        return _chain_ends(edges, rows_per_slot)
+    chains = stage(edges.join(forks, "src", "left_anti"), "redirect-chains")
+    ends = stage(_chain_ends(chains, rows_per_slot), "chain-ends")
+    onward = chains.select(F.col("src").alias("dst"), F.lit(True).alias("__chained"))
+    reached = edges.join(forks, "src", "left_semi").join(onward, "dst", "left")
+    reached = reached.join(ends.select(F.col("src").alias("dst"), F.col("dst").alias("__end")), "dst", "left")
+    # A target on a chain without an end leads into a cycle.
+    hops = reached.filter("__end is not null or __chained is null").select("src", F.coalesce("__end", "dst").alias("dst")).distinct()
+    at_fork = forks.select(F.col("src").alias("dst"))
+    joined = stage(_fork_ends(stage(hops, "fork-hops"), rows_per_slot).join(at_fork, "dst", "left_anti"), "fork-ends")
+    through = ends.withColumnRenamed("dst", "__fork").join(joined.withColumnRenamed("src", "__fork"), "__fork").select("src", "dst")
+    return ends.join(at_fork, "dst", "left_anti").select("src", "dst").unionByName(joined.select("src", "dst")).unionByName(through)
+
+
+def _chain_ends(edges: DataFrame, rows_per_slot: int) -> DataFrame:
+    """`redirect_closure` where every source has one target.
+
+    An open row holds a node some way ahead that is itself open, or was found to have an end in the
+    round before. Each round moves it to where that node leads, twice as far, and looks the new node
+    up among the ends found in the round before. So what is found is read once, by the open rows, a
+    round touches no others, and d steps take log2(d) rounds. A round that finds nothing ends the loop:
+    the rest leads into cycles.
+    """
+    sources = edges.select(F.col("src").alias("dst"), F.lit(True).alias("__onward"))
+    end = F.when(F.col("__onward").isNull(), F.col("dst")).alias("end")
+    step = stage(edges.join(sources, "dst", "left").select("src", F.col("dst").alias("via"), end), "redirect-step")
+    found, done = step.filter("end is not null").select("src", "end"), None
+    while True:
+        ends = found.select("src", F.col("end").alias("dst"))
+        done = ends if done is None else done.unionByName(ends)
+        pending = step.filter("end is null").select("src", "via")
+        new, left = _counts(step)
+        if not new or not left:
+            return done
+        # No node can be the target of more rows than there are.
+        join = (lambda a, b: a.join(b, "via", "left")) if left <= rows_per_slot else (lambda a, b: salted_join(a, b, "via", "left", rows_per_slot))
+        moved = join(pending, pending.select(F.col("src").alias("via"), F.col("via").alias("__next")))
+        moved = moved.select("src", F.coalesce("__next", "via").alias("via"))
+        if left > rows_per_slot:
+            moved = stage(moved, "redirect-moved")
+        step = stage(join(moved, found.select(F.col("src").alias("via"), "end")).select("src", "via", "end"), "redirect-step")
+        found = step.filter("end is not null").select("src", "end")
+
+
+def _counts(step: DataFrame) -> tuple[int, int]:
+    row = step.agg(F.count("end").alias("found"), F.count_if(F.col("end").isNull()).alias("open")).first()
+    return row["found"], row["open"]
+
+
+def _fork_ends(edges: DataFrame, rows_per_slot: int) -> DataFrame:
+    """`redirect_closure` for nodes of any number of targets.
+
+    After round k a node holds the nodes exactly 2^k steps ahead (``open``) and the sinks at most 2^k
+    steps ahead. A node may come to a sink in several ways, so what a round finds is compared with
+    what was found before.
     """
-    edges = with_target(edges).select("src", "dst").distinct()
     sources = edges.select(F.col("src").alias("dst")).distinct()
     is_source = F.col("__step").isNotNull()
-    first = stage(
-        edges.join(sources.withColumn("__step", F.lit(1)), "dst", "left").select(
-            "src", "dst", is_source.alias("open")
-        ),
-        "redirect-step",
-    )
+    first = stage(edges.join(sources.withColumn("__step", F.lit(1)), "dst", "left").select("src", "dst", is_source.alias("open")), "fork-step")
     done, pending = first.filter("not open"), first.filter("open")
     while True:
         ahead = done.unionByName(pending).select(F.col("src").alias("via"), F.col("dst").alias("end"), F.col("open").alias("end_open"))
         moved = salted_join(
             pending.select("src", F.col("dst").alias("via")), ahead, "via", rows_per_slot=rows_per_slot
         ).select("src", F.col("end").alias("dst"), F.col("end_open").alias("open"))
-        moved = stage(moved.distinct(), "redirect-step")
-        # a node of several targets can come to the same sink again
-        new = stage(moved.filter("not open").join(done.select("src", "dst"), ["src", "dst"], "left_anti"), "redirect-found")
+        moved = stage(moved.distinct(), "fork-step")
+        new = stage(moved.filter("not open").join(done.select("src", "dst"), ["src", "dst"], "left_anti"), "fork-found")
         if new.isEmpty():
             return done.select("src", "dst").distinct()
         done, pending = done.unionByName(new), moved.filter("open")
@@ -181,13 +230,19 @@ def page_rank(
     spread = nodes.filter("slots > 1").select(F.col("id").alias("src"), F.col("slots").alias("__slots"))
     slot = F.when(F.col("__slots") > 1, F.pmod(F.xxhash64("dst"), F.col("__slots")).cast("int")).otherwise(0)
     # At most rows / edges_per_slot pages have more than one slot.
-    # The edges keep one layout and order over all rounds; a lost part is rebuilt from the staged pairs.
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = (
-        pairs.join(F.broadcast(spread), "src", "left").select("src", slot.alias("slot"), "dst", "w")
-        .repartition(parts, "src", "slot").sortWithinPartitions("src", "slot")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    slotted = pairs.join(F.broadcast(spread), "src", "left").select("src", slot.alias("slot"), "dst", "w")
+    # The edges keep one layout over all rounds, in the shared folder: no round moves or sorts them,
+    # and a lost task reads its bucket again.
+    edges, drop = bucketed(slotted, "src", "slot", name="rank-edges")
+    try:
+        return _rank_rounds(nodes, edges, count, rounds, damping, tolerance, most_rounds)
+    finally:
+        drop()
+
+
+def _rank_rounds(
+    nodes: DataFrame, edges: DataFrame, count: int, rounds: int | None, damping: float, tolerance: float, most_rounds: int
+) -> DataFrame:
     ranks = nodes.withColumn("rank", F.lit(1.0 / count))
     done = 0
     while done != rounds:
@@ -200,8 +255,9 @@ def page_rank(
             F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"),
             (F.col("rank") / F.col("total")).alias("unit"),
         )
+        # What a bucket's pages give is looked up in a hash table of theirs, so its edges need no order.
         given = (
-            edges.join(giving, ["src", "slot"])
+            edges.join(giving.hint("shuffle_hash"), ["src", "slot"])
             .groupBy(F.col("dst").alias("id"))
             .agg(F.sum(F.col("w") * F.col("unit")).alias("got"))
         )
@@ -214,7 +270,6 @@ def page_rank(
         )
         if rounds is None and ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0] < count * tolerance:
             break
-    edges.unpersist()
     return ranks.select("id", "rank")
 
 

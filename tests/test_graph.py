@@ -104,3 +104,31 @@ def test_ranks_settle(spark):
     settled = {r["id"]: r["rank"] for r in gr.page_rank(links, tolerance=1e-4).collect()}
     long = {r["id"]: r["rank"] for r in gr.page_rank(links, rounds=25).collect()}
     assert all(abs(settled[k] - long[k]) < 0.01 for k in long) and abs(sum(settled.values()) - 1) < 1e-6
+
+
+def test_no_round_moves_the_edges(spark):
+    """The edges of a join on their buckets are read without an exchange or a sort."""
+    from folioscope.session import bucketed
+
+    rows = spark.range(3000).selectExpr("id % 70 as src", "cast(id % 2 as int) as slot", "id as dst", "1.0d as w")
+    edges, drop = bucketed(rows, "src", "slot", name="test-edges")
+    try:
+        giving = spark.range(70).selectExpr("id as src", "explode(sequence(0, 1)) as slot", "0.5d as unit")
+        joined = edges.join(giving.hint("shuffle_hash"), ["src", "slot"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("ShuffledHashJoin") :]
+        assert below.count("Exchange hashpartitioning") == 1 and "Sort " not in below and "Bucketed: true" in below
+        assert joined.agg({"unit": "sum"}).first()[0] == 1500
+    finally:
+        drop()
+    assert "test_edges" not in str(spark.catalog.listTables())
+
+
+def test_chains_and_forks_together(spark):
+    """Long chains into forks, forks into chains, cycles through forks, and several ways to one sink."""
+    rng = random.Random(12)
+    for _ in range(3):
+        edges = [(n, n + 1) for n in range(0, 40)] + [(100 + n, 101 + n) for n in range(20)] + [(40, 100), (40, 7), (120, 200), (120, 201), (200, 300), (201, 300)]
+        edges += [(rng.randrange(400, 440), rng.randrange(400, 460)) for _ in range(40)]
+        df = spark.createDataFrame(edges, "src BIGINT, dst BIGINT")
+        assert pairs(gr.redirect_closure(df, rows_per_slot=rng.choice([5, 1000]))) == reach_sinks(edges)

@@ -62,3 +62,22 @@ def test_recent_table_follows_the_stream(spark, tmp_path):
             messages = tb.scan_view_events(spark, str(source), stream=True)
             st.stream_recent_views(messages, out, state, n=3, once=True).awaitTermination()
     assert rows(st.read_recent(spark, out)) == sorted(sorted(VIEWS, key=lambda r: -r[1])[:3])
+
+
+def test_old_batches_go_and_a_batch_can_run_again(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "recent"), tmp_path / "state"
+    for n in range(5):
+        put(source, f"{n}.json", [(f"https://en.wikipedia.org/wiki/P{n}", 1000.0 * n)])
+        messages = tb.scan_view_events(spark, str(source), stream=True)
+        st.stream_recent_views(messages, out, str(state), n=3, once=True).awaitTermination()
+    assert st.stored_batches(spark, out) == [3, 4]
+    want = [("en", 1000.0 * n, f"P{n}") for n in (2, 3, 4)]
+    assert rows(st.read_recent(spark, out)) == want
+    # as if the last batch had failed before it was committed
+    for name in ("4", ".4.crc"):
+        (state / "commits" / name).unlink()
+    st.stream_recent_views(tb.scan_view_events(spark, str(source), stream=True), out, str(state), n=3, once=True).awaitTermination()
+    assert st.stored_batches(spark, out) == [3, 4] and rows(st.read_recent(spark, out)) == want
+    # a table that was not finished does not count
+    (tmp_path / "recent" / "batch=5").mkdir()
+    assert rows(st.read_recent(spark, out)) == want
