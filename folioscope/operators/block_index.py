@@ -190,13 +190,10 @@ class _Search(NamedTuple):
 
 def _prepared(index: BlockIndex, asked: DataFrame) -> _Search:
     size = index.size.select(F.struct("docs", "avg")).scalar()
-    asked = stage(asked, "asked")
-    few = is_small(asked)
-    terms = asked.select("term").distinct()
-    found = index.terms.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    weights = asked.join(found.filter("df > 0"), "term").select("qid", "term", (inverse_df(size["docs"], F.col("df")) * F.col("times")).alias("weight"))
-    weights, rows = stage(weights, "weights"), index.postings
-    named = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()] if few else []
+    found = asked.join(index.terms, "term").groupBy("qid", "term", "times").agg(F.sum("df").alias("df")).filter("df > 0")
+    weights = stage(found.select("qid", "term", (inverse_df(size["docs"], F.col("df")) * F.col("times")).alias("weight")), "weights")
+    few, rows = is_small(weights), index.postings
+    named = [r["term"] for r in weights.select("term").distinct().limit(PUSHED_TERMS + 1).collect()] if few else []
     if 0 < len(named) <= PUSHED_TERMS:
         rows = rows.filter(F.col("term").isin(*named))  # reaches the scan
     return _Search(index, weights, few, rows, size["avg"])
