@@ -12,6 +12,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,17 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import narrowed
 
-#: Chunks whose ids a worker remembers. What comes later is encoded each time, until so many times
-#: as many were not known that the memory starts anew.
-REMEMBERED, RENEWED = 450_000, 8
+#: Chunks, and pieces inside chunks, whose ids a worker remembers; the older half goes when there are more.
+REMEMBERED = 900_000
 #: A single space between two other characters: no piece reaches across it from the left.
 SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: White space other than space, line break, tab and carriage return.
 UNUSUAL = re.compile(r"[^\S \n\t\r]")
 BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+#: Pieces that the file's pattern makes of plain chunks: runs of letters, of digits and of other marks but
+#: the apostrophe, and a line break before one of them.
+PIECE = r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)"
+PIECES_OF, PLAIN = re.compile(PIECE), re.compile(rf"(?:{PIECE})+")
 PACKED = "doc_id long, task long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, sequence_id long, start long, length long, offset long, doc_tokens long, ids binary, ids_crc32 long"
 
@@ -39,7 +43,8 @@ class ByteEncoder:
     """Ids of a byte-level BPE file for ``tokenizers``, as little-endian unsigned 32-bit bytes.
 
     In the file's pattern a space belongs to the piece after it, so a text can be cut before every
-    space that stands alone; the library encodes each distinct chunk once.
+    space that stands alone. A chunk not seen before is cut further, into the pieces of the pattern,
+    if it is plain; the library then encodes the new pieces of many texts in one call, each once.
     """
 
     def __init__(self, path: str):
@@ -47,32 +52,75 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.missed = 0
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
+        names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.spaced = np.zeros(names[-1][1] + 1, dtype=bool)
+        self.spaced[[i for name, i in names if name.startswith("\u0120")]] = True  # how the file writes a space
+        line = self._encoded("\n")
+        self.newline, self.line = line.tobytes(), line[0] if len(line) == 1 else -1
+        self.known: dict[str, bytes] = {}  # by chunk, without the space before it
+        self.inner: dict[str, bytes] = {}  # by piece after another, without the line break
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [array("I", made.ids).tobytes() for made in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        even = not any(pair in text for pair in BESIDE) and not UNUSUAL.search(text)
-        first, *rest = text.split(" ") if even else SPACE.split(text)
-        if self.missed > RENEWED * REMEMBERED:
-            self.known.clear()
-            self.missed = 0
-        known = self.known  # by chunk, without the space before it
-        try:
-            ids = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            new = list(set(rest).difference(known))
-            made = dict(zip(new, self._ids([" " + c for c in new]), strict=True))
-            if len(known) < REMEMBERED:
-                known.update(made)
+    def _joined(self, pieces: list[str], between: str) -> list[bytes]:
+        """Ids of pieces that hold no space or line break: all in one text, cut where ``between`` is found again."""
+        if not pieces:
+            return []
+        ids = self._encoded("".join([between + p for p in pieces]))
+        starts = np.flatnonzero(self.spaced[ids] if between == " " else ids == self.line)
+        if len(starts) != len(pieces):
+            return self._ids([" " + p for p in pieces] if between == " " else pieces)
+        blob, skip = ids.tobytes(), 0 if between == " " else 1
+        edges = np.append(starts, len(ids)).tolist()
+        return [blob[4 * (x + skip) : 4 * y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _learn(self, chunks: set[str], special: bool) -> None:
+        """Remember the ids of chunks that are not known; ``special`` if they may hold an added token."""
+        cut, odd, heads, tails = [], [], set(), set()
+        for c in chunks:
+            if c.isalpha() and c.isascii():
+                heads.add(c)
+            elif PLAIN.fullmatch(c) and not (special and any(a in c for a in self.added)):
+                head, *rest = PIECES_OF.findall(c)
+                heads.add(head)
+                if rest:
+                    cut.append((c, head, rest))
+                    tails.update(rest)
             else:
-                self.missed += len(made)
-            ids = b"".join([made[c] if c in made else known[c] for c in rest])
-        return self._ids([first])[0] + ids
+                odd.append(c)
+        heads, tails = list(heads.difference(self.known)), list(tails.difference(self.inner, "\n"))
+        known, inner = self.known, self.inner
+        known.update(zip(heads, self._joined(heads, " "), strict=True))
+        inner.update(zip(tails, self._joined(tails, "\n"), strict=True))
+        inner["\n"] = self.newline
+        known.update(zip(odd, self._ids([" " + c for c in odd]), strict=True))
+        for c, head, rest in cut:
+            known[c] = known[head] + (inner[rest[0]] if len(rest) == 1 else b"".join([inner[p] for p in rest]))
+
+    def _forget(self, memory: dict[str, bytes]) -> None:
+        if len(memory) > REMEMBERED:
+            for key in list(islice(memory, len(memory) // 2)):
+                del memory[key]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; what is new in any of them is encoded at once."""
+        self._forget(self.known)
+        self._forget(self.inner)
+        firsts, rests = [], []
+        for text in texts:
+            even = not any(pair in text for pair in BESIDE) and not UNUSUAL.search(text)
+            first, *rest = text.split(" ") if even else SPACE.split(text)
+            firsts.append(first)
+            rests.append(rest)
+        special = any(a in text for text in texts for a in self.added)
+        self._learn(set().union(*rests).difference(self.known), special)
+        of = self.known.__getitem__
+        return [first + b"".join(map(of, rest)) for first, rest in zip(self._ids(firsts), rests, strict=True)]
 
 
 _encoders: dict[str, ByteEncoder] = {}
@@ -88,12 +136,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
     """``doc_id, task, before, n_tokens, ids``: the ids of each row, ``end_id`` last, and its place in its task."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, end = encoder(vocabulary).encode, np.array([end_id], dtype="<u4").tobytes()
+        make, end = encoder(vocabulary).encode_all, np.array([end_id], dtype="<u4").tobytes()
         task, total = TaskContext.get().partitionId(), 0
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), 256):
-                ids = [make(t) + end for t in texts[at : at + 256]]
+                ids = [x + end for x in make(texts[at : at + 256])]
                 sizes = np.array([len(x) // 4 for x in ids], dtype="int64")
                 before = total + np.cumsum(sizes) - sizes
                 total += int(sizes.sum())

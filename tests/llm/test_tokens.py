@@ -2,6 +2,8 @@
 
 import zlib
 
+import random
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -96,10 +98,22 @@ def test_sequences_are_padded(as_docs, texts):
 
 def test_encoder_memory_may_be_small(texts, monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 20)
-    monkeypatch.setattr(packing, "RENEWED", 2)
     own, library = packing.ByteEncoder(PACKED), Tokenizer.from_file(PACKED)
     for text in texts * 2:
-        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert own.encode_all([text])[0] == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_encoder_on_odd_pieces(monkeypatch):
+    """Contractions, runs of white space, odd digits and letters, and special tokens, in chunks of every mixture."""
+    monkeypatch.setattr(packing, "REMEMBERED", 3000)
+    r = random.Random(2)
+    odd = ["a", "word", "É", "'s", "'", " ", "  ", "\n", "\n\n", "\t", ".", ",", "_", "1", "23", "²", "×", "日", "<|endoftext|>", "<|", "!?", "\r\n", "\x85", "\xa0"]
+    made = ["".join(r.choices(odd, k=r.randrange(14))) for _ in range(8000)]
+    own, library = packing.ByteEncoder(PACKED), Tokenizer.from_file(PACKED)
+    for at in range(0, len(made), 256):
+        part = made[at : at + 256]
+        want = [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch_fast(part, add_special_tokens=False)]
+        assert own.encode_all(part) == want
 
 
 def test_awkward_packing(awkward, nothing):
