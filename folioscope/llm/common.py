@@ -37,6 +37,12 @@ def unknown(column: Column | str) -> Column:
     return F.when(column != NO_ID, column)
 
 
+def text_key(text: Column | str = "text") -> Column:
+    """A hash of a row's text (null as empty). With the id it tells rows that share an id, or have none, apart."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(column.cast("string"), F.lit("")))
+
+
 def mixed(keys: np.ndarray) -> np.ndarray:
     """Scatter the bits of unsigned 64-bit keys."""
     with np.errstate(over="ignore"):

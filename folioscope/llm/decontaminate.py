@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import known, unknown
+from .common import known, text_key, unknown
 
 SPAN, GRAM = 10, 5
 #: What bounds words: all of ASCII but digits and small letters.
@@ -56,12 +56,12 @@ def _placed(texts: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     return texts.select(*keep, F.inline(F.concat(*pairs)))
 
 
-def find_spans(docs: DataFrame, items: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
+def find_spans(docs: DataFrame, items: DataFrame, span: int = SPAN, doc: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Shared spans, and the words of every document.
 
     ``docs``: ``doc_id, text``; ``items``: ``item_id, text``. Returns ``doc, item_id, start, end``
     (in words of the document; ``doc`` has null ids as one) and ``doc, n_words``, a row for each
-    row of ``docs``. A span is a maximal run of equal words of at least ``span`` words, or all
+    row of ``docs``. ``doc`` may be given as an expression that tells rows of ``docs`` apart. A span is a maximal run of equal words of at least ``span`` words, or all
     words of a shorter item. Rows that share an id are judged as one document or item. Null and
     empty texts have no words and no spans; an item with a null id counts as an item.
     """
@@ -77,11 +77,11 @@ def find_spans(docs: DataFrame, items: DataFrame, span: int = SPAN) -> tuple[Dat
     for size in short:
         item_marks = item_marks.unionByName(_placed(texts.where(F.col("need") == size), [size], "item_id", "need"))
     item_marks = stage(item_marks.select("mark", "item_id", F.col("at").alias("item_at"), "need"), "item-marks")
-
-    read = docs.select(known(F.col("doc_id").cast("long")).alias("doc"), words_of(F.col("text")).alias("words"))
+    row = known(F.col("doc_id").cast("long")) if doc is None else doc
+    read = docs.select(row.alias("doc"), words_of(F.col("text")).alias("words"))
     marked = stage(_marked(read, span, short).select("doc", F.size("words").cast("long").alias("n_words"), "marks"), "marks")
     meeting = marked.select("doc", F.explode("marks").alias("mark")).join(item_marks.select("mark").distinct(), "mark", "left_semi")
-    suspects = docs.withColumn("doc", known(F.col("doc_id").cast("long"))).join(meeting.select("doc").distinct(), "doc", "left_semi")
+    suspects = docs.withColumn("doc", row).join(meeting.select("doc").distinct(), "doc", "left_semi")
     suspects = stage(suspects.select("doc", words_of(F.col("text")).alias("words")), "suspects")
 
     hits = _placed(suspects, [GRAM, *short], "doc").join(item_marks, "mark")
@@ -129,6 +129,10 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFr
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, span: int = SPAN) -> DataFrame:
-    """The documents without a shared span, all columns as they are."""
-    hit = find_spans(docs, items, span)[0].select(F.col("doc").alias("_doc")).distinct()
-    return docs.withColumn("_doc", known(F.col("doc_id").cast("long"))).join(hit, "_doc", "left_anti").select(*docs.columns)
+    """The documents without a shared span, all columns as they are.
+
+    Rows that share an id, or have none, are judged each by its own text.
+    """
+    row = F.struct(known(F.col("doc_id").cast("long")), text_key())
+    hit = find_spans(docs, items, span, row)[0].select(F.col("doc").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(hit, "_row", "left_anti").select(*docs.columns)

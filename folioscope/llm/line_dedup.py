@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import known
+from .common import known, text_key
 
 SIZE = 3
 
@@ -24,14 +24,15 @@ def _lined(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """The later occurrences: ``doc`` (null ids as one), ``at`` (window number in the document)."""
-    lined = _lined(docs.select(known(F.col("doc_id").cast("long")).alias("doc"), "text")).where(F.size("_at") >= SIZE)
+    """The later occurrences: ``doc`` and ``row`` (id, null as the smallest, and hash of the text), ``at`` (window number in the document)."""
+    lined = _lined(docs.select(known(F.col("doc_id").cast("long")).alias("doc"), text_key().alias("row"), "text")).where(F.size("_at") >= SIZE)
     lines = [F.get("_lines", F.get("_at", F.col("i") + k)) for k in range(SIZE)]
-    starts = lined.select("doc", "_lines", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - SIZE)).alias("i"))
-    windows = starts.select("doc", F.col("i").alias("at"), F.xxhash64(*lines).alias("h"), F.xxhash64(F.lit(1), *reversed(lines)).alias("g"))
-    first = windows.groupBy("h", "g").agg(F.min(F.struct("doc", "at")).alias("first"), F.max(F.struct("doc", "at")).alias("last"))
+    starts = lined.select("doc", "row", "_lines", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - SIZE)).alias("i"))
+    windows = starts.select("doc", "row", F.col("i").alias("at"), F.xxhash64(*lines).alias("h"), F.xxhash64(F.lit(1), *reversed(lines)).alias("g"))
+    place = F.struct("doc", "row", "at")
+    first = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = first.where("first <> last").select("h", "g", "first")
-    return windows.join(first, ["h", "g"]).where(F.struct("doc", "at") != F.col("first")).select("doc", "at")
+    return windows.join(first, ["h", "g"]).where(place != F.col("first")).select("doc", "row", "at")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -39,15 +40,16 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Needs ``doc_id`` and ``text``; all columns stay as they are, but ``n_lines`` (lines that are
     not blank) and ``n_removed`` replace any of those names. Blank lines stay. Documents of fewer
-    than three lines have no window and stay whole; a null text stays null. Rows that share an id
-    count as one document, so none of them is a repetition of another; null ids count as one id.
+    than three lines have no window and stay whole; a null text stays null. Rows that share an id, or
+    have none, are documents of their own, null ids first and then by a hash of the text; rows equal
+    in id and text count as one document, none of them a repetition of another.
 
     Windows travel as two hashes of 64 bits with their place; the text is shuffled once, to meet
     the numbers of its repeated windows, of which a document holds at most as many as lines.
     """
-    covering = repeated_windows(docs).groupBy("doc").agg(F.collect_set("at").alias("_windows"))
+    covering = repeated_windows(docs).groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("at").alias("_windows"))
     own = docs.select(*(F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")))
-    joined = own.withColumn("_doc", known(F.col("doc_id").cast("long"))).join(covering.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    joined = own.withColumn("_doc", known(F.col("doc_id").cast("long"))).withColumn("_row", text_key()).join(covering, ["_doc", "_row"], "left")
     lined = _lined(joined).withColumn("n_lines", F.size("_at").cast("long"))
     covered = F.array_distinct(F.flatten(F.transform("_windows", lambda k: F.slice("_at", k + 1, SIZE))))
     lined = lined.withColumn("_covered", F.coalesce(covered, F.array().cast("array<int>")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import WORD, known, mixed
+from .common import WORD, known, mixed, text_key
 from .language_model import judged, surprise
 
 SYMBOLS = "#*$%&|<>"
@@ -59,6 +62,12 @@ def teaches(texts: list[str]) -> np.ndarray:
     return (n_words >= 10) & (100 * n_repeat <= 20 * n_words) & (n_symbols <= TAUGHT_SYMBOLS * n_words)
 
 
+def _hashed(texts: list[str]) -> list[pa.Array]:
+    """`features`, and the hash that `text_key` makes of a text."""
+    hashes = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 42) for t in texts], dtype=np.uint64)
+    return [*features(texts), pa.array(hashes.view(np.int64))]
+
+
 def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id, text, lang``), with counts, perplexity and verdict.
 
@@ -69,17 +78,27 @@ def quality(docs: DataFrame, reach: float = REACH) -> DataFrame:
     teach the model; none is scored by a model that it or an equal text has taught. A null text is empty and so fails; null languages
     are one language; repeated rows give a row each and set the band once.
     """
-    scored = surprise(docs, features, ", ".join(f"{name} long" for name in FEATURES), teaches=teaches)
+    return _quality(docs, reach, features, FEATURES)
+
+
+def _quality(docs: DataFrame, reach: float, measure: Callable[[list[str]], list[pa.Array]], names: tuple[str, ...]) -> DataFrame:
+    scored = surprise(docs, measure, ", ".join(f"{name} long" for name in names), teaches=teaches)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     scored = stage(scored.withColumn("base_failed", failed), "scored")
     clean = ~F.col("base_failed") & (F.col("n_symbols") <= TAUGHT_SYMBOLS * F.col("n_words"))
     rows = judged(scored, clean, reach, BAND)
     return rows.select(
-        "doc_id", *FEATURES, "base_failed", (~F.col("base_failed") & F.col("inside")).alias("kept"), "lang", "perplexity", "low", "high"
+        "doc_id", *names, "base_failed", (~F.col("base_failed") & F.col("inside")).alias("kept"), "lang", "perplexity", "low", "high"
     )
 
 
 def good_documents(docs: DataFrame, reach: float = REACH) -> DataFrame:
-    """The documents that the rules keep, all columns as they are; rows that share an id need one kept row."""
-    kept = quality(docs, reach).where("kept").select(known("doc_id").alias("_doc")).distinct()
-    return docs.withColumn("_doc", known(F.col("doc_id").cast("long"))).join(kept, "_doc", "left_semi").select(*docs.columns)
+    """The documents that the rules keep, all columns as they are.
+
+    Rows that share an id, or have none, are kept or rejected each by its own text and language.
+    """
+    rows = _quality(docs, reach, _hashed, (*FEATURES, "text_hash")).where("kept")
+    kept = rows.select(F.struct(known("doc_id"), F.col("text_hash"), "lang").alias("_row")).distinct()
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(""))
+    row = F.struct(known(F.col("doc_id").cast("long")), text_key(), lang)
+    return docs.withColumn("_row", row).join(kept, "_row", "left_semi").select(*docs.columns)

@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..session import stage
 from .blocks import ASKED, BODY, LONG, blocks_of, check_seals, meeting, opened, packed, sealed, shards_for, unpacked
-from .common import Hasher, buffer_of, consecutive, known, mixed, slices, unknown
+from .common import Hasher, buffer_of, consecutive, known, mixed, slices, text_key, unknown
 
 LENGTH, GRAM = 100, 32
 #: Phrases of a trigger that may meet in one task.
@@ -297,16 +298,29 @@ def _settle(length: int):
     return settle
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """``doc, name, text``: a number that orders the documents, the id, and the text (null: empty).
+
+    The number is the id, unless rows share an id or have none; then ids and hashes of the text are
+    numbered, and the rows are staged, since they have to come in the same order at each reading.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    given = docs.select(known(F.col("doc_id").cast("long")).alias("name"), text)
+    if given.groupBy("name").count().where("count > 1").isEmpty():
+        return given.select(F.col("name").alias("doc"), "name", "text")
+    given = given.withColumn("row", text_key())
+    numbers = numbered(given.select("name", "row").distinct(), ["name", "row"], "doc")
+    return stage(given.join(numbers, ["name", "row"]).select("doc", "name", "text"), "identified")
+
+
 def repeated_stretches(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc, start, end``: stretches covered by strings of ``length`` bytes that also start earlier.
 
-    ``docs`` has ``doc_id, text``. Earlier is a smaller id, or the same document and an earlier
-    start; null ids are one id, before all others, and rows that share an id are one document, none
-    of which is earlier than another. The stretches overlap. ``docs`` is read twice and has to come
-    in the same order both times (see `blocks`).
+    ``docs`` has ``doc`` and ``text``. Earlier is a smaller ``doc``, or the same and an earlier start;
+    rows of one ``doc`` have the same text, and none of them is earlier than another. The stretches
+    overlap. ``docs`` is read twice and has to come in the same order both times (see `blocks`).
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    given = docs.select(known(F.col("doc_id").cast("long")).alias("doc"), text.alias("text"))
+    given = docs.select("doc", "text")
     asked = given.mapInArrow(_ask(shards_for(given), length), ASKED).repartition("shard").sortWithinPartitions("shard")
     answers = asked.mapInArrow(_answer(MOST_TOGETHER), BODY)
     phrases = meeting(given, answers).mapInArrow(_phrases(length), PHRASES)
@@ -319,12 +333,13 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Removes every byte covered by a string of ``length`` bytes that also starts earlier; matches
     don't cross documents and are judged on the given texts. ``spans`` lists the maximal removed
     runs, ``kept`` is what remains, as bytes: a cut may fall inside a character. Null texts are
-    empty. See `repeated_stretches` for ids that are null or shared.
+    empty. Rows that share an id, or have none, are documents of their own, null ids first and then
+    by a hash of the text; rows equal in id and text count as one document.
     """
-    covers = stage(repeated_stretches(docs, length), "covers")
+    given = _identified(docs)
+    covers = stage(repeated_stretches(given, length), "covers")
     spans = covers.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("covers"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.select(known(F.col("doc_id").cast("long")).alias("doc"), text.cast("binary").alias("text")).join(spans, "doc", "left")
+    joined = given.select("doc", "name", F.col("text").cast("binary").alias("text")).join(spans, "doc", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,5 +363,5 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
     out = "doc long, n_bytes long, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string"
-    made = joined.select("doc", "text", "covers").mapInArrow(cut, out)
+    made = joined.select("name", "text", "covers").mapInArrow(cut, out)
     return made.select(unknown("doc").alias("doc_id"), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")

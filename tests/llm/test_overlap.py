@@ -126,7 +126,9 @@ def test_awkward_spans(spark, awkward, nothing, make_prose):
     assert len(rows) == awkward.count()
     assert {x.doc_id for x in rows if x.contaminated} == {4, 5, 7, 10, None}
     clean = decontaminate.clean_documents(awkward, bench)
-    assert clean.columns == awkward.columns and {x.doc_id for x in clean.collect()} == {1, 2, 3, 6, 8, 9}
+    left = clean.collect()
+    assert clean.columns == awkward.columns and {x.doc_id for x in left} == {1, 2, 3, 6, 8, 9, None}
+    assert [x.text[:3] for x in left if x.doc_id is None] == ["odd"]
     empty = bench.limit(0)
     assert decontaminate.clean_documents(awkward, empty).count() == awkward.count()
     assert decontaminate.contamination(nothing, bench).count() == 0
@@ -250,3 +252,45 @@ def test_components_by_brute_force(spark):
         root[max(x, y)] = min(x, y)
     linked = {n for a, b in links if a != b for n in (a, b)}
     assert sorted((x.node, x.component) for x in rows) == sorted((n, find(n)) for n in linked)
+
+
+# --- rows that share an id, or have none ---
+
+
+def lines_of(make_prose, seed, n=6):
+    return [" ".join(make_prose(seed * 50 + k, 9)) for k in range(n)]
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_a_passage_at_different_places_of_rows_with_one_id(spark, make_prose, doc_id):
+    passage = lines_of(make_prose, 1, 4)
+    texts = ["\n".join(lines_of(make_prose, 2, 3) + passage + lines_of(make_prose, 3)), "\n".join(lines_of(make_prose, 4, 5) + passage + lines_of(make_prose, 5))]
+    docs = spark.createDataFrame([(doc_id, t) for t in [*texts, texts[0]]], "doc_id long, text string")
+    rows = line_dedup.drop_repeated_lines(docs).collect()
+    lost = {x.n_removed: x.text for x in rows}
+    assert sorted(x.n_removed for x in rows) in ([0, 0, 4], [0, 4, 4])
+    whole = next(t for t in texts if "\n".join(passage) not in lost[4] and t.replace("\n".join(passage) + "\n", "") == lost[4])
+    assert {x.text for x in rows if not x.n_removed} == set(texts) - {whole}
+    cut = suffix_dedup.drop_repeated(docs).collect()
+    spoken = "\n".join(passage).encode()
+    kept = {bytes(x.kept) for x in cut}
+    assert len(cut) == 3 and {x.doc_id for x in cut} == {doc_id} and len(kept) == 2 and sum(spoken in k for k in kept) == 1
+    first = next(k for k in kept if spoken in k).decode()
+    assert first in texts
+    other = next(t for t in texts if t != first).encode()
+    at = other.index(spoken)
+    assert next(bytes(x.kept) for x in cut if x.n_removed) in [other[:a] + other[b:] for a in (at - 1, at) for b in range(at + len(spoken), at + len(spoken) + 2)]
+
+
+def test_clean_rows_without_id_stay(spark, make_prose):
+    item = " ".join(make_prose(1, 12))
+    rows = [(None, " ".join(make_prose(2, 40))), (None, item + " tail"), (3, "x " + item), (3, " ".join(make_prose(4, 40)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontaminate.clean_documents(docs, items).collect()
+    assert {x.text for x in clean} == {rows[0][1], rows[3][1]}
+    hot = spark.createDataFrame([(None, " ".join(make_prose(k, 60)), None) for k in range(40)] + [(None, "too short", None), (None, "a b " * 90, "en")], "doc_id long, text string, lang string")
+    from folioscope.llm import quality_rules
+
+    good = {x.text for x in quality_rules.good_documents(hot).collect()}
+    assert "too short" not in good and "a b " * 90 not in good and len(good) > 30
