@@ -117,6 +117,8 @@ def _expected(found: np.ndarray, chance: np.ndarray, weight: np.ndarray) -> np.n
 
 def words_of(text: str) -> list[str]:
     words = WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # number signs such as a square or a fraction are no letters
+        words = [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split()]
     if any(len(w) > LONGEST for w in words):
         words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
