@@ -56,7 +56,7 @@ def test_queries_equal_sql(spark):
     from tools.compare import rows_of
 
     con = duckdb.connect()
-    for name in ("documents", "benchmark", "conversations"):
+    for name in ("documents", "benchmark", "conversations", "pages"):
         con.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
     for key, sql in queries.SQL.items():
         if key == "pipeline":
@@ -67,4 +67,4 @@ def test_queries_equal_sql(spark):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")) == [*range(1, 11)]
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")) == [*range(1, 14)]
