@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from folioscope.operators import markup as mk
@@ -7,7 +10,7 @@ def one(spark, wiki, job):
     return job(spark.createDataFrame([(1, wiki)], "aid BIGINT, wiki STRING"))
 
 
-@pytest.mark.parametrize("wiki, text", [
+CASES = [
     ("'''Bold''' and ''it''", "Bold and it"),
     ("a {{t|{{u|{{v}} x}} y}} b {{{arg|d}}} c", "a  b  c"),
     ("{{a|{{b|{{c|{{d|{{e|{{f|{{g|{{h}}}}}}}}}}}}}}}}end", "end"),
@@ -24,10 +27,35 @@ def one(spark, wiki, job):
     ("&lt;b&gt;x&lt;/b&gt; &amp;eacute; &amp;amp;", "x é &"),
     ("  a  \n\n \n  b ", "a\n\nb"),
     ("", ""),
+    ("<nowiki>{{x}} [[y]]</nowiki> z", "{{x}} [[y]] z"),
+    ("a<nowiki/>b <nowiki> {{t}} c", "ab   c"),
+    ("{{t|<nowiki>}}</nowiki> in}} out", "out"),
+    ("<pre>\n* {{x}}\n== no ==\n</pre>\n== Yes ==", "* {{x}}\n== no ==\n\nYes"),
+    ("<!-- <nowiki> --> [[a]] <nowiki><!-- k --></nowiki> <!-- no end {{t}}", "a <!-- k --> <!-- no end"),
+    ("<nowiki>[http://x.org y]</nowiki> &amp;lt;", "[http://x.org y] <"),
+    ("one\n----\ntwo ---- three\n-----four", "one\n\ntwo ---- three\nfour"),
+    ("{{{a|{{b}}}}} {{#if:{{{1|}}}|x}} c {{{{d}}}}", "c"),
+    ("{{a {{b}} c [[D|d]] }", "{{a  c D }"),
+    ("x}} {{y [[z]] ]] [[ {{w}}", "x}} {{y z ]] [["),
+    ("{{x}}} {{{{y}} {{{z}}", "} {{"),
+    ("[[A|b [[C|c]] d]] [[E [f] g]] [[File:a [b] c]][[H|[i]]]", "A [[E [f] g]] H"),
+    ("[[File:a|x [[B|b]] e", "[[File:a|x B e"),
+    ("[[A]]]] | [[|n]] [[B [[C|c]] |d]]", "A]] |  B C"),
+    ("a<ref>b <gallery>c</gallery> d</ref> <ref>e", "a e"),
+    (None, None),
     ("{| class=x\n|-\n| cell || other\n|}\nend", "cell || other\n\nend"),
-])
-def test_plain_text(spark, wiki, text):
-    assert one(spark, wiki, mk.plain_text).first()["text"] == text
+]
+
+
+@pytest.fixture(scope="module")
+def plain(spark):
+    rows = spark.createDataFrame([(i, wiki) for i, (wiki, _) in enumerate(CASES)], "aid BIGINT, wiki STRING")
+    return {row["aid"]: row["text"] for row in mk.plain_text(rows).collect()}
+
+
+@pytest.mark.parametrize("case", range(len(CASES)), ids=lambda i: str(CASES[i][0]))
+def test_plain_text(plain, case):
+    assert plain[case] == CASES[case][1]
 
 
 WIKI = (
@@ -54,6 +82,52 @@ def test_segments(spark):
     ]
 
 
+def test_segments_with_literals(spark):
+    wiki = (
+        "<nowiki>[[a]] <ref>n</ref> {{cite}}</nowiki> == <!-- [[b]] -->\n== H <nowiki>[[i]]</nowiki> ==\n<pre>== no ==\nhttp://n.org</pre>"
+        "[http://x.org a <nowiki>b]</nowiki> c] [[A|b {{cite x}} [[no]]]] {{x {{cite y}} {{{cite z}}} [[B|{{cite in}}]]"
+    )
+    got = [tuple(r)[2:] for r in one(spark, wiki, mk.markup_segments).orderBy("pos").collect()]
+    assert got == [
+        ("heading", None, "H [[i]]"), ("external", "http://x.org", "a b] c"), ("link", "A", "A"), ("note", None, None), ("link", "B", "B"),
+    ]
+
+
+def matched(text, pair):
+    """Places that lie in marks with a partner, by a stack."""
+    opened, inside, i = [], set(), 0
+    while i < len(text):
+        two = text[i : i + 2]
+        if two == pair[0]:
+            opened.append(i)
+        elif two == pair[1] and opened:
+            inside.update(range(opened.pop(), i + 2))
+        i += 2 if two in pair else 1
+    return inside
+
+
+def test_random_braces(spark):
+    chance = random.Random(5)
+    wikis = ["".join(chance.choice(["{{", "}}", "a", " b ", "{c}", "é"]) + "." for _ in range(chance.randrange(300))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(wikis)), "aid INT, wiki STRING")
+    got = dict(rows.select("aid", mk._without_templates(mk.F.col("wiki")).alias("t")).collect())
+    for i, wiki in enumerate(wikis):
+        gone = matched(wiki, ("{{", "}}"))
+        assert got[i] == "".join(c for k, c in enumerate(wiki) if k not in gone)
+
+
+@pytest.mark.parametrize("mark", ["{{a ", "[[a| ", "<!-- ", "<nowiki> ", "<ref> ", "[[File:a "])
+def test_marks_without_end_take_linear_time(spark, mark):
+    def seconds(n):
+        began = time.time()
+        assert mark.strip() in one(spark, mark * n + "end", lambda d: d.select(mk._without_templates(mk._with_targets(mk._drop_tags(
+            mk._literal_blocks(mk.F.col("wiki")), "ref", ""))).alias("t"))).first()["t"]
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(8000) < 5
+
+
 def test_footnotes_are_numbered(spark):
     got = sorted(tuple(r)[1:] for r in one(spark, WIKI, mk.footnote_numbers).collect())
     assert got == [(1, 1), (2, 2), (7, 3), (8, 4)]
@@ -66,6 +140,9 @@ def test_both_outputs_agree_with_each_alone(spark):
 
 
 def test_long_and_deep_rows(spark):
+    for n in (60, 4000):
+        deep = "{{a|" * n + "}}" * n + "[[b " * n + "]]" * n + "[[File:a|" * n + "]]" * n + "end"
+        assert one(spark, deep, mk.plain_text).first()["text"].replace("b ", "") == "end"
     deep = "{{a|" * 60 + "}}" * 60 + "end"
     assert one(spark, deep, mk.plain_text).first()["text"] == "end"
     wide = "[[A|b]] {{t|x}} <ref>r</ref>" * 4000
