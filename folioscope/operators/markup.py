@@ -29,6 +29,13 @@ BRACKETS = (
     r"\[\[(?:" + MEDIA_LINKS + r"|(?=[^\[\]|]*+(?:\||\]\]|\[\[)))|\]\]|\||"  # a target holds no single brackets
     r"\[[^\[\]]*+\]|[\[\]]|[^\[\]|]++"
 )
+# Templates, arguments and links that hold no other and touch no further bracket of their kind: taking
+# them out leaves the partners of all other marks as they are.
+SINGLE_ARGUMENT = r"(?<!\{)\{{3}[^{}]*+\}{3}(?!\})"
+SINGLE_TEMPLATE = r"(?<!\{)\{\{[^{}]*+\}\}(?!\})"
+SINGLE_CITE = r"(?<!\{)\{\{\s*" + CITE + r"[^{}]*+\}\}(?!\})"
+SINGLE_MEDIA = r"(?<!\[)\[\[(?:" + MEDIA_LINKS + r")[^\[\]]*+\]\](?!\])"
+SINGLE_LINK = r"(?<!\[)\[\[([^\[\]|]*+)(?:\|[^\[\]]*+)?\]\](?!\])"
 BLOCKS = r"<!--|-->|</?(?:" + LITERAL_TAGS + r")(?:\s[^<>]*+)?+(?<!/)>|[^<-]++|[<-]"
 HEADING = r"(?md)^(={1,6})(.+?)\1[ \t]*$"
 EXTERNAL = r"\[((?:" + SCHEMES + r")[^\s\[\]]*+)[ \t]*([^\[\]]*+)\]"
@@ -45,6 +52,8 @@ NOTE, LINK_OPEN, LINK_CLOSE = "\ue001", "\ue002", "\ue003"
 MARKUP = "[]{}<>|!='*#:;-"
 LITERAL = "".join(chr(0xE010 + i) for i in range(len(MARKUP)))
 
+#: Innermost levels that are taken by replacement; the fold, slower on plain rows, meets what is left.
+LEVELS = 2
 #: Pieces whose results are put together before they join those of the whole text.
 CHUNK = 64
 
@@ -127,6 +136,9 @@ def _without_templates(text: Column, cite: str = "") -> Column:
         )
         return after, written
 
+    for _ in range(LEVELS):
+        text = F.regexp_replace(text, SINGLE_ARGUMENT, "")
+        text = F.regexp_replace(F.regexp_replace(text, SINGLE_CITE, cite) if cite else text, SINGLE_TEMPLATE, "")
     return _rewrite(text, r"\{\{", BRACES, back, F.lit(0), step)
 
 
@@ -158,6 +170,8 @@ def _with_targets(text: Column, opened: str = "", closed: str = "") -> Column:
         return F.struct(depth_after.alias("depth"), hidden_after.alias("hidden")), written
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("hidden"))
+    for _ in range(LEVELS):
+        text = F.regexp_replace(F.regexp_replace(text, SINGLE_MEDIA, ""), SINGLE_LINK, f"{opened}$1{closed}")
     return _rewrite(text, r"\[\[", BRACKETS, back, start, step)
 
 
