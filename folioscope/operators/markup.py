@@ -29,13 +29,19 @@ BRACKETS = (
     r"\[\[(?:" + MEDIA_LINKS + r"|(?=[^\[\]|]*+(?:\||\]\]|\[\[)))|\]\]|\||"  # a target holds no single brackets
     r"\[[^\[\]]*+\]|[\[\]]|[^\[\]|]++"
 )
-# Templates, arguments and links that hold no other and touch no further bracket of their kind: taking
+# Templates, arguments and links that hold no other: taking
 # them out leaves the partners of all other marks as they are.
 SINGLE_ARGUMENT = r"(?<!\{)\{{3}[^{}]*+\}{3}(?!\})"
-SINGLE_TEMPLATE = r"(?<!\{)\{\{[^{}]*+\}\}(?!\})"
-SINGLE_CITE = r"(?<!\{)\{\{\s*" + CITE + r"[^{}]*+\}\}(?!\})"
-SINGLE_MEDIA = r"(?<!\[)\[\[(?:" + MEDIA_LINKS + r")[^\[\]]*+\]\](?!\])"
-SINGLE_LINK = r"(?<!\[)\[\[([^\[\]|]*+)(?:\|[^\[\]]*+)?\]\](?!\])"
+def _alone(inside: str) -> str:
+    """Template of those contents; one that ends where others end must not leave or join a single brace."""
+    return rf"(?<!\{{)\{{\{{{inside}\}}\}}(?!\}})|(?<![{{}}])\{{\{{{inside}\}}\}}(?=\}}\}})"
+
+
+SINGLE_TEMPLATE = _alone("[^{}]*+")
+SINGLE_CITE = _alone(r"\s*" + CITE + "[^{}]*+")
+_MEDIA = r"\[\[(?:" + MEDIA_LINKS + r")[^\[\]]*+\]\]"
+SINGLE_MEDIA = rf"(?<!\[){_MEDIA}(?!\])|(?<![\[\]]){_MEDIA}"
+SINGLE_LINK = r"(?<!\[)\[\[([^\[\]|]++)(?:\|[^\[\]]*+)?\]\]"
 BLOCKS = r"<!--|-->|</?(?:" + LITERAL_TAGS + r")(?:\s[^<>]*+)?+(?<!/)>|[^<-]++|[<-]"
 HEADING = r"(?md)^(={1,6})(.+?)\1[ \t]*$"
 EXTERNAL = r"\[((?:" + SCHEMES + r")[^\s\[\]]*+)[ \t]*([^\[\]]*+)\]"
