@@ -2,7 +2,9 @@
 
 The pieces are those of a fixed public vocabulary. Each language has a probability for each piece;
 a word's probability is the sum over all ways to cut it into pieces, by the forward algorithm. The
-piece probabilities are learnt by expectation maximisation on words of labelled texts.
+piece probabilities are learnt by expectation maximisation on words of labelled texts. Runs of letters
+longer than ``LONGEST`` are summed one at a time, in logarithms and with room that does not grow
+with them; the shorter ones many at a time.
 """
 
 from __future__ import annotations
@@ -16,22 +18,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from ..session import spread, stage
 from .common import mixed
 
-#: Labelled rows to learn from, in all, about; a share of them by a hash of the id if there are more.
+#: Labelled rows to learn from, in all, about, the same number for each language; where a language has more, a share by a hash of the id.
 MOST_ROWS = 8_000
 ROUNDS = 2
-#: Runs of letters are words; a longer run is cut after so many, and so segmented in parts.
+#: Runs of letters are words; longer runs are summed one at a time. No piece is longer.
 LONGEST = 32
+#: Letters of a long run that are worked on at a time, and after which its sums are scaled anew.
+STRETCH, RESCALED = 4_096, 8
 WORD = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 #: Probability of one letter outside the vocabulary, and counts added to each piece.
 ALIEN, ADDED = 1e-7, 0.01
 #: Keeps products of many small numbers in range: each letter counts so many times its probability.
 SCALE = 8.0
-#: Words whose scores a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Words whose scores a worker remembers, and scores in all, one for each word and language; beyond it the memory starts anew.
+REMEMBERED, SCORES = 300_000, 3_000_000
+#: Sums that are worked on at a time, one for each letter and language.
+TOGETHER = 600_000
 
 
 class Pieces:
@@ -80,6 +87,72 @@ class Pieces:
                         out[:, start + n, n] = np.where(keys[at] == key, ids[at], -1)
         return out
 
+    def found_in_run(self, codes: np.ndarray, first: int, last: int) -> np.ndarray:
+        """For one run: the piece from ``end - n`` to ``end`` for the ends from ``first`` to ``last``, as ``[end - first, n]``, or -1."""
+        out = np.full((last - first, self.longest + 1), -1, dtype=np.int32)
+        ends = np.arange(first, last)
+        for n, (keys, ids) in self.by_size.items():
+            some = ends[ends >= n]
+            if len(some):
+                key = self.hashed(codes[some[:, None] + np.arange(-n, 0)])
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                out[some - first, n] = np.where(keys[at] == key, ids[at], -1)
+        return out
+
+
+def _sums(stretches: Iterator[np.ndarray], chance: np.ndarray) -> Iterator[np.ndarray]:
+    """Logarithms of the forward sums of one run, ``[end, language]``, stretch by stretch; ``[end, n]`` pieces come in.
+
+    A letter outside the vocabulary is a step of one letter besides the pieces. The last sums are kept
+    in a ring, nearest first, and brought back to a size of one every few letters.
+    """
+    ring, log = None, np.zeros(chance.shape[1])
+    for found in stretches:
+        if ring is None:
+            ring = np.zeros((found.shape[1] - 1, chance.shape[1]))
+            ring[0] = 1.0
+        step = np.where(found[:, 1:, None] >= 0, chance[found[:, 1:]], 0.0) * SCALE ** np.arange(1, found.shape[1])[:, None]
+        step[:, 0] += chance[-1] * SCALE
+        out = np.empty((len(found), chance.shape[1]))
+        for k in range(len(found)):
+            new = (ring * step[k]).sum(axis=0)
+            ring[1:] = ring[:-1]
+            ring[0] = new
+            out[k] = np.log(new) + log
+            if k % RESCALED == 0:
+                ring /= new
+                log = log + np.log(new)
+        yield out
+
+
+def _stretches(known: Pieces, codes: np.ndarray, langs: int) -> Iterator[np.ndarray]:
+    size = max(1, STRETCH // langs)
+    for first in range(1, len(codes) + 1, size):
+        yield known.found_in_run(codes, first, min(first + size, len(codes) + 1))
+
+
+def run_total(known: Pieces, chance: np.ndarray, word: str) -> np.ndarray:
+    """The logarithm of a long run's probability, all segmentations summed, by language."""
+    codes = _codes(word)
+    for logs in _sums(_stretches(known, codes, chance.shape[1]), chance):
+        last = logs[-1]
+    return last - len(codes) * np.log(SCALE)
+
+
+def run_expected(known: Pieces, chance: np.ndarray, word: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of a long run and their expected uses; ``chance`` is that of one language, ``[piece + 1]``."""
+    codes, chance = _codes(word), chance[:, None]
+    found = np.concatenate([np.full((1, known.longest + 1), -1, dtype=np.int32), *_stretches(known, codes, 1)])
+    # from the other end: the piece from an end's mirror image forward
+    back = np.full_like(found, -1)
+    for n in known.by_size:
+        back[n:, n] = found[n:, n][::-1]
+    alpha, beta = (np.concatenate([[0.0], *(x[:, 0] for x in _sums((f[k : k + STRETCH] for k in range(1, len(f), STRETCH)), chance))]) for f in (found, back))
+    ends, sizes = np.nonzero(found >= 0)
+    ids = found[ends, sizes]
+    use = alpha[ends - sizes] + np.log(chance[ids, 0]) + sizes * np.log(SCALE) + beta[len(codes) - ends]
+    return ids, np.exp(use - alpha[-1])
+
 
 def _forward(found: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Scaled forward sums ``[word, end, language]``; ``chance`` is ``[piece, language]``, its last row for aliens."""
@@ -119,17 +192,20 @@ def words_of(text: str) -> list[str]:
     words = WORD.findall(text.lower())
     if not all(map(str.isalpha, words)):  # number signs such as a square or a fraction are no letters
         words = [w for run in words for w in "".join(c if c.isalpha() else " " for c in run).split()]
-    if any(len(w) > LONGEST for w in words):
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
     return words
 
 
-def _by_length(words: list[str]):
+def _codes(text: str) -> np.ndarray:
+    """Code points of a word with a mark before it."""
+    return np.frombuffer((MARK + text).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+
+
+def _by_length(words: list[str], langs: int = 10):
     """Words of equal length as code points, with a mark before each: ``places, codes``."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     for n in np.unique(sizes).tolist():
         places = np.flatnonzero(sizes == n)
-        for part in np.array_split(places, max(1, len(places) * (n + 1) // 60_000)):
+        for part in np.array_split(places, max(1, len(places) * (n + 1) * langs // TOGETHER)):
             text = "".join(MARK + words[i] for i in part.tolist())
             yield part, np.frombuffer(text.encode("utf-32-le"), dtype="<u4").reshape(len(part), n + 1).astype(np.uint64)
 
@@ -144,13 +220,17 @@ def pieces(path: str) -> Pieces:
 
 
 def labelled(docs: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """``lang, text`` of the rows to learn from: a language is named, and crc32 of the id as text is not 0 modulo 5."""
+    """``lang, text`` of the rows to learn from: a language is named, and crc32 of the id as text is not 0 modulo 5.
+
+    About ``most`` in all: each language may give the same number, by a hash of the id, or gives all that it has.
+    """
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
-    n = rows.select("doc_id").count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return rows.select(F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    sizes = stage(rows.groupBy("lang").agg(F.count("*").alias("_rows")), "languages")
+    each = 1_000_000 * most / max(1, sizes.count())
+    rows = rows.join(broadcast_if_small(sizes), "lang")  # a row for each language
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) * F.col("_rows") < each).select("lang", "text")
 
 
 def learn(docs: DataFrame, vocabulary: str, most: int = MOST_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -179,8 +259,13 @@ def learn(docs: DataFrame, vocabulary: str, most: int = MOST_ROWS, rounds: int =
             known, counts = pieces(vocabulary), np.zeros_like(chance)
             for frame in frames:
                 lang = frame["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-                n = frame["n"].to_numpy()
-                for at, codes in _by_length(frame["word"].tolist()):
+                n, words = frame["n"].to_numpy(), frame["word"].tolist()
+                short = np.array([i for i, w in enumerate(words) if len(w) <= LONGEST], dtype=np.int64)
+                for i in set(range(len(words))).difference(short.tolist()):
+                    ids, uses = run_expected(known, chance[:, lang[i]], words[i])
+                    np.add.at(counts, (ids, lang[i]), uses * n[i])
+                for places, codes in _by_length([words[i] for i in short.tolist()], len(langs)):
+                    at = short[places]
                     weight = np.zeros((len(at), len(langs)))
                     weight[np.arange(len(at)), lang[at]] = n[at]
                     counts += _expected(known.found(codes), chance, weight)
@@ -198,26 +283,31 @@ class Scorer:
     def __init__(self, vocabulary: str, chance: np.ndarray):
         self.pieces, self.chance = pieces(vocabulary), chance
         self.number: dict[str, int] = {}
-        self.scores = np.zeros((REMEMBERED, chance.shape[1]))
+        self.scores = np.zeros((max(1, min(REMEMBERED, SCORES // max(1, chance.shape[1]))), chance.shape[1]))
 
     def totals(self, texts: list[list[str]]) -> np.ndarray:
         """Summed log probabilities ``[text, language]``."""
         number, scores = self.number, self.scores
-        new = list({w for words in texts for w in words}.difference(number))
+        new = {w for words in texts for w in words}.difference(number)
+        long = {w: run_total(self.pieces, self.chance, w) for w in new if len(w) > LONGEST}
+        new = list(new.difference(long))
         if len(number) + len(new) > len(scores):
             number.clear()
-            new = list({w for words in texts for w in words})
+            new = list({w for words in texts for w in words}.difference(long))
             if len(new) > len(scores):
                 self.scores = scores = np.zeros((len(new), scores.shape[1]))
         first = len(number)
         number.update(zip(new, range(first, first + len(new)), strict=True))
-        for at, codes in _by_length(new):
+        for at, codes in _by_length(new, scores.shape[1]):
             last = _forward(self.pieces.found(codes), self.chance)[:, -1]
             scores[first + at] = np.log(np.maximum(last, 1e-300)) - codes.shape[1] * np.log(SCALE)
         out = np.zeros((len(texts), scores.shape[1]))
         for i, words in enumerate(texts):
+            if long:
+                out[i] = sum(long[w] for w in words if w in long)
+                words = [w for w in words if w not in long]
             if words:
-                out[i] = scores[np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
+                out[i] += scores[np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
         return out
 
 
