@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.joins import broadcast_if_small
 from ..session import stage
 from .blocks import ASKED, BODY, LONG, blocks_of, check_seals, meeting, opened, packed, sealed, shards_for, unpacked
 from .common import consecutive, mixed
@@ -201,6 +202,7 @@ def _probabilities(grams: DataFrame) -> DataFrame:
             for k in (1, 2, 3)
         ]
         d = d.select("lang", "types", *(c.alias(f"d{k}") for k, c in zip((1, 2, 3), cuts, strict=True)))
+        d = broadcast_if_small(stage(d, f"discounts-{order}"))  # a row for each model
         more = F.sum(F.when(F.col("n") >= 3, 1).otherwise(0)).alias("n3")
         contexts = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), of[1], of[2], more).where("total > 0").join(d, "lang")
         rest = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total")
@@ -278,32 +280,37 @@ def _quantiles(scored: DataFrame, value: str, shares: dict[str, float], step: fl
 
 
 def fences(scored: DataFrame, reach: float, step: float = 0.002) -> DataFrame:
-    """``lang, middle, low, high``: quartiles of ``level`` by language, carried outwards.
+    """``lang, middle, wide, low, high``: quartiles of ``level`` by language, carried outwards.
 
-    ``low`` and ``high`` lie ``reach`` quartile distances (0.05 at least) outside the quartiles.
+    ``wide`` is the quartile distance (0.05 at least); ``low`` and ``high`` lie ``reach`` of it outside the quartiles.
     """
     three = _quantiles(scored, "level", {"q1": 0.25, "middle": 0.5, "q3": 0.75}, step)
-    wide = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(0.05))
-    return three.select("lang", "middle", (F.col("q1") - wide).alias("low"), (F.col("q3") + step + wide).alias("high"))
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(0.05))
+    return three.select("lang", "middle", wide.alias("wide"), (F.col("q1") - reach * wide).alias("low"), (F.col("q3") + step + reach * wide).alias("high"))
 
 
-def judged(scored: DataFrame, counted, reach: float, band: tuple[float, float], short: int = 50, least: int = 0, step: float = 0.002) -> DataFrame:
+def judged(scored: DataFrame, counted, reach: float, band: tuple[float, float], short: int = 50, room: float = 0.0, step: float = 0.002) -> DataFrame:
     """Adds ``perplexity``, ``low``, ``high`` (perplexities), ``inside`` and ``below``.
 
     ``counted`` says which rows set the band of a language. It goes from one quantile to the
-    other of ``band``, and no farther than the `fences`; a language with fewer than ``least``
-    counted texts, too few to tell such quantiles, has the fences alone. A text of n units is drawn
+    other of ``band``, and no farther than the `fences`. What few texts tell of a quantile is uncertain, so
+    that each end lies ``room`` quartile distances, divided by the root of the number of counted texts, further
+    out. A text of n units is drawn
     towards its language's median as if it had ``short`` units more of that level, for the
     quantiles as for the verdict: short texts scatter more, and so are given more room. A row
     without a perplexity, or of a language without fences, is inside.
+
+    Both tables of limits have a row for each language and are staged; they are broadcast if a count shows that they are small.
     """
     levelled = scored.withColumn("level", F.col("surprise") / F.col("n_units"))
-    marks = fences(levelled.where(counted), reach)
+    marks = broadcast_if_small(stage(fences(levelled.where(counted), reach), "fences"))
     drawn = F.col("middle") + (F.col("level") - F.col("middle")) * F.col("n_units") / (F.col("n_units") + short)
     joined = levelled.join(marks, "lang", "left").withColumn("drawn", drawn)
-    ends = _quantiles(joined.where(counted), "drawn", {"first": band[0], "last": band[1]}, step).where(F.col("n_texts") >= least)
-    joined = joined.join(ends.drop("n_texts"), "lang", "left")
-    low, high = F.greatest("low", "first"), F.least("high", F.col("last") + step)
+    ends = _quantiles(joined.where(counted), "drawn", {"first": band[0], "last": band[1]}, step)
+    ends = broadcast_if_small(stage(ends, "ends"))
+    joined = joined.join(ends, "lang", "left")
+    further = room * F.col("wide") / F.sqrt("n_texts")
+    low, high = F.greatest("low", F.col("first") - further), F.least("high", F.col("last") + step + further)
     return joined.select(
         *scored.columns, F.exp("level").alias("perplexity"), F.exp(low).alias("low"), F.exp(high).alias("high"),
         F.coalesce(F.col("drawn").between(low, high), F.lit(True)).alias("inside"),

@@ -182,6 +182,74 @@ def test_limit_bears_bad_text_at_two_fifths(spark, as_docs, make_prose):
     assert abs(math.log(alone.high / rows[0].high)) < 0.1
 
 
+def plain_quantile(values, share, step=0.002):
+    bins = sorted(math.floor(v / step) for v in values)
+    return bins[max(0, math.ceil(share * len(bins) - 1e-9) - 1)] * step
+
+
+def plain_band(rows, band, room, reach=6.0, short=50, step=0.002):
+    """``low, high, drawn`` of one language from ``(n_units, level)`` of the rows that count; a pair counts once."""
+    rows = set(rows)
+    q1, middle, q3 = (plain_quantile([level for _, level in rows], q) for q in (0.25, 0.5, 0.75))
+    wide, drawn = max(q3 - q1, 0.05), lambda n, level: middle + (level - middle) * n / (n + short)
+    first, last = (plain_quantile([drawn(*x) for x in rows], q) for q in band)
+    further = room * wide / math.sqrt(len(rows))
+    return max(q1 - reach * wide, first - further), min(q3 + step + reach * wide, last + step + further), drawn
+
+
+def unit_count(text):
+    return len(" ".join(text.lower().split()).encode("utf-16-le")) // 2 + 1
+
+
+def two_tongues(make_prose, many):
+    r = random.Random(12)
+    texts = {k: ("en" if k < many else "de", " ".join(make_prose(k, r.randrange(12, 40)))) for k in range(many + 150)}
+    for k in range(10_000, 10_060):
+        texts[k] = (r.choice(["en", "de"]), " ".join(w + r.choice("%$&*#") * r.randrange(4) for w in make_prose(k, 30)))
+    return texts
+
+
+def level_of(x):
+    return math.log(x.perplexity)
+
+
+def holds(rows, texts, counted, band, room, upper_only):
+    for lang in ("en", "de"):
+        own = [x for x in rows if x.lang == lang]
+        place = {x.doc_id: (unit_count(texts[x.doc_id][1]), level_of(x)) for x in own}
+        low, high, drawn = plain_band([place[x.doc_id] for x in own if counted(x)], band, room)
+        edge = 0.005  # a step to either side, where rounded levels may fall apart
+        for x in own:
+            at = drawn(*place[x.doc_id])
+            assert abs(math.log(x.high) - high) < edge
+            if not upper_only:
+                assert abs(math.log(x.low) - low) < edge
+            if abs(at - high) > edge and abs(at - low) > edge and not getattr(x, "base_failed", False):
+                assert x.kept == (at <= high and (upper_only or at >= low)), (x, at, low, high)
+
+
+def test_verdicts_of_the_rules_by_brute_force(spark, make_prose):
+    texts = two_tongues(make_prose, 700)
+    docs = spark.createDataFrame([(k, t, g) for k, (g, t) in texts.items()], "doc_id long, text string, lang string")
+    rows = quality_rules.quality(docs).collect()
+    assert len(rows) == len(texts) and {x.kept for x in rows} == {True, False}
+    clean = lambda x: not x.base_failed and x.n_symbols <= 0.1 * x.n_words
+    holds(rows, texts, clean, quality_rules.BAND, 0.0, False)
+
+
+def test_verdicts_of_the_classifier_by_brute_force(spark, make_prose):
+    """One language with more than 500 spared texts, one with about 30: the same rule for both."""
+    texts = two_tongues(make_prose, 3000)
+    docs = spark.createDataFrame([(k, t, g) for k, (g, t) in texts.items()], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in texts if k < 10_000], "doc_id long, quality int, toxic int")
+    spared = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(quality_classifier.SPARED)) == 0)
+    spared = {x.doc_id for x in spared.collect()}
+    assert sum(texts[k][0] == "en" for k in spared) > 500 and 10 < sum(texts[k][0] == "de" for k in spared) < 60
+    rows = quality_classifier.classify(docs, labels).collect()
+    assert sum(not x.kept for x in rows if x.doc_id >= 10_000) > 20 and sum(not x.kept for x in rows if x.doc_id < 10_000) < 0.03 * len(texts)
+    holds(rows, texts, lambda x: x.doc_id in spared, (0.0, quality_classifier.LIMIT), quality_classifier.ROOM, True)
+
+
 def test_awkward_models(spark, awkward, nothing):
     rows = quality_rules.quality(awkward).collect()
     assert len(rows) == awkward.count() and sum(x.doc_id == 5 for x in rows) == 2
