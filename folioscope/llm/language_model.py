@@ -230,7 +230,8 @@ def surprise(
     the negative natural logarithms of the probabilities of the text's ``n_units`` units, its end
     included, so that ``exp(surprise / n_units)`` is the perplexity; null for a language that
     taught the model nothing. The model learns from all rows, or from those whose ``doc_id`` is
-    in ``taught`` (one column of distinct ids, of a bounded number: it is broadcast). ``features``
+    in ``taught`` (one column of distinct ids, which are broadcast, as a join that moves the documents would
+    change their order). ``features``
     gives further columns, described by ``schema``, from a list of texts.
 
     ``teaches`` tells which of a list of texts the model may learn from, and has each text scored

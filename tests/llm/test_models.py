@@ -322,3 +322,8 @@ def test_awkward_languages(awkward, nothing, tongues):
     assert language_id.identify(nothing, VOCABULARY).count() == 0
     unlabelled = language_id.identify(tongues.withColumn("lang", F.lit(None).cast("string")), VOCABULARY).collect()
     assert {x.lang_pred for x in unlabelled} == {"und"}
+
+
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(1_100_000).selectExpr("id as doc_id", "1L as quality", "0L as toxic")
+    assert quality_classifier.trusted_ids(labels).count() == 1_100_000
