@@ -3,8 +3,8 @@
 The given tables hold no wikitext, so documents become articles: a document takes the most
 frequent word first seen in it as its title, and words of its text become links, templates, notes
 and headings. The other words first seen in a document are redirect pages that lead to each other
-and to the title. Web pages become pages of other kinds. Each table is staged once per session,
-as the jobs would have stored it. `check_sql` states the same in SQL.
+and to the title. Web pages become pages of other kinds. What is costly to derive is staged once per
+session, as the jobs would have stored it. `check_sql` states the same in SQL.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..operators import ngrams as ng
 from ..operators import search as se
 from ..operators import substrings as sub
 from ..operators.block_index import BlockIndex
+from ..operators.joins import is_small
 from ..session import fresh_path, spread, stage
 from ..sources.dump import page_xml
 
@@ -42,6 +43,8 @@ WIKI_STEPS = [
 
 def derived_wiki(text: Column) -> Column:
     for pattern, change in WIKI_STEPS:
+        # What follows a run of letters is none, so runs are taken whole and from their start, without trying their parts.
+        pattern = pattern.replace("{2,})", "{2,}+)").replace(r"(\p{L}{3,})", r"(?<!\p{L})(\p{L}{3,}+)")
         text = F.regexp_replace(text, pattern, change.replace("\\1", "$1").replace("\\2", "$2"))
     return text
 
@@ -80,9 +83,11 @@ class Inputs:
 
     @cached_property
     def article(self) -> DataFrame:
-        """Articles as dump pages, with the plain text they came from."""
+        """Articles as dump pages."""
         docs = spread(self.given("documents"))
         heads = self.owned.filter("r = 0").select(F.col("owner").alias("doc_id"), "word")
+        # A hash table of the titles: texts are not sorted for the join.
+        heads = F.broadcast(heads) if is_small(heads) else heads.hint("shuffle_hash")
         title = F.coalesce(tx.capitalize(F.col("word")), F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
         rows = docs.join(heads, "doc_id", "left").select(
             (F.col("doc_id") * ID_STEP).alias("id"),
@@ -92,13 +97,12 @@ class Inputs:
             (F.col("doc_id") + 500_000).alias("rid"),
             _date(F.col("doc_id")).alias("date"),
             derived_wiki(F.col("text")).alias("text"),
-            F.col("text").alias("plain"),
         )
         return self._stage(rows, "article")
 
     @cached_property
     def dump_page(self) -> DataFrame:
-        """Every page of the derived dump."""
+        """Every page of the derived dump, read from where its parts are: no text is stored again."""
         r = F.col("r")
         target = tx.capitalize(F.col("target"))
         spelling = F.when(r % 3 == 0, "#REDIRECT ").when(r % 3 == 1, "#redirect ").otherwise("#Redirect ")
@@ -117,7 +121,7 @@ class Inputs:
         for n, (space, prefix) in enumerate(kinds):
             ns = F.when(page % 6 == n, space).otherwise(ns)
             start = F.when(page % 6 == n, prefix).otherwise(start)
-        others = spread(self.given("pages")).select(
+        others = self.given("pages").select(
             (page * ID_STEP + ID_STEP - 1).alias("id"),
             ns.cast("int").alias("ns"),
             F.concat(start, F.col("url")).alias("title"),
@@ -126,7 +130,7 @@ class Inputs:
             _date(page).alias("date"),
             F.when(page % 12 != 11, F.col("html")).alias("text"),
         )
-        return self._stage(self.article.drop("plain").unionByName(redirects).unionByName(others), "dump-page")
+        return self.article.unionByName(redirects).unionByName(others)
 
     @cached_property
     def dump_file(self) -> str:
@@ -145,7 +149,7 @@ class Inputs:
 
     @cached_property
     def search_article(self) -> DataFrame:
-        return self._stage(art.article_rows(self.dump_page), "search-article")
+        return art.article_rows(self.dump_page)
 
     def _index(self, field: str) -> BlockIndex:
         path = fresh_path(self.spark, f"{field}-index")
@@ -219,9 +223,8 @@ class Inputs:
     @cached_property
     def diffs(self) -> DataFrame:
         """``time, words``: every document as an edit at its date."""
-        return self.article.select(
-            F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("time"), F.col("plain").alias("words")
-        )
+        date = F.date_format(_date(F.col("doc_id")), "yyyy-MM-dd HH:mm:ss")
+        return spread(self.given("documents")).select(date.alias("time"), F.col("text").alias("words"))
 
     @cached_property
     def vocab(self) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 
@@ -58,22 +59,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *keys: str, name: str, buckets: int | None = None) -> tuple[DataFrame, Callable[[], None]]:
+def bucketed(df: DataFrame, *keys: str, name: str, buckets: int | None = None, dealt: bool = False) -> tuple[DataFrame, Callable[[], None]]:
     """Stage ``df`` in buckets of ``keys``, one file each; joins and groupings on them read it without a shuffle.
 
     Also returns what takes the table's name out of the session's catalog when it is no longer read.
-    There are as many buckets as shuffle partitions unless ``buckets`` says otherwise.
+    There are as many buckets as shuffle partitions unless ``buckets`` says otherwise. ``dealt`` is for rows
+    that are already dealt by ``keys`` to as many tasks as there are buckets.
     """
     spark = df.sparkSession
     parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    dealt = df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path)
-    dealt.saveAsTable(table)
+    rows = df if dealt else df.repartition(parts, *keys)
+    rows.write.bucketBy(parts, *keys).option("path", path).saveAsTable(table)
     return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}") and None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer tasks than there are cores; a large scan is left as it is."""
+    """Spread a scan with fewer tasks than there are cores; a large scan is left as it is.
+
+    Rows are dealt by their hash: dealing them in turn would sort whole texts first.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, F.xxhash64(*df.columns)) if df.rdd.getNumPartitions() < cores else df
