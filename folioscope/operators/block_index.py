@@ -19,6 +19,7 @@ import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -31,13 +32,17 @@ SCORE_DECIMALS = 6
 BLOCK_BITS = 7
 # Up to this many distinct query terms are named in the filter of the index scan.
 PUSHED_TERMS = 100
+#: Up to this many queries a block is scored for all of them in the task that holds it.
+TOGETHER = 1_000
+#: Pairs of a query and a block for one task to score.
+PAIRS = 8_192
 
 LOG = "number BIGINT, segment STRING, kind STRING"
 ENTRY = "array<struct<id:bigint,tf:bigint,len:int>>"
 SCHEMAS = {
     "postings": f"term STRING, block BIGINT, n BIGINT, tf_most BIGINT, len_least INT, entries {ENTRY}, segment STRING",
     "terms": "term STRING, df BIGINT, segment STRING",
-    "size": "docs BIGINT, total BIGINT, segment STRING",
+    "size": "docs BIGINT, total BIGINT, repeats BIGINT, segment STRING",
     "deleted": "id BIGINT, segment STRING",
 }
 
@@ -47,7 +52,7 @@ class BlockIndex(NamedTuple):
 
     postings: DataFrame  # number, term, block, n, tf_most, len_least, entries
     terms: DataFrame  # term, df; to be summed by term
-    size: DataFrame  # one row: docs, avg; documents without terms do not count
+    size: DataFrame  # one row: docs, avg; documents without terms do not count; repeats: 0 if no id is there twice
     deleted: DataFrame | None  # id, number: gone from all segments before that number
 
 
@@ -83,8 +88,9 @@ def _blocked(postings: DataFrame, lengths: DataFrame) -> DataFrame:
     ordered = lengths.select("id", F.col("len").cast("int").alias("len")).repartitionByRange("len", "id").sortWithinPartitions("len", "id")
     blocks = ordered.select("id", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
     entry = F.struct("id", F.col("tf").cast("long").alias("tf"), F.col("len").cast("int").alias("len"))
-    rows = postings.join(blocks, "id").select("term", "block", entry.alias("entry"))
-    return rows.groupBy("term", "block").agg(
+    # A hash table of the blocks: postings are not sorted for the join, and move once more, to their blocks.
+    rows = postings.join(blocks.hint("shuffle_hash"), "id").select("term", "block", entry.alias("entry"))
+    return rows.repartition("block").groupBy("term", "block").agg(
         F.count("*").alias("n"), F.max("entry.tf").alias("tf_most"), F.min("entry.len").alias("len_least"),
         F.sort_array(F.collect_list("entry")).alias("entries"),  # at most a block's documents
     )
@@ -94,11 +100,14 @@ def _write_segment(postings: DataFrame, lengths: DataFrame, path: str, number: i
     """Store ``id, term, len, tf`` and ``id, len`` of some documents as a segment."""
     spark, segment = postings.sparkSession, f"{number:06d}-{uuid.uuid4().hex}"
     blocked = _blocked(postings, lengths)
-    _put(blocked.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), path, "postings", segment)
+    _put(blocked.sortWithinPartitions("term", "block"), path, "postings", segment)
     stored = spark.read.parquet(f"{path}/postings/segment={segment}")
     _put(stored.groupBy("term").agg(F.sum("n").alias("df")).sortWithinPartitions("term"), path, "terms", segment)
-    held = lengths.filter("len > 0")
-    _put(held.agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("total")), path, "size", segment)
+    held = lengths.filter("len > 0").groupBy("id").agg(F.count("*").alias("rows"), F.sum("len").alias("len"))
+    repeats = F.count_if((F.col("rows") > 1) & F.col("id").isNotNull())
+    total = F.coalesce(F.sum("len"), F.lit(0)).cast("long")
+    size = held.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("docs"), total.alias("total"), repeats.alias("repeats"))
+    _put(size, path, "size", segment)
     _log(spark, path, number, segment, kind)
 
 
@@ -126,7 +135,7 @@ def delete(ids: DataFrame, path: str) -> None:
     held = stage(live_postings(index).join(gone, "id", "left_semi"), "deleted-postings")
     _put(held.groupBy("term").agg((-F.count("*")).alias("df")), path, "terms", segment)
     documents = held.select("number", "id", "len").distinct()
-    _put(documents.agg((-F.count("*")).alias("docs"), (-F.coalesce(F.sum("len"), F.lit(0))).cast("long").alias("total")), path, "size", segment)
+    _put(documents.agg((-F.count("*")).alias("docs"), (-F.coalesce(F.sum("len"), F.lit(0))).cast("long").alias("total"), F.lit(0).cast("long").alias("repeats")), path, "size", segment)
     _put(documents.select("id").distinct(), path, "deleted", segment)
     _log(spark, path, number, segment, "delete")
 
@@ -156,7 +165,10 @@ def read(spark: SparkSession, path: str) -> BlockIndex:
 
     every = ("base", "insert", "delete")
     docs = F.coalesce(F.sum("docs"), F.lit(0))
-    size = part("size", every).agg(docs.alias("docs"), (F.sum("total") / F.nullif(docs, F.lit(0))).alias("avg"))
+    # An id may be in two segments, or in an index that was stored without the count.
+    held = sum(kind != "delete" for _, _, kind in segments)
+    repeats = F.lit(1).cast("long") if held > 1 else F.sum(F.coalesce("repeats", F.lit(1)))
+    size = part("size", every).agg(docs.alias("docs"), (F.sum("total") / F.nullif(docs, F.lit(0))).alias("avg"), repeats.alias("repeats"))
     deleted = part("deleted", ("delete",))
     if deleted is not None:
         deleted = deleted.groupBy("id").agg(F.max("number").alias("number"))
@@ -184,6 +196,7 @@ class _Search(NamedTuple):
     index: BlockIndex
     weights: DataFrame  # qid, term, weight
     few: bool  # weights may be broadcast
+    together: bool  # the queries are so few that a block is scored for all of them at once
     rows: DataFrame  # postings of the terms asked for
     average: Column
 
@@ -193,27 +206,43 @@ def _prepared(index: BlockIndex, asked: DataFrame) -> _Search:
     found = asked.join(index.terms, "term").groupBy("qid", "term", "times").agg(F.sum("df").alias("df")).filter("df > 0")
     weights = stage(found.select("qid", "term", (inverse_df(size["docs"], F.col("df")) * F.col("times")).alias("weight")), "weights")
     few, rows = is_small(weights), index.postings
+    together = few and weights.select("qid").distinct().limit(TOGETHER + 1).count() <= TOGETHER
     named = [r["term"] for r in weights.select("term").distinct().limit(PUSHED_TERMS + 1).collect()] if few else []
     if 0 < len(named) <= PUSHED_TERMS:
         rows = rows.filter(F.col("term").isin(*named))  # reaches the scan
-    return _Search(index, weights, few, rows, size["avg"])
+    return _Search(index, weights, few, together, rows, size["avg"])
 
 
-def _heads(search: _Search) -> DataFrame:
+def _heads(search: _Search, weights: DataFrame | None = None) -> DataFrame:
     """``qid, number, block, n, most``: a row for each term of a query in each block; reads no entries."""
-    heads = search.rows.select("number", "term", "block", "n", "tf_most", "len_least")
-    joined = heads.join(F.broadcast(search.weights) if search.few else search.weights, "term")
+    heads, weights = search.rows.select("number", "term", "block", "n", "tf_most", "len_least"), search.weights if weights is None else weights
+    joined = heads.join(F.broadcast(weights) if search.few else weights, "term")
     most = F.col("weight") * part_score(F.col("tf_most"), F.col("len_least"), search.average)
     return joined.select("qid", "number", "block", "n", most.alias("most"))
 
 
 def _scored(search: _Search, blocks: DataFrame) -> DataFrame:
     """``qid, id, score`` of the documents of ``blocks`` (``qid, number, block``) that share a term with the query."""
-    needed = blocks.select("qid", "number", "block").join(search.weights, "qid")
-    found = search.rows.select("number", "term", "block", "entries").join(needed, ["number", "term", "block"])
-    rows = _without_deleted(found.select("qid", "number", "weight", F.inline("entries")), search.index)
     part = F.col("weight") * part_score(F.col("tf"), F.col("len"), search.average)
-    return rows.groupBy("qid", "id").agg(F.round(F.sum(part), SCORE_DECIMALS).alias("score"))
+    score = F.round(F.sum(part), SCORE_DECIMALS).alias("score")
+    if not search.together:
+        needed = blocks.select("qid", "number", "block").join(search.weights, "qid")
+        found = search.rows.select("number", "term", "block", "entries").join(needed, ["number", "term", "block"])
+        rows = _without_deleted(found.select("qid", "number", "weight", F.inline("entries")), search.index)
+        return rows.groupBy("qid", "id").agg(score)
+    # Postings move to the task of their block and are unfolded there for each query, so what is added up
+    # is there already, unless an id is in several blocks.
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // PAIRS))
+    place = ["number", "block"]
+    asked = blocks.select("qid", *place).repartition(tasks, *place).groupBy(*place).agg(F.collect_set("qid").alias("qids"))
+    held = search.rows.select(*place, "term", "entries").join(F.broadcast(search.weights.select("term").distinct()), "term", "left_semi")
+    met = held.repartition(tasks, *place).join(asked.hint("shuffle_hash"), place)
+    met = met.join(F.broadcast(search.weights), "term").filter(F.array_contains("qids", F.col("qid")))
+    rows = met.select("qid", *place, "weight", F.inline("entries"))
+    if search.index.size.first()["repeats"]:
+        return _without_deleted(rows, search.index).groupBy("qid", "id").agg(score)
+    added = rows.groupBy("qid", *place, "id").agg(score)
+    return _without_deleted(added, search.index).select("qid", "id", "score")
 
 
 def _best(scored: DataFrame, size: int) -> DataFrame:
@@ -223,20 +252,57 @@ def _best(scored: DataFrame, size: int) -> DataFrame:
 def _selected(search: _Search, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks scored at first, the best hits in them, and the other blocks that may hold a better one.
 
-    Each block of a query holds a document that matches, so as many blocks as hits are asked for give
-    that many hits, unless documents were deleted. A document of another block with the score of the
+    Each block of a query, or of its best term if there are very many queries, holds a document that
+    matches, so as many blocks as hits are asked for give that many hits, unless documents were deleted. A document of another block with the score of the
     last hit may come before it, so equal bounds stay, with room for the rounding of scores.
     """
-    bounds = stage(_heads(search).groupBy("qid", "number", "block").agg(F.sum("most").alias("bound")), "bounds")
+    peaks = None if search.together else stage(_peaks(search), "peaks")
+    top = None if peaks is None else _top_terms(peaks)
+    bounds = stage(_heads(search, top).groupBy("qid", "number", "block").agg(F.sum("most").alias("bound")), "bounds")
     order = [F.desc("bound"), F.col("number"), F.col("block")]
     first = stage(top_per_group(bounds, ["qid"], order, size).select("qid", "number", "block"), "first-blocks")
     hits = stage(_best(_scored(search, first), size), "first-hits")
     limit = hits.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("hits")).filter(F.col("hits") >= size).select("qid", "least")
+    if peaks is not None:
+        bounds = _reaching(search, peaks, limit)
     others = bounds.join(first, ["qid", "number", "block"], "left_anti").join(limit, "qid", "left")
     reach = F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-SCORE_DECIMALS)
     return first, hits, others.filter(reach).select("qid", "number", "block")
 
 
+# For very many queries, not each of their terms is looked up in each of its blocks: a term that they share,
+# like a word of all titles, would meet all queries in all blocks.
+
+
+def _peaks(search: _Search) -> DataFrame:
+    """``weights`` with ``peak``: what the term adds to a score at most, in any block."""
+    known = search.rows.groupBy("term").agg(F.max("tf_most").alias("tf"), F.min("len_least").alias("len"))
+    peak = F.col("weight") * part_score(F.col("tf"), F.col("len"), search.average)
+    return search.weights.join(known, "term").select("qid", "term", "weight", peak.alias("peak"))
+
+
+def _top_terms(peaks: DataFrame) -> DataFrame:
+    """The term of each query that may add most."""
+    best = F.max_by(F.struct("term", "weight"), F.struct("peak", "term")).alias("best")
+    return peaks.groupBy("qid").agg(best).select("qid", "best.*")
+
+
+def _reaching(search: _Search, peaks: DataFrame, limit: DataFrame) -> DataFrame:
+    """``qid, number, block, bound`` of blocks with a term without which no document reaches the query's limit.
+
+    The terms that add least, as long as all of them together stay below the limit, give no hit by
+    themselves. Their peaks are part of the bound of the blocks that hold another.
+    """
+    least = F.col("least") - 10.0**-SCORE_DECIMALS
+    up = W.partitionBy("qid").orderBy("peak", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = peaks.join(limit, "qid", "left").withColumn("below", F.coalesce(F.sum("peak").over(up) < least, F.lit(False)))
+    marked = stage(marked, "marked-terms")
+    rest = marked.filter("below").groupBy("qid").agg(F.sum("peak").alias("rest"))
+    found = _heads(search, marked.filter("not below").select("qid", "term", "weight"))
+    bounds = found.groupBy("qid", "number", "block").agg(F.sum("most").alias("most"))
+    return bounds.join(rest, "qid", "left").select("qid", "number", "block", (F.col("most") + F.coalesce("rest", F.lit(0.0))).alias("bound"))
+
+
 def best_hits(index: BlockIndex, asked: DataFrame, size: int) -> DataFrame:
     """``qid, id, score`` of the best ``size`` hits of each query, ties by id.
 

@@ -67,7 +67,10 @@ class FieldIndex(NamedTuple):
 def field_index(articles: DataFrame, field: str, key: str = "aid") -> FieldIndex:
     """Index of a field; `write_index` stores it."""
     texts = articles.select(F.col(key).alias("id"), match_tokens(F.col(field)).alias("terms"))
-    spread = texts.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    # Texts move to the task of their id, as texts: their terms are counted there and move no more.
+    dealt = articles.select(F.col(key).alias("id"), F.col(field).alias("text")).repartition("id")
+    words = dealt.select("id", match_tokens(F.col("text")).alias("terms"))
+    spread = words.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
     lengths = texts.select("id", F.size("terms").alias("len"))
     docs = F.count_if(F.col("len") > 0)
     return FieldIndex(

@@ -235,3 +235,34 @@ def test_substring_search_by_brute_force(spark, tmp_path, is_stored):
             if tests and all(any(r[0] == doc and r[1] == t and r[2] is not None and like(w, r[2]) for r in rows) for t, w in tests):
                 want.add((qid, doc))
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_many_queries_do_not_meet_all_blocks_of_a_shared_word(spark, small_blocks, monkeypatch, tmp_path):
+    rows = [(n, f"document n{n}", "") for n in range(200)]
+    articles = spark.createDataFrame(rows, "aid BIGINT, title STRING, text STRING")
+    asked = [(n, title) for n, title, _ in rows]
+    index, met = stored(spark, articles, str(tmp_path / "index"), "title"), []
+    heads = se.blocks._heads
+
+    def counted(*args):
+        met.append(heads(*args).count())
+        return heads(*args)
+
+    monkeypatch.setattr(se.blocks, "_heads", counted)
+    monkeypatch.setattr(se.blocks, "TOGETHER", 100, raising=False)
+    found = hits(se.search_title(articles, spark.createDataFrame(asked, "qid INT, query STRING"), size=1, index=index))
+    assert found == top(ranked(rows, 1, asked), 1)
+    assert sum(met) <= 3 * len(asked)
+
+
+@pytest.mark.parametrize("together", [0, 1_000])
+def test_repeated_ids_add_up(spark, small_blocks, monkeypatch, tmp_path, together):
+    rows = [(n, "", f"w{n % 3} " + "all " * (n % 5)) for n in range(30)] + [(7, "", "w1 w1 all all"), (8, "", "w2 other other")]
+    articles = spark.createDataFrame(rows, "aid BIGINT, title STRING, text STRING")
+    queries = spark.createDataFrame([(1, "w1 all"), (2, "w2 other")], "qid INT, query STRING")
+    monkeypatch.setattr(se.blocks, "TOGETHER", together, raising=False)
+    index = stored(spark, articles, str(tmp_path / "index"))
+    # Both rows of an id have their terms in each of its entries.
+    assert len(index.postings.selectExpr("inline(entries)").filter("id = 8").collect()) >= 3
+    got = se.search_field(articles.dropDuplicates(["aid"]), queries, "text", 50, index=index).collect()
+    assert len({(r["qid"], r["aid"]) for r in got}) == len(got)
