@@ -197,6 +197,7 @@ class _Search(NamedTuple):
     weights: DataFrame  # qid, term, weight
     few: bool  # weights may be broadcast
     together: bool  # the queries are so few that a block is scored for all of them at once
+    repeats: bool  # an id may be in several blocks, and then has a score in each
     rows: DataFrame  # postings of the terms asked for
     average: Column
 
@@ -210,7 +211,7 @@ def _prepared(index: BlockIndex, asked: DataFrame) -> _Search:
     named = [r["term"] for r in weights.select("term").distinct().limit(PUSHED_TERMS + 1).collect()] if few else []
     if 0 < len(named) <= PUSHED_TERMS:
         rows = rows.filter(F.col("term").isin(*named))  # reaches the scan
-    return _Search(index, weights, few, together, rows, size["avg"])
+    return _Search(index, weights, few, together, bool(index.size.first()["repeats"]), rows, size["avg"])
 
 
 def _heads(search: _Search, weights: DataFrame | None = None) -> DataFrame:
@@ -239,7 +240,7 @@ def _scored(search: _Search, blocks: DataFrame) -> DataFrame:
     met = held.repartition(tasks, *place).join(asked.hint("shuffle_hash"), place)
     met = met.join(F.broadcast(search.weights), "term").filter(F.array_contains("qids", F.col("qid")))
     rows = met.select("qid", *place, "weight", F.inline("entries"))
-    if search.index.size.first()["repeats"]:
+    if search.repeats:
         return _without_deleted(rows, search.index).groupBy("qid", "id").agg(score)
     added = rows.groupBy("qid", *place, "id").agg(score)
     return _without_deleted(added, search.index).select("qid", "id", "score")
@@ -256,7 +257,7 @@ def _selected(search: _Search, size: int) -> tuple[DataFrame, DataFrame, DataFra
     matches, so as many blocks as hits are asked for give that many hits, unless documents were deleted. A document of another block with the score of the
     last hit may come before it, so equal bounds stay, with room for the rounding of scores.
     """
-    peaks = None if search.together else stage(_peaks(search), "peaks")
+    peaks = None if search.together or search.repeats else stage(_peaks(search), "peaks")
     top = None if peaks is None else _top_terms(peaks)
     bounds = stage(_heads(search, top).groupBy("qid", "number", "block").agg(F.sum("most").alias("bound")), "bounds")
     order = [F.desc("bound"), F.col("number"), F.col("block")]
