@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.entities import unescape
 from ..functions.text import capitalize, let, running_sum
-from ..session import bucketed, stage
+from ..session import PART, PART_ROWS, bucketed, in_parts, parts_kept, stage
 from .articles import in_main_namespace, text_length, without_redirect_element
-from .joins import ROWS_PER_SLOT, salted_join
+from .joins import ROWS_PER_SLOT, looked_up, salted_join
 
 # Fixed value: a link is all from "[[" to the next "]", when that is followed by another.
 LINK = r"\[\[([^\]]*)\]\]"
@@ -74,12 +74,19 @@ def _to_ids(edges: DataFrame, page: DataFrame, rows_per_slot: int) -> DataFrame:
     return found
 
 
-def join_link_ids(title_link: DataFrame, page: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+def join_link_ids(title_link: DataFrame, page: DataFrame, rows_per_slot: int = PART_ROWS) -> DataFrame:
     """Links by page id; links from or to unknown titles vanish.
 
-    Targets are matched first: they are the skewed side, and most links to nowhere drop out there.
+    Links are staged in parts of ``rows_per_slot`` rows at most and stay there: only the distinct titles of a
+    part meet the pages. If ``title_link`` lies in parts already, so does the result, with their column.
     """
-    return _to_ids(title_link.select("src", "dst", "frac"), page, rows_per_slot).select("src", "dst", "frac")
+    links = title_link if PART in title_link.columns else in_parts(title_link.select("src", "dst", "frac"), "links", rows_per_slot)
+    found = links.select("src", "dst", "frac", PART)
+    with parts_kept(links.sparkSession):
+        for side in ("dst", "src"):
+            found = looked_up(found, _title_ids(page, side), side).withColumn(side, F.col(f"__{side}")).drop(f"__{side}")
+        found = found.select("src", "dst", "frac", PART)
+        return in_parts(found, "id-link") if PART in title_link.columns else stage(found.drop(PART), "id-link")
 
 
 def join_redirect_ids(redirect: DataFrame, page: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
@@ -178,12 +185,14 @@ def _fork_ends(edges: DataFrame, rows_per_slot: int) -> DataFrame:
         done, pending = done.unionByName(new), moved.filter("open")
 
 
-def join_final_links(id_link: DataFrame, final_redirect: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """Links with ``dst0`` as linked and ``dst`` after redirects."""
+def join_final_links(id_link: DataFrame, final_redirect: DataFrame, rows_per_slot: int = PART_ROWS) -> DataFrame:
+    """Links with ``dst0`` as linked and ``dst`` after redirects; links move no more than in `join_link_ids`."""
     ends = final_redirect.select(F.col("src").alias("dst0"), F.col("dst").alias("__end"))
-    links = id_link.select("src", F.col("dst").alias("dst0"), "frac")
-    joined = salted_join(links, ends, "dst0", "left", rows_per_slot)
-    return joined.select("src", "dst0", F.coalesce("__end", "dst0").alias("dst"), "frac")
+    links = id_link if PART in id_link.columns else in_parts(id_link.select("src", "dst", "frac"), "links", rows_per_slot)
+    links = links.select("src", F.col("dst").alias("dst0"), "frac", PART)
+    with parts_kept(links.sparkSession):
+        joined = looked_up(links, ends, "dst0", "left")
+        return stage(joined.select("src", "dst0", F.coalesce("__end", "dst0").alias("dst"), "frac"), "final-link", compression="zstd")
 
 
 def degree(edges: DataFrame) -> DataFrame:

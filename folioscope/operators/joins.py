@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import PART, stage
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
@@ -73,6 +73,16 @@ def salted_join(
     return left.drop("__slots").join(right.drop("__slots"), [key, "__slot"], how).drop("__slot")
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows``, which lie in parts, joined with ``table`` on ``key``; ``how`` may be inner or left.
+
+    Each part asks for its distinct keys and gets the answers back, so ``rows`` stay where they are and a key that is
+    very frequent is asked for once a part. To be run within `parts_kept`.
+    """
+    answers = rows.select(PART, key).distinct().join(table, key)
+    return rows.join(answers.hint("shuffle_hash"), [PART, key], how)
+
+
 def top_per_group(
     df: DataFrame, group: list[str], order: list[Column], size: int, base: int = 0, slots: int = 64
 ) -> DataFrame:

@@ -24,7 +24,7 @@ from ..operators import search as se
 from ..operators import substrings as sub
 from ..operators.block_index import BlockIndex
 from ..operators.joins import is_small
-from ..session import fresh_path, spread, stage
+from ..session import fresh_path, in_parts, spread, stage
 from ..sources.dump import page_xml
 
 # Ids: a document's article has doc_id * ID_STEP, its redirects follow, a web page ends the block.
@@ -59,7 +59,7 @@ class Inputs:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
-        return stage(df, name)
+        return stage(df, name, compression="zstd")
 
     @cached_property
     def words(self) -> DataFrame:
@@ -194,7 +194,8 @@ class Inputs:
 
     @cached_property
     def title_link(self) -> DataFrame:
-        return self._stage(gr.extract_links(self.dump_page, decode=False), "title-link")
+        """With the column of parts, as is `id_link`."""
+        return in_parts(gr.extract_links(self.dump_page, decode=False), "title-link")
 
     @cached_property
     def redirect(self) -> DataFrame:
@@ -202,7 +203,7 @@ class Inputs:
 
     @cached_property
     def id_link(self) -> DataFrame:
-        return self._stage(gr.join_link_ids(self.title_link, self.page), "id-link")
+        return gr.join_link_ids(self.title_link, self.page)
 
     @cached_property
     def id_redirect(self) -> DataFrame:
@@ -214,7 +215,7 @@ class Inputs:
 
     @cached_property
     def final_link(self) -> DataFrame:
-        return self._stage(gr.join_final_links(self.id_link, self.final_redirect), "final-link")
+        return gr.join_final_links(self.id_link, self.final_redirect)
 
     @cached_property
     def ranks(self) -> DataFrame:

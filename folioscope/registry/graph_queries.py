@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as gr
-from ..session import fresh_path
+from ..session import PART, fresh_path
 from ..sources import sinks
 from ..sources.tables import scan_table
 from .article_queries import STAMP, dated
@@ -46,7 +46,7 @@ def _(i: Inputs):
 
 @query("join_link_ids", "select src, dst, frac from id_link")
 def _(i: Inputs):
-    return gr.join_link_ids(i.title_link, i.page)
+    return gr.join_link_ids(i.title_link, i.page).select("src", "dst", "frac")
 
 
 @query("join_redirect_ids", "select src, dst from id_redirect")
@@ -133,7 +133,7 @@ def _(i: Inputs):
 def _(i: Inputs):
     path = fresh_path(i.spark, "graph")
     names = ["page", "title_link", "redirect", "id_link", "id_redirect", "final_redirect", "final_link"]
-    sinks.write_graph({name: getattr(i, name) for name in names}, path)
+    sinks.write_graph({name: getattr(i, name).drop(PART) for name in names}, path)
     counts = None
     for name in names:
         part = scan_table(i.spark, f"{path}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Column that names the part a row of `in_parts` lies in, and the rows of a part.
+PART, PART_ROWS = "__part", 1 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -49,13 +53,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folioscope/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
-    Cuts the lineage in a way that survives lost executors, and computes ``df`` once.
+    Cuts the lineage in a way that survives lost executors, and computes ``df`` once. ``options`` are the writer's.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,15 +69,44 @@ def bucketed(df: DataFrame, *keys: str, name: str, buckets: int | None = None) -
     Also returns what takes the table's name out of the session's catalog when it is no longer read.
     There are as many buckets as shuffle partitions unless ``buckets`` says otherwise.
     """
+    parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _in_buckets(df.repartition(parts, *keys), parts, keys, name)
+
+
+def _in_buckets(df: DataFrame, buckets: int, keys: tuple[str, ...], name: str, **options: str) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
-    parts = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = fresh_path(spark, name)
     table = path.rsplit("/", 1)[1].replace("-", "_")
-    dealt = df.repartition(parts, *keys).write.bucketBy(parts, *keys).option("path", path)
-    dealt.saveAsTable(table)
+    df.write.bucketBy(buckets, *keys).options(path=path, **options).saveAsTable(table)
     return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}") and None
 
 
+def in_parts(df: DataFrame, name: str, rows: int = PART_ROWS) -> DataFrame:
+    """Stage ``df`` where its rows are, with a column `PART`: rows of one task, ``rows`` of them at most.
+
+    A part lies whole in one bucket, so what is grouped by it, or joined with `parts_kept`, moves no row. A ``df`` that
+    has the column keeps its parts.
+    """
+    if PART not in df.columns:
+        df = df.withColumn(PART, F.expr(f"monotonically_increasing_id() div {rows}"))
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    staged, drop = _in_buckets(df, buckets, (PART,), name, compression="zstd")
+    drop()  # the name only: the scan and its files stay
+    return staged
+
+
+@contextmanager
+def parts_kept(spark: SparkSession) -> Iterator[None]:
+    """Joins that run meanwhile on `PART` and another column leave rows that lie in parts where they are."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan with fewer tasks than there are cores; a large scan is left as it is.
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from folioscope import session
 from folioscope.operators import graph as gr
 
 
@@ -132,3 +133,22 @@ def test_chains_and_forks_together(spark):
         edges += [(rng.randrange(400, 440), rng.randrange(400, 460)) for _ in range(40)]
         df = spark.createDataFrame(edges, "src BIGINT, dst BIGINT")
         assert pairs(gr.redirect_closure(df, rows_per_slot=rng.choice([5, 1000]))) == reach_sinks(edges)
+
+
+@pytest.mark.parametrize("in_parts", [False, True])
+def test_link_ids_of_titles_that_repeat_or_are_unknown(spark, in_parts):
+    rng = random.Random(3)
+    titles = [None, "the", "the", "x", *(f"t{n}" for n in range(20))]
+    named = [(t, n) for n, t in enumerate(titles)]
+    some = lambda: rng.choice(["the", "the", "gone", *titles])
+    links = [(some(), some(), rng.random()) for _ in range(400)]
+    page = spark.createDataFrame(named, "title STRING, id BIGINT")
+    df = spark.createDataFrame(links, "src STRING, dst STRING, frac DOUBLE").repartition(3)
+    df = session.in_parts(df, "links", 50) if in_parts else df
+    ids = gr.join_link_ids(df, page)
+    assert (session.PART in ids.columns) == in_parts
+    expected = [(a, b, f) for s, d, f in links for x, a in named for y, b in named if s and s == x and d and d == y]
+    assert pairs(ids.select("src", "dst", "frac")) == sorted(expected)
+    final = gr.join_final_links(ids, spark.createDataFrame([(1, 7), (2, 7), (2, 8), (None, 9)], "src BIGINT, dst BIGINT"))
+    ends = {1: [7], 2: [7, 8]}
+    assert pairs(final) == sorted((a, b, e, f) for a, b, f in expected for e in ends.get(b, [b]))

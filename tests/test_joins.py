@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope import session
 from folioscope.operators import joins
 
 
@@ -48,3 +49,21 @@ def test_top_per_group(spark, monkeypatch, base, size):
         monkeypatch.setattr(joins, "PRUNED_RANK", pruned)
         got = joins.top_per_group(df, ["g"], [F.desc("s"), F.col("id")], size, base, slots=7)
         assert rows(got) == sorted(map(repr, expected))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("rows_of_part", [1, 7, 1_000])
+def test_looking_up_leaves_rows_in_their_parts(spark, how, rows_of_part):
+    keys = ["the"] * 60 + [f"k{n % 9}" for n in range(60)] + [None] * 5 + ["nowhere"] * 5
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k STRING, n INT").repartition(3)
+    table = spark.createDataFrame([("the", 1), ("the", 2), (None, 3), *((f"k{n}", n) for n in range(9))], "k STRING, v INT")
+    parts = session.in_parts(rows, "rows", rows_of_part)
+    assert parts.groupBy(session.PART).count().agg(F.max("count")).first()[0] <= rows_of_part
+    with session.parts_kept(spark):
+        joined = joins.looked_up(parts, table, "k", how)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        found = sorted(map(str, joined.select("k", "n", "v").collect()))
+    assert found == sorted(map(str, rows.join(table, "k", how).select("k", "n", "v").collect()))
+    # The first side of the join is the scan of the rows, with no exchange over it.
+    assert "Exchange" not in plan.split("ShuffledHashJoin")[1].split("+- Exchange")[0]
+    assert "FileScan" in plan.split("ShuffledHashJoin")[1].split("+- Exchange")[0]
