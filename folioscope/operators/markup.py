@@ -8,6 +8,7 @@ without a partner are text. The rest are ordered replacements.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,11 +94,24 @@ def _ints() -> Column:
     return F.array().cast("array<int>")
 
 
+def _holds(text: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in marks])
+
+
+def _where(text: Column, marks: tuple[str, ...], *changes: tuple[str, str]) -> Column:
+    """``text`` after replacements in turn, where it holds one of ``marks``; the patterns match nothing without."""
+
+    def changed(t: Column) -> Column:
+        return reduce(lambda x, change: F.regexp_replace(x, *change), changes, t)
+
+    return let(text, lambda t: F.when(_holds(t, marks), changed(t)).otherwise(t))
+
+
 def _rewrite(
-    text: Column, marks: str, pieces: str, back: Callable[[Column, Column], tuple[Column, Column]], state: Column,
+    text: Column, marks: tuple[str, ...], pieces: str, back: Callable[[Column, Column], tuple[Column, Column]], state: Column,
     step: Callable[[Column, Column, Column], tuple[Column, Column]],
 ) -> Column:
-    """``text`` rewritten piece by piece, where it holds ``marks``.
+    """``text`` rewritten piece by piece, where it holds one of ``marks``.
 
     ``back`` folds from the end and gives an integer for each piece: what follows it. ``step`` folds
     from the start, with a state, a piece and that integer, and gives the text to write.
@@ -108,7 +122,7 @@ def _rewrite(
         both = F.arrays_zip(found.alias("piece"), known.alias("known"))
         return let(both, lambda z: F.array_join(_scan(z, state, F.lit(""), lambda s, p: step(s, p["piece"], p["known"])), ""))
 
-    return let(text, lambda t: F.when(t.rlike(marks), let(F.regexp_extract_all(t, F.lit(pieces), 0), write)).otherwise(t))
+    return let(text, lambda t: F.when(_holds(t, marks), let(F.regexp_extract_all(t, F.lit(pieces), 0), write)).otherwise(t))
 
 
 def _as_array(result: tuple[Column, Column]) -> tuple[Column, Column]:
@@ -143,9 +157,9 @@ def _without_templates(text: Column, cite: str = "") -> Column:
         return after, written
 
     for _ in range(LEVELS):
-        text = F.regexp_replace(text, SINGLE_ARGUMENT, "")
-        text = F.regexp_replace(F.regexp_replace(text, SINGLE_CITE, cite) if cite else text, SINGLE_TEMPLATE, "")
-    return _rewrite(text, r"\{\{", BRACES, back, F.lit(0), step)
+        text = _where(text, ("{{{",), (SINGLE_ARGUMENT, ""))
+        text = _where(text, ("{{",), *([(SINGLE_CITE, cite)] if cite else []), (SINGLE_TEMPLATE, ""))
+    return _rewrite(text, ("{{",), BRACES, back, F.lit(0), step)
 
 
 def _with_targets(text: Column, opened: str = "", closed: str = "") -> Column:
@@ -177,8 +191,9 @@ def _with_targets(text: Column, opened: str = "", closed: str = "") -> Column:
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("hidden"))
     for _ in range(LEVELS):
-        text = F.regexp_replace(F.regexp_replace(text, SINGLE_MEDIA, ""), SINGLE_LINK, f"{opened}$1{closed}")
-    return _rewrite(text, r"\[\[", BRACKETS, back, start, step)
+        text = _where(text, tuple("[[" + start for start in MEDIA_LINKS.split("|")), (SINGLE_MEDIA, ""))
+        text = _where(text, ("[[",), (SINGLE_LINK, f"{opened}$1{closed}"))
+    return _rewrite(text, ("[[",), BRACKETS, back, start, step)
 
 
 def _literal_blocks(wiki: Column) -> Column:
@@ -205,8 +220,8 @@ def _literal_blocks(wiki: Column) -> Column:
         written = F.when((opens > 0) | closes | (block == 1), "").when(block > 0, F.translate(piece, MARKUP, LITERAL)).otherwise(piece)
         return F.when(closes, 0).when(opens > 0, opens).otherwise(block), written
 
-    some = f"<!--|<(?:{LITERAL_TAGS})"
-    own = F.when(wiki.rlike(some), F.translate(wiki, LITERAL, "")).otherwise(wiki)
+    some = ("<!--", *("<" + tag for tag in LITERAL_TAGS.split("|")))
+    own = let(wiki, lambda t: F.when(_holds(t, some), F.translate(t, LITERAL, "")).otherwise(t))
     return _rewrite(own, some, BLOCKS, back, F.lit(0), step)
 
 

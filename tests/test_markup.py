@@ -148,3 +148,16 @@ def test_long_and_deep_rows(spark):
     wide = "[[A|b]] {{t|x}} <ref>r</ref>" * 4000
     assert one(spark, wide, mk.footnote_numbers).count() == 4000
     assert one(spark, "{{t|" + "{x} " * 1500 + "}}end", mk.plain_text).first()["text"] == "end"
+
+
+def test_rows_without_marks_meet_no_pattern_of_them(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["plain", None, "", "{{a}}", "{{{b}}}c", "x {{y|{{z}}}} {{{q}}}", "[[File:a|b]]c", "[[a|b]] [[c", "<!-- n -->m", "<nowiki>[[k]]</nowiki>", "<pre>{{p}}</pre>", "}} ]] {{ [["]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "aid INT, wiki STRING")
+    plain = df.select("aid", mk.to_plain_text(F.col("wiki")).alias("text"))
+    assert [r["text"] for r in plain.orderBy("aid").collect()] == [
+        "plain", None, "", "", "c", "x  ", "c", "a [[c", "m", "[[k]]", "{{p}}", "}} ]] {{ [[",
+    ]
+    # What marks a row holds is asked by searches for strings, not by patterns.
+    assert "RLIKE" not in plain._jdf.queryExecution().analyzed().toString().upper()
