@@ -225,26 +225,27 @@ def page_rank(
     spread over slots, and its rank is repeated once per slot. Each round stages only the ranks.
     The rank of pages without out-links goes evenly to all pages.
     """
-    weighted = final_link.select("src", "dst", link_weight(F.col("frac")).alias("w"))
-    pairs = stage(weighted.groupBy("src", "dst").agg(F.sum("w").alias("w")), "rank-pairs")
-    out = pairs.groupBy("src").agg(
-        F.sum("w").alias("total"), F.ceil(F.count("*") / edges_per_slot).cast("int").alias("slots")
-    )
-    nodes = stage(
-        pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-        .join(out.withColumnRenamed("src", "id"), "id", "left"),
-        "rank-nodes",
-    )
-    count = nodes.count()
-    spread = nodes.filter("slots > 1").select(F.col("id").alias("src"), F.col("slots").alias("__slots"))
+    # A page has no more edges than links, so links tell how many slots are enough. They move once, to the slots.
+    links = final_link.groupBy("src").agg(F.count("*").alias("links")).filter(F.col("links") > edges_per_slot)
+    slots = stage(links.select("src", F.ceil(F.col("links") / edges_per_slot).cast("int").alias("__slots")), "rank-slots")
     slot = F.when(F.col("__slots") > 1, F.pmod(F.xxhash64("dst"), F.col("__slots")).cast("int")).otherwise(0)
     # At most rows / edges_per_slot pages have more than one slot.
-    slotted = pairs.join(F.broadcast(spread), "src", "left").select("src", slot.alias("slot"), "dst", "w")
+    slotted = final_link.join(F.broadcast(slots), "src", "left")
+    weighted = slotted.select("src", slot.alias("slot"), "dst", link_weight(F.col("frac")).alias("w"))
     # The edges keep one layout over all rounds, in the shared folder: no round moves or sorts them,
     # and a lost task reads its bucket again.
-    edges, drop = bucketed(slotted, "src", "slot", name="rank-edges")
+    pairs, drop = bucketed(
+        weighted, "src", "slot", name="rank-edges", change=lambda df: df.groupBy("src", "slot", "dst").agg(F.sum("w").alias("w"))
+    )
     try:
-        return _rank_rounds(nodes, edges, count, rounds, damping, tolerance, most_rounds)
+        out = pairs.groupBy("src", "slot").agg(F.sum("w").alias("w")).groupBy("src").agg(F.sum("w").alias("total"))
+        out = out.join(F.broadcast(slots), "src", "left").select("src", "total", F.coalesce("__slots", F.lit(1)).alias("slots"))
+        nodes = stage(
+            pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
+            .join(out.withColumnRenamed("src", "id"), "id", "left"),
+            "rank-nodes",
+        )
+        return _rank_rounds(nodes, pairs, nodes.count(), rounds, damping, tolerance, most_rounds)
     finally:
         drop()
 

@@ -63,14 +63,18 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, *keys: str, name: str, buckets: int | None = None) -> tuple[DataFrame, Callable[[], None]]:
+def bucketed(
+    df: DataFrame, *keys: str, name: str, buckets: int | None = None, change: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> tuple[DataFrame, Callable[[], None]]:
     """Stage ``df`` in buckets of ``keys``, one file each; joins and groupings on them read it without a shuffle.
 
+    ``change`` is made once the rows are where their bucket is, as a grouping by ``keys`` and more.
+
     Also returns what takes the table's name out of the session's catalog when it is no longer read.
     There are as many buckets as shuffle partitions unless ``buckets`` says otherwise.
     """
     parts = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _in_buckets(df.repartition(parts, *keys), parts, keys, name)
+    return _in_buckets(change(df.repartition(parts, *keys)), parts, keys, name)
 
 
 def _in_buckets(df: DataFrame, buckets: int, keys: tuple[str, ...], name: str, **options: str) -> tuple[DataFrame, Callable[[], None]]:

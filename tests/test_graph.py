@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope import session
 from folioscope.operators import graph as gr
@@ -152,3 +153,18 @@ def test_link_ids_of_titles_that_repeat_or_are_unknown(spark, in_parts):
     final = gr.join_final_links(ids, spark.createDataFrame([(1, 7), (2, 7), (2, 8), (None, 9)], "src BIGINT, dst BIGINT"))
     ends = {1: [7], 2: [7, 8]}
     assert pairs(final) == sorted((a, b, e, f) for a, b, f in expected for e in ends.get(b, [b]))
+
+
+def test_edges_for_ranks_move_once(spark):
+    rows = spark.createDataFrame([(n % 7, n % 3, n % 5, 1.0) for n in range(200)], "src INT, slot INT, dst INT, w DOUBLE")
+    plans = []
+
+    def summed(df):
+        out = df.groupBy("src", "slot", "dst").agg(F.sum("w").alias("w"))
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    edges, drop = session.bucketed(rows, "src", "slot", name="edges", change=summed)
+    assert plans[0].count("Exchange") == 1
+    assert pairs(edges) == pairs(rows.groupBy("src", "slot", "dst").agg(F.sum("w")))
+    drop()
