@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..functions.text import match_tokens
+from ..session import sorted_groups, stage
 from .joins import is_small, top_per_group
 
 # The scoring constants of the usual ranked match, decimals kept.
@@ -36,6 +37,8 @@ PUSHED_TERMS = 100
 TOGETHER = 1_000
 #: Pairs of a query and a block for one task to score.
 PAIRS = 8_192
+#: Words of the texts that one task counts.
+TASK_WORDS = 1 << 21
 
 LOG = "number BIGINT, segment STRING, kind STRING"
 ENTRY = "array<struct<id:bigint,tf:bigint,len:int>>"
@@ -83,24 +86,36 @@ def _put(df: DataFrame, path: str, name: str, segment: str) -> None:
     df.write.mode("append").parquet(f"{path}/{name}/segment={segment}")
 
 
-def _blocked(postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    # Documents of like length share a block, which keeps its bound close to their scores.
+def _places(lengths: DataFrame) -> DataFrame:
+    """``id, place, block``; documents of like length share a block, which keeps its bound close to their scores."""
     ordered = lengths.select("id", F.col("len").cast("int").alias("len")).repartitionByRange("len", "id").sortWithinPartitions("len", "id")
-    blocks = ordered.select("id", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
+    # A hash table of the places: what is joined with them is not sorted.
+    places = ordered.select("id", F.monotonically_increasing_id().alias("place"))
+    return places.withColumn("block", F.shiftright("place", BLOCK_BITS)).hint("shuffle_hash")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Posting rows of ``block, id, term, len, tf`` that are with their block. They are sorted once, for `sorted_groups`."""
     entry = F.struct("id", F.col("tf").cast("long").alias("tf"), F.col("len").cast("int").alias("len"))
-    # A hash table of the blocks: postings are not sorted for the join, and move once more, to their blocks.
-    rows = postings.join(blocks.hint("shuffle_hash"), "id").select("term", "block", entry.alias("entry"))
-    return rows.repartition("block").groupBy("term", "block").agg(
+    return rows.select("term", "block", entry.alias("entry")).sortWithinPartitions("term", "block").groupBy("term", "block").agg(
         F.count("*").alias("n"), F.max("entry.tf").alias("tf_most"), F.min("entry.len").alias("len_least"),
         F.sort_array(F.collect_list("entry")).alias("entries"),  # at most a block's documents
     )
 
 
-def _write_segment(postings: DataFrame, lengths: DataFrame, path: str, number: int, kind: str) -> None:
-    """Store ``id, term, len, tf`` and ``id, len`` of some documents as a segment."""
-    spark, segment = postings.sparkSession, f"{number:06d}-{uuid.uuid4().hex}"
-    blocked = _blocked(postings, lengths)
-    _put(blocked.sortWithinPartitions("term", "block"), path, "postings", segment)
+def _blocked_texts(texts: DataFrame, lengths: DataFrame, tasks: int) -> DataFrame:
+    """Texts move to the task of their id, for their place, and to that of their block, as texts: words are counted there."""
+    met = texts.join(_places(lengths), "id").select("id", "text", "place", "block").repartition(tasks, "block")
+    words = met.select("id", "place", "block", match_tokens(F.col("text")).alias("terms"))
+    spread = words.select("id", "place", "block", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    return _blocked(spread.groupBy("block", "place", "id", "len", "term").agg(F.count("*").alias("tf")))
+
+
+def _write_segment(blocked: DataFrame, lengths: DataFrame, path: str, number: int, kind: str) -> None:
+    """Store posting rows, and sums of the stored ``id, len`` of their documents, as a segment."""
+    spark, segment = blocked.sparkSession, f"{number:06d}-{uuid.uuid4().hex}"
+    with sorted_groups(spark):
+        _put(blocked.sortWithinPartitions("term", "block"), path, "postings", segment)
     stored = spark.read.parquet(f"{path}/postings/segment={segment}")
     _put(stored.groupBy("term").agg(F.sum("n").alias("df")).sortWithinPartitions("term"), path, "terms", segment)
     held = lengths.filter("len > 0").groupBy("id").agg(F.count("*").alias("rows"), F.sum("len").alias("len"))
@@ -111,14 +126,22 @@ def _write_segment(postings: DataFrame, lengths: DataFrame, path: str, number: i
     _log(spark, path, number, segment, kind)
 
 
-def create(postings: DataFrame, lengths: DataFrame, path: str) -> None:
-    """Store a new index of ``postings`` (``id, term, len, tf``) and ``lengths`` (``id, len``); an error if there is one."""
-    _write_segment(postings, lengths, path, 0, "base")
+def _write_texts(texts: DataFrame, path: str, number: int, kind: str) -> None:
+    # Stored, as they are read for the order, for the sums and for the number of tasks.
+    lengths = stage(texts.select("id", F.size(match_tokens(F.col("text"))).alias("len")), "lengths")
+    words = lengths.agg(F.sum("len").alias("words")).first()["words"] or 0
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-words // TASK_WORDS))
+    _write_segment(_blocked_texts(texts, lengths, tasks), lengths, path, number, kind)
+
+
+def create(texts: DataFrame, path: str) -> None:
+    """Store a new index of ``texts`` (``id, text``); an error if there is one."""
+    _write_texts(texts, path, 0, "base")
 
 
-def insert(postings: DataFrame, lengths: DataFrame, path: str) -> None:
-    """Add documents. An id that is there already must be deleted first, or it counts twice."""
-    _write_segment(postings, lengths, path, _segments(postings.sparkSession, path)[-1][0] + 1, "insert")
+def insert(texts: DataFrame, path: str) -> None:
+    """Add documents (``id, text``). An id that is there already must be deleted first, or it counts twice."""
+    _write_texts(texts, path, _segments(texts.sparkSession, path)[-1][0] + 1, "insert")
 
 
 def delete(ids: DataFrame, path: str) -> None:
@@ -144,7 +167,9 @@ def compact(spark: SparkSession, path: str) -> None:
     """Put what is live into one new base segment. Searches read the old segments until it is logged."""
     index = read(spark, path)
     postings = stage(live_postings(index).drop("number"), "live-postings")
-    _write_segment(postings, postings.select("id", "len").distinct(), path, _segments(spark, path)[-1][0] + 1, "base")
+    lengths = stage(postings.select("id", "len").distinct(), "live-lengths")
+    placed = postings.join(_places(lengths), "id").select("id", "term", "len", "tf", "block").repartition("block")
+    _write_segment(_blocked(placed), lengths, path, _segments(spark, path)[-1][0] + 1, "base")
 
 
 # Reading
@@ -237,6 +262,9 @@ def _scored(search: _Search, blocks: DataFrame) -> DataFrame:
     place = ["number", "block"]
     asked = blocks.select("qid", *place).repartition(tasks, *place).groupBy(*place).agg(F.collect_set("qid").alias("qids"))
     held = search.rows.select(*place, "term", "entries").join(F.broadcast(search.weights.select("term").distinct()), "term", "left_semi")
+    places = blocks.select(*place).distinct()
+    if is_small(places):  # postings of other blocks stay where they are
+        held = held.join(F.broadcast(places), place, "left_semi")
     met = held.repartition(tasks, *place).join(asked.hint("shuffle_hash"), place)
     met = met.join(F.broadcast(search.weights), "term").filter(F.array_contains("qids", F.col("qid")))
     rows = met.select("qid", *place, "weight", F.inline("entries"))
@@ -268,7 +296,7 @@ def _selected(search: _Search, size: int) -> tuple[DataFrame, DataFrame, DataFra
         bounds = _reaching(search, peaks, limit)
     others = bounds.join(first, ["qid", "number", "block"], "left_anti").join(limit, "qid", "left")
     reach = F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-SCORE_DECIMALS)
-    return first, hits, others.filter(reach).select("qid", "number", "block")
+    return first, hits, stage(others.filter(reach).select("qid", "number", "block"), "other-blocks")
 
 
 # For very many queries, not each of their terms is looked up in each of its blocks: a term that they share,

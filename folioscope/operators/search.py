@@ -61,22 +61,21 @@ class FieldIndex(NamedTuple):
 
     postings: DataFrame  # id, term, len, tf; len is the number of terms in the document
     size: DataFrame  # one row: docs, avg; documents without terms do not count
-    lengths: DataFrame  # id, len
+    texts: DataFrame  # id, text
 
 
 def field_index(articles: DataFrame, field: str, key: str = "aid") -> FieldIndex:
     """Index of a field; `write_index` stores it."""
-    texts = articles.select(F.col(key).alias("id"), match_tokens(F.col(field)).alias("terms"))
+    texts = articles.select(F.col(key).alias("id"), F.col(field).alias("text"))
     # Texts move to the task of their id, as texts: their terms are counted there and move no more.
-    dealt = articles.select(F.col(key).alias("id"), F.col(field).alias("text")).repartition("id")
-    words = dealt.select("id", match_tokens(F.col("text")).alias("terms"))
+    words = texts.repartition("id").select("id", match_tokens(F.col("text")).alias("terms"))
     spread = words.select("id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    lengths = texts.select("id", F.size("terms").alias("len"))
+    lengths = texts.select(F.size(match_tokens(F.col("text"))).alias("len"))
     docs = F.count_if(F.col("len") > 0)
     return FieldIndex(
         spread.groupBy("id", "term", "len").agg(F.count("*").alias("tf")),
         lengths.agg(docs.alias("docs"), (F.sum("len") / F.nullif(docs, F.lit(0))).alias("avg")),
-        lengths,
+        texts,
     )
 
 
@@ -86,7 +85,7 @@ def postings(articles: DataFrame, field: str, key: str = "aid") -> DataFrame:
 
 def write_index(index: FieldIndex, path: str) -> None:
     """Store an index in blocks, ordered by term, so a search for few terms skips most of them."""
-    blocks.create(index.postings, index.lengths, path)
+    blocks.create(index.texts, path)
 
 
 def read_index(spark: SparkSession, path: str) -> BlockIndex:
@@ -95,7 +94,7 @@ def read_index(spark: SparkSession, path: str) -> BlockIndex:
 
 def insert_into_index(index: FieldIndex, path: str) -> None:
     """Add further documents to a stored index; what is stored stays as it is."""
-    blocks.insert(index.postings, index.lengths, path)
+    blocks.insert(index.texts, path)
 
 
 def delete_from_index(ids: DataFrame, path: str, key: str = "aid") -> None:

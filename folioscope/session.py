@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,17 +100,25 @@ def in_parts(df: DataFrame, name: str, rows: int = PART_ROWS) -> DataFrame:
 
 
 @contextmanager
-def parts_kept(spark: SparkSession) -> Iterator[None]:
-    """Joins that run meanwhile on `PART` and another column leave rows that lie in parts where they are."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
+def _setting(spark: SparkSession, key: str, default: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, default)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def parts_kept(spark: SparkSession) -> AbstractContextManager[None]:
+    """Joins that run meanwhile on `PART` and another column leave rows that lie in parts where they are."""
+    return _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "true", "false")
+
+
+def sorted_groups(spark: SparkSession) -> AbstractContextManager[None]:
+    """Groupings that run meanwhile on rows sorted by their keys go through them in that order, and sort none again."""
+    return _setting(spark, "spark.sql.execution.replaceHashWithSortAgg", "false", "true")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan with fewer tasks than there are cores; a large scan is left as it is.
 

@@ -266,3 +266,19 @@ def test_repeated_ids_add_up(spark, small_blocks, monkeypatch, tmp_path, togethe
     assert len(index.postings.selectExpr("inline(entries)").filter("id = 8").collect()) >= 3
     got = se.search_field(articles.dropDuplicates(["aid"]), queries, "text", 50, index=index).collect()
     assert len({(r["qid"], r["aid"]) for r in got}) == len(got)
+
+
+def test_index_moves_texts_not_postings(spark):
+    """Words are unfolded and counted where the block is: nothing moves after that, and the rows are sorted once."""
+    _, articles = make(spark)
+    texts = se.field_index(articles, "text").texts
+    lengths = texts.select("id", F.size(se.match_tokens(F.col("text"))).alias("len"))
+    with se.blocks.sorted_groups(spark):
+        made = se.blocks._blocked_texts(texts, lengths, 3).sortWithinPartitions("term", "block")
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    above = plan[: plan.index("Generate explode")]
+    assert "Exchange" not in above and above.count("Sort [") == 1
+    rows = made.selectExpr("term", "inline(entries)").collect()
+    kept = se.postings(articles, "text").collect()
+    assert sorted((r["id"], r["term"], r["len"], r["tf"]) for r in rows) == sorted((r["id"], r["term"], r["len"], r["tf"]) for r in kept)
