@@ -122,3 +122,16 @@ def test_awkward_packing(awkward, nothing):
     assert [r.doc_tokens for r in rows if r.doc_id in (1, 2)] == [1, 1]
     assert len([r for r in rows if r.doc_id == 5 and r.start == 0]) == 2
     assert packing.pack(nothing, PACKED).count() == 0
+
+
+def test_even_texts_are_those_of_the_patterns():
+    from folioscope.llm import packing
+
+    marks = ["a", "b", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "é"]
+    pairs = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
+    for x in marks:
+        for y in marks:
+            for z in marks:
+                text = f"a{x}{y}{z}b c"
+                plain = not any(p in text for p in pairs) and not packing.UNUSUAL.search(text)
+                assert packing._is_even(text) == plain, repr(text)
