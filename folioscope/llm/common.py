@@ -78,7 +78,8 @@ class Hasher:
     def feed(self, data: np.ndarray) -> None:
         n = len(data) + 1
         if len(self.power) < n:
-            self.power, self.back = self._powers(self.base, 2 * n), self._powers(self.inverse, 2 * n)
+            room = n + n // 8
+            self.power, self.back = self._powers(self.base, room), self._powers(self.inverse, room)
         self.sums = np.zeros(n, dtype=np.uint64)
         np.cumsum(self.values[data] * self.power[: n - 1], out=self.sums[1:])
 

@@ -34,6 +34,8 @@ from .common import Hasher, buffer_of, consecutive, known, mixed, slices, text_k
 LENGTH, GRAM = 100, 32
 #: Phrases of a trigger that may meet in one task.
 MOST_TOGETHER = 1_000
+#: Characters that a parser takes at a time, about; phrases that are settled at a time, about; texts that are cut at a time.
+RUN, SETTLED, TEXTS = 250_000, 4_000, 1_000
 PHRASES = "key long, kind int, g long, doc long, at long, low int, high int, context binary"
 COVERS = "doc long, start long, end long"
 
@@ -46,15 +48,25 @@ class Parser:
         self.hasher, self.second = Hasher(5), Hasher(6)
 
     def parse(self, texts: list[str]):
-        """``data, origin, text, trigger, low, high, hash``: strings start ``low`` to ``high`` bytes before the trigger."""
+        """``data, origin, text, trigger, low, high, hash``: strings start ``low`` to ``high`` bytes before the trigger.
+
+        The buffer is gone through in runs of whole texts, since a place takes several long integers meanwhile.
+        """
         data, starts = buffer_of(texts)
-        origin = starts[:-1]
+        found = []
+        for a, b in slices(texts, RUN):
+            text, trigger, *rest = self._run(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+            found.append((text + a, trigger + starts[a], *rest))
+        none = np.zeros(0, dtype=np.int64)
+        return data, starts[:-1], *map(np.concatenate, zip((none, none, none, none, none.view(LONG)), *found, strict=True))
+
+    def _run(self, data: np.ndarray, starts: np.ndarray):
         self.hasher.feed(data)
         n = len(data) - self.gram + 1
         windows = self.length - self.gram + 1
         empty = np.zeros(0, dtype=np.int64)
         if n < windows:
-            return data, origin, empty, empty, empty, empty, empty.view(LONG)
+            return empty, empty, empty, empty, empty.view(LONG)
         at = np.arange(n, dtype=np.int64)
         hashes = self.hasher.of(at, at + self.gram)
         least, width = (hashes & ~LONG(0xFFFFFFFF)) | at.view(LONG), 1
@@ -64,9 +76,9 @@ class Parser:
             rest = windows - width
             least = np.minimum(least[:-rest], least[rest:])
         trigger = (least & LONG(0xFFFFFFFF)).astype(np.int64)
-        sizes = np.diff(starts) - 1
+        origin, sizes = starts[:-1], np.diff(starts) - 1
         count = np.maximum(sizes - self.length + 1, 0)  # strings of each text
-        text = np.repeat(np.arange(len(texts)), count)
+        text = np.repeat(np.arange(len(sizes)), count)
         first = np.cumsum(count) - count
         begin = origin[text] + np.arange(len(text)) - first[text]
         own = trigger[begin]
@@ -75,7 +87,7 @@ class Parser:
         runs = np.flatnonzero(change)
         last = np.append(runs[1:], len(text)) - 1 if len(runs) else runs
         own = own[runs]
-        return data, origin, text[runs], own, own - begin[last], own - begin[runs], hashes[own]
+        return text[runs], own, own - begin[last], own - begin[runs], hashes[own]
 
     def feed(self, data: np.ndarray) -> None:
         self.hasher.feed(data)
@@ -276,16 +288,16 @@ def _settle(length: int):
 
         held: list[pa.Table] = []
         size = 0
-        # whole keys together, about 10,000 rows at a time
-        for batch in batches:
+        # whole keys together, about SETTLED rows at a time
+        for batch in _cut(batches, SETTLED):
             keys = batch.column(0).to_numpy()
             cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if len(keys) and keys[0] != keys[-1] else 0
             if held and held[-1].column("key")[-1].as_py() != keys[0]:
                 cut = max(cut, 0)
-                if size > 10_000:
+                if size > SETTLED:
                     yield from settled(pa.concat_tables(held))
                     held, size = [], 0
-            if cut and size + cut > 10_000:
+            if cut and size + cut > SETTLED:
                 held.append(pa.Table.from_batches([batch.slice(0, cut)]))
                 yield from settled(pa.concat_tables(held))
                 held, size = [], 0
@@ -298,6 +310,12 @@ def _settle(length: int):
     return settle
 
 
+def _cut(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     """``doc, name, text``: a number that orders the documents, the id, and the text (null: empty).
 
@@ -342,7 +360,7 @@ def drop_repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = given.select("doc", "name", F.col("text").cast("binary").alias("text")).join(spans, "doc", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches, TEXTS):
             names, texts, lists = (batch.column(i).to_pylist() for i in range(3))
             for a, b in slices(texts):
                 rows = []

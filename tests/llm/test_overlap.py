@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -294,3 +295,19 @@ def test_clean_rows_without_id_stay(spark, make_prose):
 
     good = {x.text for x in quality_rules.good_documents(hot).collect()}
     assert "too short" not in good and "a b " * 90 not in good and len(good) > 30
+
+
+def test_parser_memory_follows_its_runs(monkeypatch):
+    random_words = random.Random(3)
+    texts = ["".join(random_words.choices("abcdefgh \né", k=2_000)) for _ in range(200)] + ["", "short"]
+    monkeypatch.setattr(suffix_dedup, "RUN", 10**9, raising=False)
+    whole = suffix_dedup.Parser(100).parse(texts)
+    monkeypatch.setattr(suffix_dedup, "RUN", 20_000)
+    tracemalloc.start()
+    try:
+        in_runs = suffix_dedup.Parser(100).parse(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(in_runs, whole, strict=True))
+    assert peak < 16 * len(whole[0])  # in one run: about 100 bytes for each byte of text
