@@ -11,18 +11,19 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import narrowed
+from .common import narrowed, slices
 
 #: Chunks, and pieces inside chunks, whose ids a worker remembers; the older half goes when there are more.
 REMEMBERED = 900_000
@@ -33,9 +34,8 @@ UNUSUAL = re.compile(r"[^\S \n\t\r]")
 UNUSUAL_MARKS = tuple(c for c in map(chr, range(0x3001)) if UNUSUAL.match(c))
 BESIDE, BESIDE_RARE = ("  ", "\n ", " \n"), {"\t": ("\t ", " \t"), "\r": ("\r ", " \r")}
 #: Pieces that the file's pattern makes of plain chunks: runs of letters, of digits and of other marks but
-#: the apostrophe, and a line break before one of them.
-PIECE = r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+|\n(?=\S)"
-PIECES_OF, PLAIN = re.compile(PIECE), re.compile(rf"(?:{PIECE})+")
+#: the apostrophe, and a line break before one of them. A chunk is plain if its pieces are all of it.
+PIECES_OF = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]++|[0-9]++|[!-&(-/:-@\[-`{-~]++|\n(?=\S)")
 PACKED = "doc_id long, task long, before long, n_tokens long, ids binary"
 PIECES = "doc_id long, sequence_id long, start long, length long, offset long, doc_tokens long, ids binary, ids_crc32 long"
 
@@ -80,14 +80,16 @@ class ByteEncoder:
         edges = np.append(starts, len(ids)).tolist()
         return [blob[4 * (x + skip) : 4 * y] for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
-    def _learn(self, chunks: set[str], special: bool) -> None:
+    def _learn(self, chunks: list[str], special: bool) -> None:
         """Remember the ids of chunks that are not known; ``special`` if they may hold an added token."""
         cut, odd, heads, tails = [], [], set(), set()
         for c in chunks:
             if c.isalpha() and c.isascii():
                 heads.add(c)
-            elif PLAIN.fullmatch(c) and not (special and any(a in c for a in self.added)):
-                head, *rest = PIECES_OF.findall(c)
+                continue
+            pieces = PIECES_OF.findall(c)
+            if sum(map(len, pieces)) == len(c) and pieces and not (special and any(a in c for a in self.added)):
+                head, *rest = pieces
                 heads.add(head)
                 if rest:
                     cut.append((c, head, rest))
@@ -112,15 +114,38 @@ class ByteEncoder:
         """Ids of each text; what is new in any of them is encoded at once."""
         self._forget(self.known)
         self._forget(self.inner)
-        firsts, rests = [], []
-        for text in texts:
-            first, *rest = text.split(" ") if _is_even(text) else SPACE.split(text)
-            firsts.append(first)
-            rests.append(rest)
+        even = [_is_even(text) for text in texts]
         special = any(a in text for text in texts for a in self.added)
-        self._learn(set().union(*rests).difference(self.known), special)
-        of = self.known.__getitem__
-        return [first + b"".join(map(of, rest)) for first, rest in zip(self._ids(firsts), rests, strict=True)]
+        plain = self._cut([t for t, e in zip(texts, even, strict=True) if e], special, pc.split_pattern)
+        other = self._cut([t for t, e in zip(texts, even, strict=True) if not e], special, _split_alone)
+        return [next(plain if e else other) for e in even]
+
+    def _cut(self, texts: list[str], special: bool, split: Callable[[pa.Array, str], pa.ListArray]) -> Iterator[bytes]:
+        """Ids of each text, cut by ``split`` before spaces: a chunk that comes again is looked up once for all of them."""
+        if not texts:
+            return iter(())
+        lists = split(pa.array(texts, pa.large_string()), " ")
+        starts, chunks = lists.offsets.to_numpy().astype(np.int64), lists.values
+        follows = np.ones(len(chunks), dtype=bool)
+        follows[starts[:-1]] = False
+        chunks = chunks.filter(pa.array(follows)).dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = [*map(self.known.get, distinct)]
+        if new := [c for c, found in zip(distinct, known, strict=True) if found is None]:
+            self._learn(new, special)
+            known = [*map(self.known.__getitem__, distinct)]
+        ids = pa.array(known, pa.large_binary()).take(chunks.indices)
+        # the chunks after the first of each text, as one stretch of ids
+        edges = starts - np.arange(len(starts))
+        at = np.frombuffer(ids.buffers()[1], dtype=np.int64, count=len(ids) + 1)[edges].tolist()
+        blob = memoryview(ids.buffers()[2] or b"")
+        firsts = self._ids(pc.list_element(lists, 0).to_pylist())
+        return iter([first + blob[x:y] for first, x, y in zip(firsts, at[:-1], at[1:], strict=True)])
+
+
+def _split_alone(texts: pa.Array, space: str) -> pa.ListArray:
+    """Cut only at each ``space`` between two characters that are no white space."""
+    return pa.array([SPACE.split(t) for t in texts.to_pylist()], pa.large_list(pa.large_string()))
 
 
 def _is_even(text: str) -> bool:
@@ -150,13 +175,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame
         task, total = TaskContext.get().partitionId(), 0
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = [x + end for x in make(texts[at : at + 256])]
+            for at, to in slices(texts):
+                ids = [x + end for x in make(texts[at:to])]
                 sizes = np.array([len(x) // 4 for x in ids], dtype="int64")
                 before = total + np.cumsum(sizes) - sizes
                 total += int(sizes.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(at, 256), pa.array(np.full(len(ids), task, dtype="int64")), pa.array(before), pa.array(sizes), pa.array(ids, pa.binary())],
+                    [names.slice(at, to - at), pa.array(np.full(len(ids), task, dtype="int64")), pa.array(before), pa.array(sizes), pa.array(ids, pa.binary())],
                     names=["doc_id", "task", "before", "n_tokens", "ids"],
                 )
 

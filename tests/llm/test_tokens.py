@@ -3,6 +3,7 @@
 import zlib
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -135,3 +136,20 @@ def test_even_texts_are_those_of_the_patterns():
                 text = f"a{x}{y}{z}b c"
                 plain = not any(p in text for p in pairs) and not packing.UNUSUAL.search(text)
                 assert packing._is_even(text) == plain, repr(text)
+
+
+def test_long_chunks_that_are_not_plain_take_no_longer():
+    own, library = packing.ByteEncoder(PACKED), Tokenizer.from_file(PACKED)
+    texts = ["x " + "a" * 30 + "'", "y " + "1" * 25 + "日 " + "é" * 29 + "\t z"]
+    start = time.process_time()
+    ids = own.encode_all(texts)
+    assert time.process_time() - start < 5  # was doubled by each letter
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_texts_of_all_kinds_keep_their_order():
+    own, library = packing.ByteEncoder(PACKED), Tokenizer.from_file(PACKED)
+    texts = [text for pair in zip(ODD, ["one two, three.", "", "one", " two", "a b<|endoftext|> c"] * 4) for text in pair]
+    ids = own.encode_all(texts)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids] == [x.ids for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.encode_all([]) == []
