@@ -16,6 +16,7 @@ is stored is written again but by `compact`. One writer at a time.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,8 @@ PUSHED_TERMS = 100
 TOGETHER = 1_000
 #: Pairs of a query and a block for one task to score.
 PAIRS = 8_192
+#: If the queries are very many: blocks of a query that are looked up for its limit, and among how many they are chosen.
+TRIED, CHOICE = 8, 64
 #: Words of the texts that one task counts.
 TASK_WORDS = 1 << 21
 
@@ -239,12 +242,12 @@ def _prepared(index: BlockIndex, asked: DataFrame) -> _Search:
     return _Search(index, weights, few, together, bool(index.size.first()["repeats"]), rows, size["avg"])
 
 
-def _heads(search: _Search, weights: DataFrame | None = None) -> DataFrame:
-    """``qid, number, block, n, most``: a row for each term of a query in each block; reads no entries."""
+def _heads(search: _Search, weights: DataFrame | None = None, *more: str) -> DataFrame:
+    """``qid, number, block, n, most``: a row for each term of a query in each block; reads no entries. ``more`` are columns of ``weights``."""
     heads, weights = search.rows.select("number", "term", "block", "n", "tf_most", "len_least"), search.weights if weights is None else weights
     joined = heads.join(F.broadcast(weights) if search.few else weights, "term")
     most = F.col("weight") * part_score(F.col("tf_most"), F.col("len_least"), search.average)
-    return joined.select("qid", "number", "block", "n", most.alias("most"))
+    return joined.select("qid", "number", "block", "n", most.alias("most"), *more)
 
 
 def _scored(search: _Search, blocks: DataFrame) -> DataFrame:
@@ -281,55 +284,153 @@ def _best(scored: DataFrame, size: int) -> DataFrame:
 def _selected(search: _Search, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks scored at first, the best hits in them, and the other blocks that may hold a better one.
 
-    Each block of a query, or of its best term if there are very many queries, holds a document that
+    Each block of a query holds a document that
     matches, so as many blocks as hits are asked for give that many hits, unless documents were deleted. A document of another block with the score of the
     last hit may come before it, so equal bounds stay, with room for the rounding of scores.
     """
-    peaks = None if search.together or search.repeats else stage(_peaks(search), "peaks")
-    top = None if peaks is None else _top_terms(peaks)
-    bounds = stage(_heads(search, top).groupBy("qid", "number", "block").agg(F.sum("most").alias("bound")), "bounds")
-    order = [F.desc("bound"), F.col("number"), F.col("block")]
-    first = stage(top_per_group(bounds, ["qid"], order, size).select("qid", "number", "block"), "first-blocks")
+    bounds = stage(_heads(search).groupBy("qid", "number", "block").agg(F.sum("most").alias("bound")), "bounds")
+    first = stage(top_per_group(bounds, ["qid"], _by_bound(), size).select("qid", "number", "block"), "first-blocks")
     hits = stage(_best(_scored(search, first), size), "first-hits")
-    limit = hits.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("hits")).filter(F.col("hits") >= size).select("qid", "least")
-    if peaks is not None:
-        bounds = _reaching(search, peaks, limit)
-    others = bounds.join(first, ["qid", "number", "block"], "left_anti").join(limit, "qid", "left")
-    reach = F.col("least").isNull() | (F.col("bound") >= F.col("least") - 10.0**-SCORE_DECIMALS)
+    others = bounds.join(first, ["qid", "number", "block"], "left_anti").join(_limits(hits, size), "qid", "left")
+    reach = F.col("least").isNull() | (F.col("bound") >= F.col("least"))
     return first, hits, stage(others.filter(reach).select("qid", "number", "block"), "other-blocks")
 
 
+def _by_bound() -> list[Column]:
+    return [F.desc("bound"), F.col("number"), F.col("block")]
+
+
+def _limits(hits: DataFrame, size: int) -> DataFrame:
+    """``qid, least`` of the queries that have ``size`` hits: what a score has to reach to be among the best, with room for rounding."""
+    limit = hits.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("hits"))
+    return limit.filter(F.col("hits") >= size).select("qid", (F.col("least") - 10.0**-SCORE_DECIMALS).alias("least"))
+
+
 # For very many queries, not each of their terms is looked up in each of its blocks: a term that they share,
-# like a word of all titles, would meet all queries in all blocks.
+# like a word of all titles, would meet all queries in all blocks, and all documents in them.
+
+
+class _Reach(NamedTuple):
+    first: DataFrame  # qid, number, block: looked up for the limit
+    terms: DataFrame  # qid, term, weight, peak, needed, rest, least; see `_marked`
+    blocks: DataFrame  # qid, number, block, bound, rest, least: what may hold a hit
 
 
 def _peaks(search: _Search) -> DataFrame:
-    """``weights`` with ``peak``: what the term adds to a score at most, in any block."""
-    known = search.rows.groupBy("term").agg(F.max("tf_most").alias("tf"), F.min("len_least").alias("len"))
+    """``weights`` with ``tf``, ``len`` and ``peak``: the most uses, the least length and what the term adds to a score at most, in any block."""
+    known = search.rows.groupBy("term").agg(F.max("tf_most").alias("tf"), F.min("len_least").alias("len"), F.sum("n").alias("docs"))
     peak = F.col("weight") * part_score(F.col("tf"), F.col("len"), search.average)
-    return search.weights.join(known, "term").select("qid", "term", "weight", peak.alias("peak"))
+    return search.weights.join(known, "term").select("qid", "term", "weight", "tf", "len", "docs", peak.alias("peak"))
+
 
+def _leads(peaks: DataFrame, size: int) -> DataFrame:
+    """The rarest terms of each query, as many as it takes for ``size`` documents."""
+    before = W.partitionBy("qid").orderBy("docs", "term").rowsBetween(W.unboundedPreceding, -1)
+    counted = peaks.withColumn("before", F.coalesce(F.sum("docs").over(before), F.lit(0)))
+    return counted.filter(F.col("before") < size).select("qid", "term", "weight")
 
-def _top_terms(peaks: DataFrame) -> DataFrame:
-    """The term of each query that may add most."""
-    best = F.max_by(F.struct("term", "weight"), F.struct("peak", "term")).alias("best")
-    return peaks.groupBy("qid").agg(best).select("qid", "best.*")
 
+def _first_blocks(search: _Search, leads: DataFrame, size: int) -> DataFrame:
+    """The best blocks of each query, by all its terms, among the best of its rarest terms; enough for ``size`` hits."""
+    tried = max(size, TRIED)
+    bounds = _heads(search, leads).groupBy("qid", "number", "block").agg(F.sum("most").alias("bound"))
+    best = top_per_group(bounds, ["qid"], _by_bound(), max(size, CHOICE)).withColumn("of", F.count("*").over(W.partitionBy("qid")))
+    best = stage(best.select("qid", "number", "block", "of"), "lead-blocks")
+    asked = best.filter(F.col("of") > tried).join(search.weights, "qid")
+    heads = search.rows.select("number", "term", "block", "tf_most", "len_least").join(asked, ["number", "term", "block"])
+    most = F.sum(F.col("weight") * part_score(F.col("tf_most"), F.col("len_least"), search.average))
+    chosen = top_per_group(heads.groupBy("qid", "number", "block").agg(most.alias("bound")), ["qid"], _by_bound(), tried)
+    return best.filter(F.col("of") <= tried).select("qid", "number", "block").unionByName(chosen.select("qid", "number", "block"))
 
-def _reaching(search: _Search, peaks: DataFrame, limit: DataFrame) -> DataFrame:
-    """``qid, number, block, bound`` of blocks with a term without which no document reaches the query's limit.
 
-    The terms that add least, as long as all of them together stay below the limit, give no hit by
-    themselves. Their peaks are part of the bound of the blocks that hold another.
+def _bound(terms: Column, average: Column) -> Column:
+    """What ``terms`` (an array of weight, tf, len) add to a score at most.
+
+    A document that holds ``s`` of them, one of them ``tf`` times, has ``s - 1 + tf`` words at least, so it can't hold many
+    and have the score of a short one in each.
     """
-    least = F.col("least") - 10.0**-SCORE_DECIMALS
-    up = W.partitionBy("qid").orderBy("peak", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
-    marked = peaks.join(limit, "qid", "left").withColumn("below", F.coalesce(F.sum("peak").over(up) < least, F.lit(False)))
-    marked = stage(marked, "marked-terms")
-    rest = marked.filter("below").groupBy("qid").agg(F.sum("peak").alias("rest"))
-    found = _heads(search, marked.filter("not below").select("qid", "term", "weight"))
-    bounds = found.groupBy("qid", "number", "block").agg(F.sum("most").alias("most"))
-    return bounds.join(rest, "qid", "left").select("qid", "number", "block", (F.col("most") + F.coalesce("rest", F.lit(0.0))).alias("bound"))
+
+    def of(s: Column) -> Column:
+        caps = F.transform(terms, lambda t: t["weight"] * part_score(t["tf"], F.greatest(t["len"], s - 1 + t["tf"]), average))
+        return F.aggregate(F.slice(F.sort_array(caps, False), F.lit(1), s), F.lit(0.0), lambda total, cap: total + cap)
+
+    some = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), of))
+    return F.when(F.size(terms) > 0, some).otherwise(0.0)
+
+
+def _marked(search: _Search, peaks: DataFrame, limit: DataFrame) -> DataFrame:
+    """``qid, term, weight, peak, needed, rest, least``: whether a hit has to hold one of the query's terms like this.
+
+    The most common terms, as long as all of them together stay below the limit, give no hit by themselves:
+    they add ``rest`` at most to the score of a document that holds a needed one. Without a limit all are needed.
+    """
+    entry = F.struct("docs", "term", "weight", "peak", "tf", F.col("len").cast("long").alias("len"))
+    terms = peaks.groupBy("qid").agg(F.sort_array(F.collect_list(entry), False).alias("terms")).join(limit, "qid", "left")
+    terms = terms.withColumn("average", search.average)  # a lambda can't hold the query it comes from
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"] + 1) / 2).cast("int")
+        below = _bound(F.slice(F.col("terms"), F.lit(1), middle), F.col("average")) < F.col("least")
+        low = F.when(below, F.greatest(span["low"], middle)).otherwise(span["low"])
+        return F.struct(low.alias("low"), F.when(below, span["high"]).otherwise(F.least(span["high"], F.greatest(middle - 1, low))).alias("high"))
+
+    # All terms together reach any limit that a document has set.
+    span = F.struct(F.lit(0).alias("low"), (F.size("terms") - 1).alias("high"))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("terms"))).cast("int"))
+    low = F.aggregate(steps, span, halve, lambda span: span["low"])
+    # stored, so that it is computed once
+    terms = stage(terms.withColumn("free", F.when(F.col("least").isNull() | (F.size("terms") == 1), 0).otherwise(low)), "query-terms")
+    rest = F.when(F.col("free") > 0, _bound(F.slice("terms", F.lit(1), F.col("free")), F.col("average"))).otherwise(0.0)
+    marked = terms.select("qid", "least", "free", rest.alias("rest"), F.posexplode("terms").alias("place", "t"))
+    needed = F.col("place") >= F.col("free")
+    return stage(marked.select("qid", "t.term", "t.weight", "t.peak", needed.alias("needed"), "rest", "least"), "marked-terms")
+
+
+def _holding(search: _Search, blocks: DataFrame, terms: DataFrame, others: DataFrame) -> DataFrame:
+    """``qid, id, score`` of the documents of ``blocks`` that hold one of ``terms`` (``qid, term, weight``), with what ``others`` add.
+
+    Where ``blocks`` has ``bound``, ``rest`` and ``least``, a document goes on only if it may reach the limit. What others add is
+    looked up by document, so a term that all documents of a block hold brings one row, not all of them.
+    """
+    part = F.col("weight") * part_score(F.col("tf"), F.col("len"), search.average)
+    place = ["number", "block"]
+    found = search.rows.join(blocks.join(terms, "qid"), ["number", "term", "block"])
+    limits = [c for c in ("bound", "rest", "least") if c in blocks.columns]
+    if limits:
+        most = F.col("weight") * part_score(F.col("tf_most"), F.col("len_least"), search.average)
+        found = found.withColumn("bound", F.col("bound") - most)
+    rows = found.select("qid", *place, "weight", *limits, F.inline("entries"))
+    if limits:
+        rows = rows.filter(F.col("least").isNull() | (F.col("bound") + part >= F.col("least")))
+    rows = _without_deleted(rows, search.index)
+    held = rows.groupBy("qid", *place, "id").agg(F.sum(part).alias("part"), *(F.first(c).alias(c) for c in limits[1:]))
+    if limits:
+        held = held.filter(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least")))
+    held = stage(held.select("qid", *place, "id", "part"), "held")
+    asked = held.select("qid", *place, F.col("id").alias("__id")).join(others, "qid")
+    known = search.rows.join(others.select("term").distinct(), "term", "left_semi").select(*place, "term", F.inline("entries"))
+    same = [F.col("id").eqNullSafe(F.col("__id")), *(known[c] == asked[c] for c in (*place, "term"))]
+    more = known.join(asked, reduce(Column.__and__, same)).select("qid", "id", part.alias("part"))
+    whole = held.select("qid", "id", "part").unionByName(more)
+    return whole.groupBy("qid", "id").agg(F.round(F.sum("part"), SCORE_DECIMALS).alias("score"))
+
+
+def _reach(search: _Search, size: int) -> _Reach:
+    """The terms and the blocks that the best ``size`` hits of very many queries need."""
+    peaks = stage(_peaks(search), "peaks")
+    leads = stage(_leads(peaks, size), "lead-terms")
+    first = stage(_first_blocks(search, leads, size), "first-blocks")
+    others = search.weights.join(leads, ["qid", "term"], "left_anti")
+    hits = _best(_holding(search, first, leads, others), size)
+    terms = _marked(search, peaks, _limits(hits, size))
+    needed = terms.filter("needed")
+    total = needed.groupBy("qid").agg(F.sum("peak").alias("total"))
+    needed = needed.join(total, "qid").withColumn("total", F.col("total") - F.col("peak") + F.col("rest"))
+    heads = _heads(search, needed, "rest", "least", "total")
+    heads = heads.filter(F.col("least").isNull() | (F.col("most") + F.col("total") >= F.col("least")))
+    bounds = heads.groupBy("qid", "number", "block").agg(F.sum("most").alias("most"), F.max("rest").alias("rest"), F.max("least").alias("least"))
+    bounds = bounds.select("qid", "number", "block", (F.col("most") + F.col("rest")).alias("bound"), "rest", "least")
+    return _Reach(first, terms, stage(bounds.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))), "reached-blocks"))
 
 
 def best_hits(index: BlockIndex, asked: DataFrame, size: int) -> DataFrame:
@@ -340,14 +441,22 @@ def best_hits(index: BlockIndex, asked: DataFrame, size: int) -> DataFrame:
     six decimals so that equal scores are equal.
     """
     search = _prepared(index, asked)
-    _, hits, others = _selected(search, size)
-    return _best(hits.unionByName(_scored(search, others)), size)
+    if search.together or search.repeats:
+        _, hits, others = _selected(search, size)
+        return _best(hits.unionByName(_scored(search, others)), size)
+    reach = _reach(search, size)
+    needed, others = (reach.terms.filter(which).select("qid", "term", "weight") for which in ("needed", "not needed"))
+    return _best(_holding(search, reach.blocks, needed, others), size)
 
 
 def effort(index: BlockIndex, asked: DataFrame, size: int) -> DataFrame:
     """What `best_hits` reads: ``qid, postings`` (of the query's terms) and ``scored`` (those in blocks that are scored)."""
     search = _prepared(index, asked)
-    first, _, others = _selected(search, size)
-    taken = first.unionByName(others).withColumn("taken", F.lit(True))
+    if search.together or search.repeats:
+        first, _, others = _selected(search, size)
+    else:
+        reach = _reach(search, size)
+        first, others = reach.first, reach.blocks.select("qid", "number", "block")
+    taken = first.unionByName(others).distinct().withColumn("taken", F.lit(True))
     heads = _heads(search).join(taken, ["qid", "number", "block"], "left")
     return heads.groupBy("qid").agg(F.sum("n").alias("postings"), F.sum(F.when(F.col("taken"), F.col("n")).otherwise(0)).alias("scored"))

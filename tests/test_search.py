@@ -255,6 +255,20 @@ def test_many_queries_do_not_meet_all_blocks_of_a_shared_word(spark, small_block
     assert sum(met) <= 3 * len(asked)
 
 
+def test_titles_that_share_most_words_are_not_scored_for_each_other(spark, small_blocks, monkeypatch, tmp_path):
+    """As addresses do; each shared word is a title of its own too, where it has a high score."""
+    monkeypatch.setattr(se.blocks, "TOGETHER", 100)
+    shared = ["https", "example", "com", "en", "page", *(f"host{n}" for n in range(7))]
+    titles = [*shared, *(f"x{n}" for n in range(600)), *(f"https host{n % 7} example com en n{n} page" for n in range(150))]
+    rows = [(n, title, "") for n, title in enumerate(titles)]
+    articles = spark.createDataFrame(rows, "aid BIGINT, title STRING, text STRING")
+    asked = [(n, title) for n, title, _ in rows]
+    queries, index = spark.createDataFrame(asked, "qid INT, query STRING"), stored(spark, articles, str(tmp_path / "index"), "title")
+    assert hits(se.search_title(articles, queries, size=1, index=index)) == top(ranked(rows, 1, asked), 1)
+    scored = sum(r["scored"] for r in se.search_effort(queries, index, 1).collect())
+    assert scored <= 10 * len(asked)
+
+
 @pytest.mark.parametrize("together", [0, 1_000])
 def test_repeated_ids_add_up(spark, small_blocks, monkeypatch, tmp_path, together):
     rows = [(n, "", f"w{n % 3} " + "all " * (n % 5)) for n in range(30)] + [(7, "", "w1 w1 all all"), (8, "", "w2 other other")]
