@@ -255,6 +255,23 @@ def test_many_queries_do_not_meet_all_blocks_of_a_shared_word(spark, small_block
     assert sum(met) <= 3 * len(asked)
 
 
+@pytest.mark.parametrize("size", [1, 4, 60])
+def test_very_many_queries_equal_full_scoring(spark, small_blocks, monkeypatch, tmp_path, size):
+    monkeypatch.setattr(se.blocks, "TOGETHER", 5)
+    monkeypatch.setattr(se.blocks, "TRIED", 2)
+    monkeypatch.setattr(se.blocks, "CHOICE", 3)
+    data, articles = skewed(spark, 300, size)
+    rng = random.Random(size)
+    asked = [(n, " ".join(f"w{int(40 * rng.random() ** 2)}" for _ in range(rng.randrange(0, 7)))) for n in range(40)]
+    asked += [(100 + r[0], r[2]) for r in data[::10]]
+    queries, path = spark.createDataFrame(asked, "qid INT, query STRING"), str(tmp_path / "index")
+    stored(spark, articles, path)
+    se.delete_from_index(articles.filter("aid % 7 = 3"), path)
+    alive = [r for r in data if r[0] % 7 != 3]
+    assert not se.blocks._prepared(se.read_index(spark, path), se._query_terms(queries)).repeats
+    assert hits(se.search_field(articles, queries, "text", size, index=se.read_index(spark, path))) == top(ranked(alive, 2, asked), size)
+
+
 def test_titles_that_share_most_words_are_not_scored_for_each_other(spark, small_blocks, monkeypatch, tmp_path):
     """As addresses do; each shared word is a title of its own too, where it has a high score."""
     monkeypatch.setattr(se.blocks, "TOGETHER", 100)
