@@ -34,7 +34,7 @@ def _only_with_ampersand(decode, text: Column) -> Column:
 
 def blank_nbsp(text: Column) -> Column:
     """No-break spaces as plain blanks."""
-    return F.translate(text, "\u00a0", " ")
+    return F.replace(text, F.lit("\u00a0"), F.lit(" "))
 
 
 def unescape(text: Column) -> Column:

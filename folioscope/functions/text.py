@@ -20,6 +20,8 @@ WORD = r"[\p{L}\p{N}_]+"
 
 # Whitespace as Python's str methods see it; Java's \s knows only the ASCII part.
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
+# The same characters one by one.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -88,15 +90,13 @@ def match_tokens(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop whitespace of any kind at both ends."""
-    return F.regexp_replace(text, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def normalize_text(text: Column) -> Column:
     """Strip each line, squeeze blank lines to one, strip the whole."""
-    text = F.regexp_replace(text, rf"[{SPACE}]*\n[{SPACE}]*\n[{SPACE}]*", "\n\n")
-    inline = r"\t\x0b-\r\x1c-\x20\x85\p{Z}"
-    text = F.regexp_replace(text, rf"[{inline}]*\n[{inline}]*", "\n")
-    return strip(text)
+    lines = F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
+    return strip(F.regexp_replace(lines, "\n\n\n+", "\n\n"))
 
 
 def normalize_html(html: Column) -> Column:
@@ -105,7 +105,7 @@ def normalize_html(html: Column) -> Column:
 
 
 def escape_link(text: Column) -> Column:
-    return F.translate(text, " ", "_")
+    return F.replace(text, F.lit(" "), F.lit("_"))
 
 
 def unescape_link(text: Column) -> Column:

@@ -23,6 +23,7 @@ DROPPED_TAGS = "gallery|ref"
 LITERAL_TAGS = "nowiki|pre"
 CITE = "cite"
 SCHEMES = "(?:https?:|ftps?:|irc:|gopher:|news:)//|mailto:"
+SCHEME_MARKS, SCHEME_STARTS = ("://", "mailto:"), "hfignm"  # that they hold and start with
 
 # Pieces of a text that are a mark or lie between marks; each pattern takes every character once.
 BRACES = r"\{{2,}(?:\s*" + CITE + r")?|\}{2,}|[{}]|[^{}]++"
@@ -31,18 +32,19 @@ BRACKETS = (
     r"\[[^\[\]]*+\]|[\[\]]|[^\[\]|]++"
 )
 # Templates, arguments and links that hold no other: taking
-# them out leaves the partners of all other marks as they are.
+# them out leaves the partners of all other marks as they are. Patterns start with what they look for, and look behind
+# after it: a pattern that looks behind first does so at every character.
 SINGLE_ARGUMENT = r"(?<!\{)\{{3}[^{}]*+\}{3}(?!\})"
 def _alone(inside: str) -> str:
     """Template of those contents; one that ends where others end must not leave or join a single brace."""
-    return rf"(?<!\{{)\{{\{{{inside}\}}\}}(?!\}})|(?<![{{}}])\{{\{{{inside}\}}\}}(?=\}}\}})"
+    return rf"\{{\{{(?:(?<![{{}}]\{{\{{){inside}\}}\}}(?:(?!\}})|(?=\}}\}}))|(?<=\}}\{{\{{){inside}\}}\}}(?!\}}))"
 
 
 SINGLE_TEMPLATE = _alone("[^{}]*+")
 SINGLE_CITE = _alone(r"\s*" + CITE + "[^{}]*+")
-_MEDIA = r"\[\[(?:" + MEDIA_LINKS + r")[^\[\]]*+\]\]"
-SINGLE_MEDIA = rf"(?<!\[){_MEDIA}(?!\])|(?<![\[\]]){_MEDIA}"
-SINGLE_LINK = r"(?<!\[)\[\[([^\[\]|]++)(?:\|[^\[\]]*+)?\]\]"
+_MEDIA = r"(?:" + MEDIA_LINKS + r")[^\[\]]*+\]\]"
+SINGLE_MEDIA = rf"\[\[(?:(?<![\[\]]\[\[){_MEDIA}|(?<=\]\[\[){_MEDIA}(?!\]))"
+SINGLE_LINK = r"\[\[(?<!\[\[\[)([^\[\]|]++)(?:\|[^\[\]]*+)?\]\]"
 BLOCKS = r"<!--|-->|</?(?:" + LITERAL_TAGS + r")(?:\s[^<>]*+)?+(?<!/)>|[^<-]++|[<-]"
 HEADING = r"(?md)^(={1,6})(.+?)\1[ \t]*$"
 EXTERNAL = r"\[((?:" + SCHEMES + r")[^\s\[\]]*+)[ \t]*([^\[\]]*+)\]"
@@ -55,9 +57,11 @@ RULE = "(?md)^-{4,}"
 
 # Marks that stand for a footnote and around a link target; private-use characters.
 NOTE, LINK_OPEN, LINK_CLOSE = "\ue001", "\ue002", "\ue003"
+MARK_BYTES = len((LINK_OPEN + LINK_CLOSE).encode()) - 2  # More than their characters.
 # Characters that mark something up, and those that stand for them where they are text.
 MARKUP = "[]{}<>|!='*#:;-"
 LITERAL = "".join(chr(0xE010 + i) for i in range(len(MARKUP)))
+LITERAL_BYTES = b"\xee\x80"  # All of them start like this in UTF-8.
 
 #: Innermost levels that are taken by replacement; the fold, slower on plain rows, meets what is left.
 LEVELS = 2
@@ -250,14 +254,11 @@ def to_plain_text(wiki: Column) -> Column:
     """Readable text of decoded wikitext; a link reads as its target, the contents of ``nowiki`` and ``pre`` as they are."""
     text = _drop_tags(_literal_blocks(wiki), DROPPED_TAGS, "")
     text = _with_targets(_without_templates(text))
-    text = F.regexp_replace(text, EXTERNAL, "$2")
-    text = F.regexp_replace(text, BARE_URL, "")
+    text = _where(F.regexp_replace(text, EXTERNAL, "$2"), SCHEME_MARKS, (BARE_URL, ""))
     text = F.regexp_replace(text, HEADING, "$2")
-    text = F.regexp_replace(text, TAG, "")
-    text = F.regexp_replace(text, TABLE, "")
-    text = F.regexp_replace(text, QUOTES, "")
-    text = F.regexp_replace(text, RULE, "")
-    return _as_written(F.regexp_replace(text, LIST_MARKS, ""))
+    text = _where(text, ("<", "|", "!", "''", "----"), (TAG, ""), (TABLE, ""), (QUOTES, ""), (RULE, ""))
+    text = F.regexp_replace(text, LIST_MARKS, "")
+    return let(text, lambda t: F.when(F.contains(t.cast("binary"), F.lit(LITERAL_BYTES)), _as_written(t)).otherwise(t))
 
 
 def plain_text(articles: DataFrame) -> DataFrame:
@@ -288,17 +289,20 @@ def segments_of(wiki: Column) -> Column:
     Nothing inside another template, a media link or a ``ref`` is listed.
     """
 
-    text = F.translate(_literal_blocks(wiki), NOTE + LINK_OPEN + LINK_CLOSE, "")
+    text = reduce(lambda x, mark: F.replace(x, F.lit(mark), F.lit("")), (NOTE, LINK_OPEN, LINK_CLOSE), _literal_blocks(wiki))
     text = _drop_tags(_without_templates(text, NOTE), "ref", NOTE)
     text = _with_targets(text, LINK_OPEN, LINK_CLOSE)
     link = f"{LINK_OPEN}([^{LINK_CLOSE}]*){LINK_CLOSE}"
-    any_segment = "|".join([HEADING, NOTE, link, EXTERNAL, BARE_URL])
+    any_segment = "|".join([HEADING, NOTE, link, EXTERNAL, f"(?=[{SCHEME_STARTS}])" + BARE_URL])
     found = F.regexp_extract_all(text, F.lit(any_segment), 0)
 
     def describe(s: Column, pos: Column) -> Column:
         first = F.left(s, F.lit(1))
         heading = F.translate(s, LINK_OPEN + LINK_CLOSE + NOTE, "")
-        inside = F.translate(s, LITERAL + LINK_OPEN + LINK_CLOSE + NOTE, MARKUP)
+        # Only ASCII between its marks holds nothing to translate.
+        inside = F.when(
+            F.octet_length(s) - F.length(s) == MARK_BYTES, F.substring(s, F.lit(2), F.length(s) - 2)
+        ).otherwise(F.translate(s, LITERAL + LINK_OPEN + LINK_CLOSE + NOTE, MARKUP))
         url = _as_written(F.when(first == "[", F.regexp_extract(s, EXTERNAL, 1)).otherwise(s))
         words = _as_written(F.when(first == "[", F.regexp_extract(s, EXTERNAL, 2)).otherwise(""))
         return (

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -161,3 +162,23 @@ def test_rows_without_marks_meet_no_pattern_of_them(spark):
     ]
     # What marks a row holds is asked by searches for strings, not by patterns.
     assert "RLIKE" not in plain._jdf.queryExecution().analyzed().toString().upper()
+
+
+@pytest.mark.parametrize(
+    "pattern, before, inside, mark",
+    [
+        (mk.SINGLE_TEMPLATE, "{", r"\{\{[^{}]*+\}\}", "}"),
+        (mk.SINGLE_CITE, "{", r"\{\{\s*cite[^{}]*+\}\}", "}"),
+        (mk.SINGLE_MEDIA, "[", r"\[\[(?:Image:|Category:|File:)[^\[\]]*+\]\]", "]"),
+    ],
+)
+def test_patterns_start_with_what_they_look_for(pattern, before, inside, mark):
+    """A pattern that looks behind first does so at every character."""
+    followed = rf"(?=\{mark}\{mark})" if mark == "}" else ""
+    plain = rf"(?<!\{before}){inside}(?!\{mark})|(?<![\{before}\{mark}]){inside}{followed}"
+    assert pattern.startswith(re.escape(before * 2))
+    rng = random.Random(4)
+    pieces = [before, before * 2, mark, mark * 2, "a", " ", "cite", "File:", "{{cite x}}", "[[File:y]]", "}", "["]
+    for _ in range(5_000):
+        text = "".join(rng.choices(pieces, k=12))
+        assert [m.span() for m in re.finditer(pattern, text)] == [m.span() for m in re.finditer(plain, text)]
